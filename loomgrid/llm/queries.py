@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, quality, shard
+from . import decontam, htmltext, langid, mixing, neardup, quality, shard, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,27 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labels that aren't held out."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives, with_text=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+def op9_template_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the divergence verdict of every document."""
     out = quality.judge_quality(_table(spark, sf_dir, "documents"))
@@ -43,12 +64,19 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kd_shards, op6_divergence_rules, op7_near_duplicates, op8_fm_decontamination, op10_systematic_mix)
+    f.__name__: f for f in (op1_kd_shards, op2_byte_network_language, op3_weak_toxicity, op4_zstd_warc, op6_divergence_rules, op7_near_duplicates, op8_fm_decontamination, op9_template_free_text, op10_systematic_mix)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op4_zstd_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+x AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+y AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM x)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM y
+""",
     "op7_near_duplicates": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -61,8 +89,8 @@ p AS (
 ), l AS (
   SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * shared >= 80 * (m.n + o.n - shared)
 ), e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
-r AS (SELECT doc_id AS id, doc_id AS at FROM documents UNION SELECT r.id, e.v FROM r JOIN e ON e.u = r.at),
-c AS (SELECT id, min(at) AS component_id FROM r GROUP BY id)
+r AS (SELECT doc_id AS id, doc_id AS reach FROM documents UNION SELECT r.id, e.v FROM r JOIN e ON e.u = r.reach),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.id = d.doc_id
 """,
