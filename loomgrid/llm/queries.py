@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, mixing, neardup, quality, shard, toxicity, warc
+from . import decontam, htmltext, langid, mixing, neardup, quality, secretscan, shard, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, with_text=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
+def op5_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate for a secret in all documents, with the forest's score."""
+    return secretscan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_template_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return htmltext.extract_text(_table(spark, sf_dir, "pages"))
@@ -64,7 +69,7 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kd_shards, op2_byte_network_language, op3_weak_toxicity, op4_zstd_warc, op6_divergence_rules, op7_near_duplicates, op8_fm_decontamination, op9_template_free_text, op10_systematic_mix)
+    f.__name__: f for f in (op1_kd_shards, op2_byte_network_language, op3_weak_toxicity, op4_zstd_warc, op5_forest_secrets, op6_divergence_rules, op7_near_duplicates, op8_fm_decontamination, op9_template_free_text, op10_systematic_mix)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -82,7 +87,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
-    ELSE list_transform(range(1, len(w)), k -> w[k] || ' ' || w[k + 1]) END) AS x FROM w
+    ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END) AS x FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
