@@ -7,44 +7,21 @@ over words. Memory is bounded by the chunk size (one very long text is its own c
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomgrid.staging import staged  # noqa: F401
+
 #: Bytes of text that are worked on at once inside a task.
 CHUNK_BYTES = 3 << 20
 #: Spark's regular expression for a word: any run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) if hasattr(spark, "_jsc") else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again.
-
-    The lineage is cut and a lost executor costs only a re-read; readers prune columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def is_held_out(doc_id: str = "doc_id") -> Column:
     """The held-out quarter: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
