@@ -1,0 +1,341 @@
+"""Corpus operators against brute force, round trips, held-out accuracy and edge cases."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import zstandard
+
+from loomgrid.llm import decontam, htmltext, langid, mixing, neardup, quality, secretscan, shard, toxicity, warc
+from loomgrid.llm.common import text_chunks
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score double"
+EDGE = [None, "", " \n\t", "a", "a b", "a b", "日本 語 x", "x" * 5000, "w " * 4000, "tab\tand\x0bvt", "A a A a A a"]
+
+
+def words_of(text):
+    return WORD.findall(text or "")
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def docs_of(spark, texts, source=lambda k: f"s{k % 3}", lang=lambda k: "en"):
+    """Documents with an extra column whose name an operator uses, too; id k and a repeated row for every fifth."""
+    rows = [(k, t, lang(k), source(k), len(t or ""), 0.5) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def random_texts(n, seed=0, vocabulary=60, most=120):
+    r = random.Random(seed)
+    voc = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 5))) for _ in range(vocabulary)]
+    return [" ".join(r.choice(voc) for _ in range(r.randint(0, most))) for _ in range(n)]
+
+
+def near_copies(texts, seed=0):
+    r = random.Random(seed)
+    out = list(texts)
+    for t in texts:
+        w = t.split()
+        for _ in range(3):
+            c = list(w)
+            for _ in range(r.randint(0, max(1, len(w) // 12))):
+                if c:
+                    c[r.randrange(len(c))] = r.choice(["new", "word", "here"])
+            out.append(" ".join(c))
+    return out
+
+
+# ---------------------------------------------------------------- near-duplicates
+
+
+def brute_components(texts, n, percent):
+    sets = []
+    for t in texts:
+        w = WORD.findall(lower(t))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set()))
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    return [(i, len(sets[i]), top(i), top(i) == i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_near_duplicates_brute_force(spark, n):
+    texts = EDGE + near_copies(random_texts(40, 1)) + random_texts(3, 1)
+    got = neardup.near_duplicates(docs_of(spark, texts), n, 80)
+    assert sorted(map(tuple, got.collect())) == brute_components(texts, n, 80)
+
+
+def test_near_duplicates_keep_one_of_repeated_rows(spark):
+    texts = ["one two three four five six"] * 3 + ["other words that stand alone here"]
+    docs = docs_of(spark, texts)
+    both = docs.union(docs).union(spark.createDataFrame([(None, "no id", None, None, None, None)], DOC))
+    kept = neardup.drop_near_duplicates(both, 2, 80)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == [-1, 0, 3]
+    assert neardup.near_duplicates(docs.limit(0), 2).count() == 0
+
+
+def test_sketch_fills_and_estimates():
+    r = np.random.default_rng(0)
+    a, b = (r.integers(0, 2**63, 400, dtype=np.uint64) for _ in range(2))
+    a[:300] = b[:300]
+    small = a[:2]
+    v = np.concatenate([np.unique(a), np.unique(b), np.unique(small)])
+    s = neardup.sketch(v, np.array([0, 400, 800, 802]), 1024)
+    assert (s != np.uint64(2**64 - 1)).all()
+    assert abs((s[0] == s[1]).mean() - 300 / 500) < 0.08
+
+
+# ---------------------------------------------------------------- decontamination
+
+BWORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_hits(text, items, size=13):
+    w = BWORD.findall(lower(text))
+    hit, found = set(), set()
+    for item, t in items:
+        x = BWORD.findall(lower(t))
+        m = min(size, len(x))
+        for k in range(len(x) - m + 1 if m else 0):
+            for p in range(len(w) - m + 1):
+                if w[p : p + m] == x[k : k + m]:
+                    hit |= set(range(p, p + m))
+                    found.add(item)
+    ids = ",".join(sorted(map(str, found)))
+    return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+@pytest.mark.parametrize("block", [400_000, 40])
+def test_decontamination_brute_force(spark, block):
+    items = [(k, t) for k, t in enumerate(random_texts(12, 5, most=40) + ["", None, "b", "é é", "same item words"] + ["same item words"])]
+    texts = EDGE + random_texts(60, 6) + [f"Start {t}, end." for _, t in items if t] + [t.upper() if t else "" for _, t in items] + random_texts(5, 7, most=3000)
+    docs = docs_of(spark, texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(docs, bench, block_words=block)
+    gold = {k: brute_hits(t, items) for k, t in enumerate(texts)}
+    for r in got.collect():
+        assert (r["_n_words"], r["_n_hit"], r["_n_items"], r["_items_sha256"], r["_contaminated"]) == gold[r["doc_id"]], texts[r["doc_id"]]
+    clean = {r["doc_id"]: r["text"] for r in decontam.remove_contamination(docs, bench, block_words=block).collect()}
+    for k, t in enumerate(texts):
+        assert clean[k] == t if not gold[k][4] else gold[k][1] == 0 or brute_hits(clean[k], [i for i in items if len((i[1] or "").split()) > 13])[1] == 0
+    none = decontam.contamination(docs, bench.limit(0)).filter("_n_hit > 0 OR _contaminated").count()
+    assert none == 0
+
+
+def test_suffix_array_and_index():
+    r = random.Random(3)
+    x = np.array([r.randint(1, 3) for _ in range(300)] + [0] + [1, 2] * 100 + [0], dtype=np.int64)
+    apart = x + 2
+    apart[x == 0] = np.arange(2)
+    assert decontam.suffix_array(apart).tolist() == sorted(range(len(x)), key=lambda i: apart[i:].tolist())
+    f = decontam.FMIndex(x, 4, sample=5)
+    lo, hi = f.search(np.array([[1, 2, 1], [3, 3, 0]]), np.array([3, 2]))
+    for k, p in enumerate(([1, 2, 1], [3, 3])):
+        places = sorted(f.locate(np.arange(lo[k], hi[k])).tolist())
+        assert places == [i for i in range(len(x)) if x[i : i + len(p)].tolist() == p]
+
+
+# ---------------------------------------------------------------- quality
+
+
+def test_quality_counts_brute_force(spark):
+    texts = EDGE + random_texts(30, 8) + ["a b c\na b c\n\n x\na b c # * <b>", "é" * 9 + " ## \n\n"]
+    got = {r["doc_id"]: r for r in quality.judge_quality(docs_of(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        w = words_of(t)
+        seen = {}
+        for i in range(len(w) - 2):
+            seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+        rep = {i + d for v in seen.values() if len(v) > 1 for i in v for d in range(3)}
+        lines = [x for x in (t or "").split("\n")]
+        dup = sum(1 for i, x in enumerate(lines) if words_of(x) and x in lines[:i])
+        r = got[k]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), dup, len(rep)), t
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(rep) > 50 * len(w))
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_quality_judges_divergence(spark):
+    good = random_texts(60, 9, vocabulary=30, most=200)
+    odd = ["### $$$ %%% " * 40 + " ".join(random.Random(k).choice("xyz") * 9 + str(k * i) for i in range(80)) for k in range(2)]
+    got = {r["doc_id"]: r for r in quality.judge_quality(docs_of(spark, good + odd)).collect()}
+    assert not any(got[60 + k]["kept"] for k in range(2))
+    fit = [k for k in range(60) if not got[k]["base_failed"]]
+    assert fit and all(got[k]["kept"] for k in fit)
+    assert quality.js_distance(np.array([[1.0, 0]]), np.array([0, 1.0]))[0] == 1
+    assert quality.keep_good(docs_of(spark, good).limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- mixing, sharding
+
+
+def test_mix_meets_targets(spark):
+    texts = EDGE + random_texts(400, 10)
+    docs = docs_of(spark, texts, source=lambda k: [None, "a", "b", "big"][min(k % 7, 3)])
+    rows = mixing.mix_plan(docs).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    total = sum(len(words_of(t)) for t in texts)
+    by = {}
+    for r in rows:
+        assert r["size"] == len(words_of(texts[r["doc_id"]])) and r["taken"] <= 2 * r["size"]
+        by.setdefault(r["source"], []).append(r)
+    weights = dict(zip(["a", "b", "big", None], [3, 1, 2, 3]))
+    size = {s: sum(r["size"] for r in v) for s, v in by.items()}
+    full, left = {}, 1.5 * total  # water filling
+    while True:
+        free = {s: weights[s] for s in size if s not in full}
+        share = {s: (left - sum(full.values())) * w / sum(free.values()) for s, w in free.items()}
+        over = [s for s in share if share[s] > 2 * size[s]]
+        if not over:
+            break
+        full |= {s: 2 * size[s] for s in over}
+    for s, v in by.items():
+        target = full.get(s, share.get(s))
+        assert all(r["source_size"] == size[s] and abs(r["target"] - target) < 1e-6 for r in v)
+        assert abs(sum(r["taken"] for r in v) - target) <= max(r["size"] for r in v) * 2
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix_plan(docs).collect()))
+    mixed = mixing.apply_mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in rows)
+    assert mixing.mix_plan(docs.limit(0)).count() == 0
+
+
+def test_shards_are_even_and_gapless(spark):
+    texts = EDGE + random_texts(900, 11) + ["same text here"] * 500
+    docs = docs_of(spark, texts)
+    rows = shard.assign_shards(docs, 7).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    by = {}
+    for r in rows:
+        t = texts[r["doc_id"]]
+        assert r["size"] == len((t or "").encode()) + 16
+        by.setdefault(r["shard"], []).append(r)
+    mean = sum(r["size"] for r in rows) / 7
+    assert len(by) == 7 and all(abs(sum(r["size"] for r in v) - mean) < 0.05 * mean + 5016 for v in by.values())
+    assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+    whole = shard.shard_documents(docs, 7)
+    assert whole.columns == [*docs.columns, "shard"] and whole.count() == len(texts)
+    assert shard.assign_shards(docs.limit(0), 7).count() == 0
+
+
+# ---------------------------------------------------------------- archives, pages
+
+
+def test_warc_round_trip_and_damage(spark):
+    big = "<p>" + "x" * 2000
+    pages = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, None), (4, "http://b", "é\r\n\r\nb"), (None, "u", big), (5, "http://a/5", "small"), (6, "u", "small"), (6, "u", "small")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    archives = warc.write_archives(df)
+    got = warc.read_archives(archives).collect()
+    assert all(r["problem"] is None for r in got) and len(got) == len(pages)
+    by = {r["page_id"]: r for r in got}
+    assert (by[1]["record_type"], by[1]["refers_to"], by[2]["record_type"]) == ("revisit", 2, "response")
+    assert by[2]["html"] == big and by[4]["html"] == "é\r\n\r\nb" and by[3]["payload_bytes"] == 0
+    assert by[1]["payload_digest"] == hashlib.sha1(big.encode()).hexdigest() and by[1]["payload_bytes"] == len(big)
+    content = bytearray(archives.filter("length(content) > 100").first()["content"])
+    content[-10] ^= 255
+    assert any(r["problem"] for r in warc.read_archives(spark.createDataFrame([("x", bytes(content))], "archive string, content binary")).collect())
+    assert [p for _, p in warc.read_frames(bytes(content[: len(content) - 3]))][-1]
+    assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
+
+
+def test_warc_compressed_dictionary_and_bad_records():
+    d = b"WARC/1.1 response html body " * 30
+    record = warc.make_record(7, "http://x", "response", 2, hashlib.sha1(b"ab").hexdigest(), None, b"ab")
+    frame = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d)).compress(record)
+    (got, problem), = warc.read_frames(warc.dictionary_frame(zstandard.compress(d)) + frame)
+    assert problem is None and got == record and warc.parse_record(got)[2] is None
+    assert warc.parse_record(record.replace(b"ab\r\n\r\n", b"ac\r\n\r\n"))[2] == "payload differs from its digest"
+    assert warc.parse_record(record[:-5])[2] == "length differs from Content-Length"
+    assert warc.parse_record(b"junk")[2] == "no WARC header"
+
+
+def test_main_text():
+    page = '<html><head><title>t</title><style>p{}</style></head><body><nav>n</nav><!-- c --><div class="ad">x</div><article><h1>A  &amp; B</h1><p><b>One<br><p>Two &lt;x&gt;\n y<ul><li>a<li>b</ul><div class="comments">no</div><script>var t="</p>";</script></article><footer>f'
+    assert htmltext.main_text(page) == "A & B\nOne\nTwo <x> y\na\nb"
+    assert htmltext.main_text(None) == "" and htmltext.main_text("<p") == "" and htmltext.main_text("plain &amp; text") == "plain & text"
+    assert htmltext.main_text("<body><p>a</p><aside>b</aside><form>c</form><p>d") == "a\nd"
+
+
+def test_site_templates_are_removed(spark):
+    page = lambda k: f"<body><div id=top><p>Welcome to the site</p></div><div><p>Story {k} {'x' * k}</p></div><div><p>Legal words</p></div></body>"
+    pages = [(k, f"http://h.example/{k}", page(k)) for k in range(12)] + [(99, "http://other.example/", page(99)), (100, None, None)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3 xxx" and got[99].startswith("Welcome to the site\nStory 99") and got[100] == ""
+
+
+# ---------------------------------------------------------------- learned operators
+
+
+def test_language_is_learned_and_held_out(spark):
+    r = random.Random(4)
+    syllables = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "er"], "cc": ["éa", "ou", "ç"]}
+    text = lambda l: " ".join("".join(r.choice(syllables[l]) for _ in range(3)) for _ in range(r.randint(3, 90)))
+    langs = [r.choice("abc") * 2 for _ in range(400)]
+    docs = docs_of(spark, [text(l) for l in langs] + EDGE + ["123 !!"], lang=lambda k: langs[k] if k < 400 else None)
+    rows = langid.identify(docs).collect()
+    held = [x for x in rows if x["held_out"] and x["doc_id"] < 400]
+    assert len(held) > 50 and sum(x["lang_pred"] == langs[x["doc_id"]] for x in held) >= 0.97 * len(held)
+    by = {x["doc_id"]: x for x in rows}
+    assert by[400]["lang_pred"] == by[401]["lang_pred"] == by[400 + len(EDGE)]["lang_pred"] == "und"
+    assert all(0 <= x["score"] <= 1 for x in rows)
+    none = langid.identify(docs_of(spark, ["abc"], lang=lambda k: None)).collect()
+    assert none[0]["lang_pred"] == "und"
+
+
+def test_windows_cover_every_byte():
+    _, _, data, offs = next(text_chunks(pa.array(["a" * 500, "", "b" * 192, "c"]), 1 << 30))
+    begin, rows = langid.windows_of(data, offs)
+    for k in range(4):
+        covered = set().union(*[range(b, min(b + langid.WINDOW, offs[k + 1])) for b, x in zip(begin, rows) if x == k])
+        assert covered == set(range(offs[k], offs[k + 1]))
+
+
+def test_toxicity_is_learned_and_held_out(spark):
+    r = random.Random(6)
+    texts, marks = [], []
+    for k in range(500):
+        w = random_texts(1, k, most=80)[0].split() + ["end"]
+        toxic = k % 4 == 0
+        for _ in range(2 * toxic):
+            w.insert(r.randrange(len(w)), r.choice(["vileword", "grossterm", "nastyish"]))
+        texts.append(" ".join(w))
+        marks.append((k, int(toxic)))
+    docs = docs_of(spark, texts + EDGE)
+    rows = toxicity.classify(docs, spark.createDataFrame(marks + [(3, None), (None, 1)], "doc_id long, toxic int")).collect()
+    held = [x for x in rows if x["held_out"] and x["doc_id"] < 500]
+    assert sum(x["predicted"] == marks[x["doc_id"]][1] for x in held) >= 0.97 * len(held)
+    assert all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.3) for x in rows)
+    assert not any(x["predicted"] for x in rows if x["doc_id"] >= 500)
+    none = toxicity.classify(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert none.filter("score <> 0").count() == 0
+
+
+def test_secret_scan(spark):
+    r = random.Random(7)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(80)]
+    cards = ["".join(r.choice("0123456789") for _ in range(16)) for _ in range(80)]
+    texts = [f'the words and token = "{h}" then more words' for h in hexes] + [f"number {c} is here with the words" for c in cards] + EDGE
+    got = {}
+    for x in secretscan.scan(docs_of(spark, texts)).collect():
+        got.setdefault(x["doc_id"], []).append(x)
+    assert all(got[k][0]["secret"] and got[k][0]["value_sha256"] == hashlib.sha256(hexes[k].encode()).hexdigest() for k in range(80))
+    assert not any(x["secret"] for k in range(80, 160) for x in got[k])
+    assert secretscan.scan(docs_of(spark, [None, "", "no findings"])).count() == 0
