@@ -81,6 +81,58 @@ x AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html)
 y AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM x)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM y
+""",
+    "op6_divergence_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+lines AS (
+  SELECT doc_id, CAST(count(*) - count(DISTINCT x) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)
+  WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), win AS (SELECT doc_id, k, w[k] AS a, w[k + 1] AS b, w[k + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM w)),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, a, b, c) AS m FROM win) WHERE m > 1
+  ) GROUP BY doc_id
+), cls AS (
+  SELECT doc_id, lang, unnest(range(7)) AS k, unnest([
+    length(regexp_replace(t, '[^a-z]', '', 'g')), length(regexp_replace(t, '[^A-Z]', '', 'g')), length(regexp_replace(t, '[^0-9]', '', 'g')),
+    length(regexp_replace(t, '[^.,;:''"?()-]', '', 'g')), length(regexp_replace(t, '[^\x00-\x7F]|[a-zA-Z0-9.,;:''"?()\x20\x09-\x0D-]', '', 'g')),
+    length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')), length(regexp_replace(t, '[\x00-\x7F]', '', 'g'))]) AS n FROM d
+), q AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS q FROM (SELECT lang, k, sum(n) AS n FROM cls GROUP BY lang, k)),
+p AS (SELECT doc_id, k, n / greatest(sum(n) OVER (PARTITION BY doc_id), 1) AS p FROM cls),
+cd AS (
+  SELECT doc_id, min(d) AS d FROM (
+    SELECT doc_id, lang, sqrt(least(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0), 1)) AS d
+    FROM p JOIN q USING (k) GROUP BY doc_id, lang
+  ) GROUP BY doc_id
+), sw AS (
+  SELECT doc_id, lang, x FROM (
+    SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM w
+  ) WHERE strlen(x) <= 4
+), sn AS (SELECT lang, x, count(*) AS n, hex(encode(x)) AS h FROM sw GROUP BY lang, x),
+alln AS (SELECT lang, sum(len(w)) AS total FROM w GROUP BY lang HAVING sum(len(w)) > 0),
+top AS (
+  SELECT lang, x, n FROM sn QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC,
+    CAST('0x' || substr(h || '00000000', 7, 2) || substr(h || '00000000', 5, 2) || substr(h || '00000000', 3, 2) || substr(h || '00000000', 1, 2) AS BIGINT) DESC) <= 40
+), refs AS (SELECT lang, x, n / total AS q FROM top JOIN alln USING (lang)),
+dn AS (SELECT doc_id, x, count(*) AS n FROM sw GROUP BY doc_id, x),
+each AS (
+  SELECT w.doc_id, a.lang, len(w.w) AS nw, r.q, coalesce(dn.n, 0) AS n FROM w CROSS JOIN alln a LEFT JOIN refs r ON r.lang = a.lang LEFT JOIN dn ON dn.doc_id = w.doc_id AND dn.x = r.x
+), bins AS (
+  SELECT doc_id, lang, n / greatest(nw, 1) AS p, q FROM each WHERE q IS NOT NULL
+  UNION ALL SELECT doc_id, lang, (max(nw) - coalesce(sum(n) FILTER (q IS NOT NULL), 0)) / greatest(max(nw), 1), 1 - coalesce(sum(q), 0) FROM each GROUP BY doc_id, lang
+), wd AS (
+  SELECT doc_id, min(d) AS d FROM (
+    SELECT doc_id, lang, sqrt(least(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0), 1)) AS d FROM bins GROUP BY doc_id, lang
+  ) GROUP BY doc_id
+), n AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    cd.d AS cd, wd.d AS wd
+  FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN cd ON cd.doc_id = w.doc_id LEFT JOIN wd ON wd.doc_id = w.doc_id
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= 20 AND cd > 0.22 OR n_words >= 80 AND wd > 0.385) AS kept FROM f
 """,
     "op7_near_duplicates": f"""
 WITH RECURSIVE w AS (
