@@ -63,10 +63,10 @@ def host_of(url: str | None) -> str:
 class _Open:
     """An open element: its tag, whether its text is dropped, and its pieces so far."""
 
-    __slots__ = ("tag", "drop", "prose", "article", "main", "pieces", "first")
+    __slots__ = ("tag", "drop", "prose", "article", "main", "pieces", "first", "mark")
 
-    def __init__(self, tag: str, drop: bool, prose: bool, article: bool, main: bool, first: int) -> None:
-        self.tag, self.drop, self.prose, self.article, self.main, self.first = tag, drop, prose, article, main, first
+    def __init__(self, tag: str, drop: bool, prose: bool, article: bool, main: bool, first: int, mark: int = 0) -> None:
+        self.tag, self.drop, self.prose, self.article, self.main, self.first, self.mark = tag, drop, prose, article, main, first, mark
         self.pieces: list[str] = []
 
 
@@ -90,13 +90,15 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) ->
     def flush() -> None:
         if text:
             top = stack[-1]
-            if not top.drop:
+            if top.drop:  # text before a dropped inline element stays
+                del text[top.mark :]
+            else:
                 raw = "".join(text)
                 if not only_trees and (s := _decoded(raw)):
                     blocks.append((s, top.article, top.main))
                 if not only_blocks and (raw := raw.strip()):
                     top.pieces.append(raw)
-            text.clear()
+                text.clear()
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -157,9 +159,8 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) ->
                 value = a or b or c
                 name = name.lower()
                 drop = drop or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and bool(MARKED.search(value)))
-        if drop and not up.drop:
-            flush()
-        stack.append(_Open(tag, drop, up.prose and tag in PROSE or tag in PROSE, up.article or tag == "article", up.main or tag == "main", len(blocks)))
+        mark = up.mark if up.drop else len(text) if drop else 0
+        stack.append(_Open(tag, drop, tag in PROSE, up.article or tag == "article", up.main or tag == "main", len(blocks), mark))
     flush()
     close(1)
     return blocks, trees
