@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE_SEPARATED, by_row_and_value, hashes, row_of, runs, text_chunks
@@ -135,21 +135,16 @@ def language_references(docs: DataFrame) -> dict[str, dict]:
     The result is bounded: languages times (classes + COMMON) numbers.
     """
     sums = docs.select("lang", "text").mapInArrow(_reference_rows, "lang string, kind int, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    best = (
-        sums.groupBy("lang", "kind")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "item")), asc=False), 1, COMMON).alias("top"))
-        .select("lang", "kind", "top")
-    )
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), F.desc("item")))
     out: dict[str, dict] = {}
-    for r in best.collect():
+    for r in sums.withColumn("place", place).filter(F.col("place") <= COMMON).collect():
         ref = out.setdefault(r["lang"], {"classes": np.zeros(CLASSES), "words": {}, "all": 0})
-        for x in r["top"]:
-            if r["kind"] == 0:
-                ref["classes"][x["item"]] = x["n"]
-            elif r["kind"] == 1:
-                ref["words"][x["item"]] = x["n"]
-            else:
-                ref["all"] = x["n"]
+        if r["kind"] == 0:
+            ref["classes"][r["item"]] = r["n"]
+        elif r["kind"] == 1:
+            ref["words"][r["item"]] = r["n"]
+        else:
+            ref["all"] = r["n"]
     return {k: v for k, v in out.items() if v["all"]}
 
 
