@@ -193,10 +193,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
     """(host, templates): hashes of the subtrees that recur on many pages of each host."""
     sums = pages.select("url", "html").mapInArrow(_count, "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages"))
-    sums = sums.filter((F.col("pages") >= least) | (F.col("hash") == -1))
-    # a host's list is bounded: at most pages-of-subtrees / share entries
-    both = sums.groupBy("host").agg(F.max(F.when(F.col("hash") == -1, F.col("pages"))).alias("all"), F.collect_list(F.when(F.col("hash") != -1, F.struct("hash", "pages"))).alias("found"))
-    return both.select("host", F.expr(f"transform(filter(found, x -> x.pages >= {share} * all), x -> x.hash)").alias("templates")).filter(F.size("templates") > 0)
+    sums = staged(sums.filter((F.col("pages") >= least) | (F.col("hash") == -1)), "subtrees")
+    hosts = sums.filter("hash = -1").select("host", F.col("pages").alias("all"))
+    often = sums.filter("hash <> -1").join(hosts, "host").filter(F.col("pages") >= share * F.col("all"))
+    # bounded: what stands on a share of the pages is at most the subtrees of a page / share
+    return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
