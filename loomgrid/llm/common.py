@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomgrid.staging import staged  # noqa: F401
 
 #: Bytes of text that are worked on at once inside a task.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 #: Spark's regular expression for a word: any run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -32,7 +32,7 @@ WINDOW = 13
 #: Contaminated: hit words of at least 1 / SHARE of all words.
 SHARE = 20
 #: Words of the benchmark in one block; bytes of text in one shard.
-BLOCK_WORDS, SHARD_BYTES = 400_000, 4 << 20
+BLOCK_WORDS, SHARD_BYTES = 400_000, 2 << 20
 #: Every so many text positions one suffix position is kept.
 SAMPLE = 16
 #: Bytes of words: digits, lower-case letters, all beyond ASCII (texts are lower-cased before).
