@@ -11,17 +11,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.staging import staged  # noqa: F401
 
 #: Bytes of text that are worked on at once inside a task.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch between the JVM and Python.
+ROWS_PER_BATCH = 1000
 #: Spark's regular expression for a word: any run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after asking the session for Arrow batches of few rows, so that a task holds little text at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    return df
+
+
 def is_held_out(doc_id: str = "doc_id") -> Column:
     """The held-out quarter: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hashes, lut, row_of, runs, text_chunks
+from .common import LOWER, bounded_batches, hashes, lut, row_of, runs, text_chunks
 
 WINDOW = 13
 #: Contaminated: hit words of at least 1 / SHARE of all words.
@@ -246,7 +246,7 @@ def _lists(rows: np.ndarray, values: pa.Array, docs: int, kind: pa.DataType) ->
 
 def hits(docs: DataFrame, blocks: list[Block]) -> DataFrame:
     """``docs`` with the number of words, the hit spans (bytes; of each block) and the items of every row."""
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<struct<first:long,last:long,words:long>>"), "_items": F.lit(None).cast("array<long>")})
+    out = bounded_batches(docs).withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<struct<first:long,last:long,words:long>>"), "_items": F.lit(None).cast("array<long>")})
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     nothing = Block(np.empty(0, np.uint64), np.empty((0, WINDOW), np.int64), np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.int64))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, is_held_out, lut, text_chunks
+from .common import LOWER, bounded_batches, is_held_out, lut, text_chunks
 
 #: Bytes of a window; texts sampled for each language and windows of each text; languages at most.
 WINDOW, TEXTS, PER_TEXT, MOST_LANGUAGES = 192, 700, 4, 400
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, held_out: Column | None = None, per_language: int = TEXTS) -> DataFrame:

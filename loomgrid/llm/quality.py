@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_SEPARATED, by_row_and_value, hashes, row_of, runs, text_chunks
+from .common import LOWER, SPACE_SEPARATED, bounded_batches, by_row_and_value, hashes, row_of, runs, text_chunks
 
 #: Base rules: least words; most words in repeated windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -197,6 +197,7 @@ def judge_chunk(data: np.ndarray, offs: np.ndarray, refs: dict[str, dict], most_
 
 def judge_quality(docs: DataFrame, refs: dict[str, dict] | None = None, keep: tuple[str, ...] = ("doc_id",), **limits: float) -> DataFrame:
     """The columns ``keep`` of every document with its counts, distances and verdict; references come from ``docs`` where none are given."""
+    bounded_batches(docs)
     refs = language_references(docs) if refs is None else refs
     kept = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     names = list(keep)

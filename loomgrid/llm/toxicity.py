@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, by_row_and_value, hashes, is_held_out, lut, mix, row_of, runs, staged, text_chunks
+from .common import LOWER, bounded_batches, by_row_and_value, hashes, is_held_out, lut, mix, row_of, runs, staged, text_chunks
 
 SAMPLE_ROWS, VOTERS, LEAST_TEXTS, THRESHOLD = 20_000, 160, 3, 0.3
 #: An entry's share of the toxic texts must be so many times its share of the others; nats beyond chance.
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(p)], names=["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
