@@ -1,8 +1,8 @@
 """Main text of web pages, with removal of site templates.
 
 Every element subtree outside the running text of an article gets a hash of its tags, classes
-and text; Spark counts each hash's pages per host, and subtrees on many pages of a host (menus,
-notices, footers) are deleted. What is left of the article (else the main part, else the body)
+and text; Spark counts each hash's pages per host, and subtrees on ``LEAST_PAGES`` pages of a host
+(menus, notices, footers) are deleted, however many pages the host has. What is left of the article (else the main part, else the body)
 is cut into blocks, without elements whose tag or class marks them as furniture.
 
 Cases: a null, empty or text-free page gives an empty text; broken or cut-off markup is read as
@@ -15,20 +15,20 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, list_column, staged
 
-#: A subtree is a template if it is on so many pages of its host, and on so large a share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.5
-#: Template rows up to which the hosts' lists are sent to all tasks; beyond, pages are joined by host and salt.
-MOST_SENT, SALTS = 100_000, 16
+#: A subtree is a template if it is on so many pages of its host.
+LEAST_PAGES = 5
+#: Pages with templates up to which their lists are sent to all tasks (else joined by page); parts of a subtree's pages.
+MOST_SENT, SALTS = 100_000, 64
 
 # HTML's void, raw-text and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,10 +54,9 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 
-def host_of(url: str | None) -> str:
-    """Host of a URL, lower-cased, without user and port."""
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", url or "")
-    return m[1].rpartition("@")[2].partition(":")[0].lower() if m else ""
+def host() -> Column:
+    """Host of the URL, lower-cased, without user and port."""
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#]*@)?([^/?#:@]*)", 1))
 
 
 class _Open:
@@ -177,54 +176,37 @@ def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     return "\n".join(b[0] for k, b in enumerate(blocks) if not gone[k] and (not part or b[part]))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, hash, pages): partial sums of the pages that hold each subtree; hash -1 counts the host's pages."""
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, hashes): the distinct subtrees of each page."""
     for batch in batches:
-        seen: Counter = Counter()
-        for url, page in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True):
-            host = host_of(url)
-            seen[host, -1] += 1
-            for h in {t[0] for t in read_page(page.as_py() or "", only_trees=True)[1]}:
-                seen[host, h] += 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["host", "hash", "pages"])
-
-
-def host_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
-    """(host, templates): hashes of the subtrees that recur on many pages of each host."""
-    sums = pages.select("url", "html").mapInArrow(_count, "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages"))
-    sums = staged(sums.filter((F.col("pages") >= least) | (F.col("hash") == -1)), "subtrees")
-    hosts = sums.filter("hash = -1").select("host", F.col("pages").alias("all"))
-    often = sums.filter("hash <> -1").join(hosts, "host").filter(F.col("pages") >= share * F.col("all"))
-    # bounded: what stands on a share of the pages is at most the subtrees of a page / share
-    return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+        found = [np.unique(np.array([t[0] for t in read_page(page.as_py() or "", only_trees=True)[1]], dtype=np.int64)) for page in batch.column("html")]
+        offs = np.cumsum([0, *map(len, found)])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), list_column(np.concatenate([np.empty(0, np.int64), *found]), offs, pa.int64())], names=["host", "page", "hashes"])
+
+
+def page_templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+    """(host, page, templates): hashes of the templates on each page that has some; ``page`` is the hash of its text."""
+    keys = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), "html")
+    rows = keys.mapInArrow(_subtrees, "host string, page long, hashes array<long>")
+    rows = staged(rows.select("host", "page", F.explode("hashes").alias("hash"), F.pmod("page", F.lit(SALTS)).alias("salt")), "subtrees")
+    # a subtree's pages are counted, and joined, in parts, as it can be on all pages of a large host
+    parts = rows.groupBy("host", "hash", "salt").agg(F.count(F.lit(1)).alias("n"))
+    often = parts.withColumn("pages", F.sum("n").over(Window.partitionBy("host", "hash"))).filter(F.col("pages") >= least).select("host", "hash", "salt")
+    return rows.join(often, ["host", "hash", "salt"]).groupBy("host", "page").agg(F.collect_set("hash").alias("templates"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column("_templates")
-        known: dict[tuple, frozenset] = {}
-        texts = []
-        for k, page in enumerate(batch.column("html")):
-            key = tuple(lists[k].as_py() or ())
-            texts.append(main_text(page.as_py(), known.setdefault(key, frozenset(key))))
+        texts = [main_text(page.as_py(), frozenset(lists.as_py() or ())) for page, lists in zip(batch.column("html"), batch.column("_templates"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract_text(pages: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
+def extract_text(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    templates = staged(host_templates(pages, least, share), "templates")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#]*@)?([^/?#:@]*)", 1))
-    base = pages.select("page_id", "url", "html").withColumn("_host", host)
-    if templates.agg(F.sum(F.size("templates"))).first()[0] or 0:
-        if templates.agg(F.sum(F.size("templates")).alias("n")).filter(f"n <= {MOST_SENT}").count():
-            joined = base.join(F.broadcast(templates), base["_host"] == templates["host"], "left")
-        else:
-            salted = templates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            base = base.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-            joined = base.join(salted, (base["_host"] == salted["host"]) & (base["_salt"] == salted["_salt"]), "left")
-        joined = joined.select("page_id", "url", "html", F.col("templates").alias("_templates"))
-    else:
-        joined = base.select("page_id", "url", "html", F.lit(None).cast("array<long>").alias("_templates"))
+    pages = bounded_batches(pages)
+    templates = staged(page_templates(pages, least).withColumnsRenamed({"host": "_host", "page": "_page", "templates": "_templates"}), "templates")
+    base = pages.select("page_id", "url", "html", host().alias("_host"), F.xxhash64("html").alias("_page"))
+    few = templates.count() <= MOST_SENT
+    joined = base.join(F.broadcast(templates) if few else templates, ["_host", "_page"], "left").select("page_id", "url", "html", "_templates")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select("page_id", "url").schema)
     return joined.mapInArrow(_extract, f"{fields}, text string, n_chars long")

@@ -281,6 +281,17 @@ def test_site_templates_are_removed(spark):
     assert got[3] == "Story 3 xxx" and got[99].startswith("Welcome to the site\nStory 99") and got[100] == ""
 
 
+def test_templates_on_a_few_pages_of_a_host_are_removed(spark):
+    def page(k):
+        boxes = f"<div><p>Club {k}</p></div>" + "".join(f"<div><p>Box of {n} pages</p></div>" for n in (4, 5, 30) if k < n)
+        return f"<body>{boxes}<article><h1>Title {k}</h1><p>Story {k} {'word ' * 30}</p></article><section><p>Tail</p></section></body>".replace("article", "section" if k % 2 else "article")
+
+    pages = [(k, f"http://h.example/{k}", page(k)) for k in range(100)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    story = lambda k: f"Title {k}\nStory {k} {'word ' * 30}".strip()
+    assert all(got[k] == (story(k) if k % 2 == 0 else f"Club {k}\n{'Box of 4 pages' + chr(10) if k < 4 else ''}{story(k)}") for k in range(100))
+
+
 # ---------------------------------------------------------------- learned operators
 
 
