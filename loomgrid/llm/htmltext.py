@@ -2,7 +2,9 @@
 
 Every element subtree outside the running text of an article gets a hash of its tags, classes
 and text; Spark counts each hash's pages per host, and subtrees on ``LEAST_PAGES`` pages of a host
-(menus, notices, footers) are deleted, however many pages the host has. What is left of the article (else the main part, else the body)
+(menus, notices, footers) are deleted, however many pages the host has. Pages of a host with the
+same body count once, and html, body, what holds an article or main, and what holds most of a
+page's text are never templates, so copies of an article don't empty each other. What is left of the article (else the main part, else the body)
 is cut into blocks, without elements whose tag or class marks them as furniture.
 
 Cases: a null, empty or text-free page gives an empty text; broken or cut-off markup is read as
@@ -60,13 +62,14 @@ def host() -> Column:
 
 
 class _Open:
-    """An open element: its tag, whether its text is dropped, and its pieces so far."""
+    """An open element: its tag, whether its text is dropped, its pieces so far, their text's length, and whether it holds an article or main."""
 
-    __slots__ = ("tag", "drop", "prose", "article", "main", "pieces", "first", "mark")
+    __slots__ = ("tag", "drop", "prose", "article", "main", "pieces", "first", "mark", "size", "holds")
 
     def __init__(self, tag: str, drop: bool, prose: bool, article: bool, main: bool, first: int, mark: int = 0) -> None:
         self.tag, self.drop, self.prose, self.article, self.main, self.first, self.mark = tag, drop, prose, article, main, first, mark
         self.pieces: list[str] = []
+        self.size, self.holds = 0, False
 
 
 def _decoded(raw: str) -> str:
@@ -76,13 +79,13 @@ def _decoded(raw: str) -> str:
     return " ".join(raw.split())
 
 
-def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int, int]]]:
-    """Blocks (text, in an article, in the main part) in page order, and subtrees (hash, first block, block after the last).
+def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int, int]], int]:
+    """Blocks (text, in an article, in the main part) in page order, subtrees (hash, first block, block after the last), and the body's hash.
 
     Hashes are of the text as it stands, so that counting needn't decode it.
     """
     blocks: list[tuple[str, bool, bool]] = []
-    trees: list[tuple[int, int, int]] = []
+    trees: list[tuple[int, int, int, int]] = []
     stack = [_Open("", False, True, False, False, 0)]
     text: list[str] = []
 
@@ -97,6 +100,7 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) ->
                     blocks.append((s, top.article, top.main))
                 if not only_blocks and (raw := raw.strip()):
                     top.pieces.append(raw)
+                    top.size += len(raw)
                 text.clear()
 
     def close(depth: int) -> None:
@@ -104,12 +108,15 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) ->
             if stack[-1].tag in BLOCK or stack[-1].drop:
                 flush()
             top = stack.pop()
+            up = stack[-1]
+            up.size += top.size
+            up.holds |= not top.drop and (top.holds or top.tag in ("article", "main"))
             if top.pieces:
                 inner = f"<{top.tag}>{''.join(top.pieces)}</>"
                 h = xxhash.xxh64_intdigest(inner) >> 1
-                stack[-1].pieces.append(f"{h:x};")
-                if not top.drop and top.tag in BLOCK and not (top.prose and (top.article or top.main)):
-                    trees.append((h, top.first, len(blocks)))
+                up.pieces.append(f"{h:x};")
+                if not top.drop and not top.holds and top.tag in BLOCK and top.tag not in ("html", "body") and not (top.prose and (top.article or top.main)):
+                    trees.append((h, top.first, len(blocks), top.size))
 
     at, n = 0, len(page)
     while at < n:
@@ -162,12 +169,13 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) ->
         stack.append(_Open(tag, drop, tag in PROSE, up.article or tag == "article", up.main or tag == "main", len(blocks), mark))
     flush()
     close(1)
-    return blocks, trees
+    root = stack[0]
+    return blocks, [t[:3] for t in trees if 2 * t[3] <= root.size], xxhash.xxh64_intdigest("".join(root.pieces)) >> 1
 
 
 def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     """The page's main text without the given subtrees."""
-    blocks, trees = read_page(page or "", only_blocks=not templates)
+    blocks, trees, _ = read_page(page or "", only_blocks=not templates)
     gone = bytearray(len(blocks) + 1)
     for h, a, b in trees:
         if h in templates:
@@ -177,22 +185,27 @@ def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, hashes): the distinct subtrees of each page."""
+    """(host, page, body, hashes): the distinct subtrees of each page, and the hash of its body."""
     for batch in batches:
-        found = [np.unique(np.array([t[0] for t in read_page(page.as_py() or "", only_trees=True)[1]], dtype=np.int64)) for page in batch.column("html")]
+        read = [read_page(page.as_py() or "", only_trees=True) for page in batch.column("html")]
+        found = [np.unique(np.array([t[0] for t in trees], dtype=np.int64)) for _, trees, _ in read]
         offs = np.cumsum([0, *map(len, found)])
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), list_column(np.concatenate([np.empty(0, np.int64), *found]), offs, pa.int64())], names=["host", "page", "hashes"])
+        hashes = list_column(np.concatenate([np.empty(0, np.int64), *found]), offs, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array([r[2] for r in read], pa.int64()), hashes], names=["host", "page", "body", "hashes"])
 
 
 def page_templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     """(host, page, templates): hashes of the templates on each page that has some; ``page`` is the hash of its text."""
     keys = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), "html")
-    rows = keys.mapInArrow(_subtrees, "host string, page long, hashes array<long>")
-    rows = staged(rows.select("host", "page", F.explode("hashes").alias("hash"), F.pmod("page", F.lit(SALTS)).alias("salt")), "subtrees")
+    read = staged(keys.mapInArrow(_subtrees, "host string, page long, body long, hashes array<long>").filter(F.size("hashes") > 0), "subtrees")
+    # copies of a body are one page
+    rows = read.select("host", "body", F.explode("hashes").alias("hash")).distinct().withColumn("salt", F.pmod("body", F.lit(SALTS)))
+    rows = staged(rows, "subtrees")
     # a subtree's pages are counted, and joined, in parts, as it can be on all pages of a large host
     parts = rows.groupBy("host", "hash", "salt").agg(F.count(F.lit(1)).alias("n"))
     often = parts.withColumn("pages", F.sum("n").over(Window.partitionBy("host", "hash"))).filter(F.col("pages") >= least).select("host", "hash", "salt")
-    return rows.join(often, ["host", "hash", "salt"]).groupBy("host", "page").agg(F.collect_set("hash").alias("templates"))
+    known = staged(rows.join(often, ["host", "hash", "salt"]).groupBy("host", "body").agg(F.collect_set("hash").alias("templates")), "known")
+    return read.select("host", "page", "body").distinct().join(known, ["host", "body"]).select("host", "page", "templates")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

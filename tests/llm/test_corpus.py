@@ -281,7 +281,10 @@ def test_site_templates_are_removed(spark):
     assert got[3] == "Story 3 xxx" and got[99].startswith("Welcome to the site\nStory 99") and got[100] == ""
 
 
-def test_templates_on_a_few_pages_of_a_host_are_removed(spark):
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_templates_on_a_few_pages_of_a_host_are_removed(spark, monkeypatch, sent):
+    monkeypatch.setattr(htmltext, "MOST_SENT", sent)
+
     def page(k):
         boxes = f"<div><p>Club {k}</p></div>" + "".join(f"<div><p>Box of {n} pages</p></div>" for n in (4, 5, 30) if k < n)
         return f"<body>{boxes}<article><h1>Title {k}</h1><p>Story {k} {'word ' * 30}</p></article><section><p>Tail</p></section></body>".replace("article", "section" if k % 2 else "article")
@@ -292,6 +295,19 @@ def test_templates_on_a_few_pages_of_a_host_are_removed(spark):
     assert all(got[k] == (story(k) if k % 2 == 0 else f"Club {k}\n{'Box of 4 pages' + chr(10) if k < 4 else ''}{story(k)}") for k in range(100))
 
 
+def test_copies_of_a_page_do_not_empty_each_other(spark):
+    story = "".join(f"<p>Part {k} of the story</p>" for k in range(6))
+    plain = f"<body><div><section>{story}</section></div></body>"
+    framed = lambda k: f"<body><nav>{k}</nav><div class=wrap><div><article>{story}</article></div><div><p>Printed {k}</p></div></div></body>"
+    wrapped = lambda k: f"<body><div>{'One long story. ' * 9}</div><div>Copy {k}</div></body>"
+    pages = [(k, f"http://a.example/?p={k}", plain) for k in range(12)] + [(100 + k, None, plain + " " * k) for k in range(12)]
+    pages += [(200 + k, f"http://b.example/{k}", framed(k)) for k in range(12)] + [(300 + k, f"http://c.example/{k}", wrapped(k)) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    whole = "\n".join(f"Part {k} of the story" for k in range(6))
+    assert len(got) == 48 and all(t == whole for k, t in got.items() if k < 300)
+    assert all(got[300 + k] == f"{('One long story. ' * 9).strip()}\nCopy {k}" for k in range(12))
+
+
 # ---------------------------------------------------------------- learned operators
 
 
