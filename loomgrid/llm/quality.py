@@ -4,9 +4,13 @@ Base rules look at counts of words, symbols, repeated lines and repeated three-w
 The verdict compares each document with language references that are summed over the whole
 corpus: a histogram of character classes and one of common short words, by Jensen-Shannon
 distance to the nearest language. Both need a least length, below which they don't judge.
+Where a language's short words are so rare that a text without any lies within the limit, its
+common words of any length take their place, in two bins and with a limit relative to the distance
+of a text without any; a language without common words (no spaces) holds what is near by classes.
 
-Cases: a null or empty text has no words and fails the base rules; an unknown language joins
-the references under ``und``; repeated rows are judged alike; an empty table gives an empty
+Cases: a null or empty text has no words and fails the base rules; documents without a language,
+or of one with too little text, make no reference and are judged by the others (where no language
+has enough, all count, then those without one); repeated rows are judged alike; an empty table gives an empty
 result; a very long text is worked on whole, in its own chunk.
 """
 
@@ -26,6 +30,10 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Most Jensen-Shannon distance (0 to 1) to the nearest language reference, and words below which a histogram doesn't judge.
 MOST_CLASS_DISTANCE, LEAST_WORDS_CLASSES = 0.22, 20
 MOST_WORD_DISTANCE, LEAST_WORDS_COMMON = 0.385, 80
+#: Documents with words, and words, that make a language a reference.
+LEAST_DOCS, LEAST_TEXT = 10, 1000
+#: Words of any length: most distance as a share of that of a text without any, and the share of all words that they need.
+MOST_SHARE, LEAST_MASS = 0.6, 0.1
 #: Common words: as many as this for each language, of at most so many bytes.
 COMMON, COMMON_BYTES = 40, 4
 
@@ -111,7 +119,7 @@ def short_words(data: np.ndarray, words: tuple) -> tuple[np.ndarray, np.ndarray]
 
 
 def _reference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums for the references: (lang, kind, item, n); kind 0: character class, 1: short word, 2: all words."""
+    """Partial sums for the references: (lang, kind, item, n); kind 0: character class, 1: short word, 2: all words, 3: documents with words."""
     for batch in batches:
         lang = batch.column("lang").cast(pa.string()).fill_null("und").to_numpy(zero_copy_only=False)
         for a, b, data, offs in text_chunks(batch.column("text")):
@@ -123,29 +131,64 @@ def _reference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             n_words = np.diff(words[2])
             for k, name in enumerate(names):
                 item, n = np.unique(code[at == k], return_counts=True)
-                items = np.concatenate([np.arange(CLASSES), item, [0]])
-                kinds = np.concatenate([np.zeros(CLASSES), np.ones(len(item)), [2]])
-                counts = np.concatenate([classes[of == k].sum(axis=0), n, [n_words[of == k].sum()]])
+                items = np.concatenate([np.arange(CLASSES), item, [0, 0]])
+                kinds = np.concatenate([np.zeros(CLASSES), np.ones(len(item)), [2, 3]])
+                counts = np.concatenate([classes[of == k].sum(axis=0), n, [n_words[of == k].sum(), (n_words[of == k] > 0).sum()]])
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(items)), pa.array(kinds.astype(np.int32)), pa.array(items.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "kind", "item", "n"])
 
 
-def language_references(docs: DataFrame) -> dict[str, dict]:
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums of words of any length: (lang, item, n), the item being the lower-cased word's hash."""
+    for batch in batches:
+        names, of = np.unique(batch.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        for a, b, data, offs in text_chunks(batch.column("text")):
+            starts, ends, wofs = runs(SPACE_SEPARATED[data], offs)
+            h, at = hashes(LOWER[data], starts, ends).view(np.int64), of[a:b][row_of(wofs)]
+            for k, name in enumerate(names):
+                item, n = np.unique(h[at == k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(item), pa.string()), pa.array(item), pa.array(n.astype(np.int64))], names=["lang", "item", "n"])
+
+
+def _without(mass: float) -> float:
+    """Distance of a text with none of the common words to a reference whose common words are ``mass`` of its words."""
+    return float(js_distance(np.array([[0.0, 1.0]]), np.array([mass, 1 - mass]))[0])
+
+
+def language_references(docs: DataFrame, most_word: float = MOST_WORD_DISTANCE, by_sql: bool = False) -> dict[str, dict]:
     """Per language the class histogram and its COMMON most frequent short words, over the whole corpus.
 
-    The result is bounded: languages times (classes + COMMON) numbers.
+    Where short words can't judge, "common" has those of any length. ``by_sql``: short words of each
+    language and ``und``, as the query's SQL has it. The result is bounded:
+    languages times (classes + COMMON) numbers.
     """
     sums = docs.select("lang", "text").mapInArrow(_reference_rows, "lang string, kind int, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), F.desc("item")))
     out: dict[str, dict] = {}
     for r in sums.withColumn("place", place).filter(F.col("place") <= COMMON).collect():
-        ref = out.setdefault(r["lang"], {"classes": np.zeros(CLASSES), "words": {}, "all": 0})
+        ref = out.setdefault(r["lang"], {"classes": np.zeros(CLASSES), "words": {}, "all": 0, "docs": 0})
         if r["kind"] == 0:
             ref["classes"][r["item"]] = r["n"]
         elif r["kind"] == 1:
             ref["words"][r["item"]] = r["n"]
-        else:
+        elif r["kind"] == 2:
             ref["all"] = r["n"]
-    return {k: v for k, v in out.items() if v["all"]}
+        else:
+            ref["docs"] = r["n"]
+    out = {k: v for k, v in out.items() if v["all"]}
+    if by_sql:
+        return out
+    known = {k: v for k, v in out.items() if k != "und"}
+    out = {k: v for k, v in known.items() if v["docs"] >= LEAST_DOCS and v["all"] >= LEAST_TEXT} or known or out
+    weak = [k for k, v in out.items() if _without(sum(v["words"].values()) / v["all"]) <= most_word]
+    if weak:
+        lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
+        words = docs.select(lang, "text").filter(F.col("lang").isin(weak)).mapInArrow(_word_rows, "lang string, item long, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("item")))
+        for k in weak:
+            out[k]["common"] = {}
+        for r in words.withColumn("place", place).filter(F.col("place") <= COMMON).collect():
+            out[r["lang"]]["common"][r["item"]] = r["n"]
+    return out
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -156,8 +199,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.sqrt(np.clip((kl(p) + kl(np.broadcast_to(q, p.shape))) / 2, 0, 1))
 
 
-def distances(data: np.ndarray, offs: np.ndarray, words: tuple, refs: dict[str, dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's distance to the nearest language: of character classes, and of common words (one more bin for all others)."""
+def distances(data: np.ndarray, offs: np.ndarray, words: tuple, refs: dict[str, dict], most_class: float = MOST_CLASS_DISTANCE, most_word: float = MOST_WORD_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distance to the nearest language: of character classes, and of common words (one more bin for all others).
+
+    Distances by words of any length are scaled so that ``most_word`` is their limit, too.
+    """
     docs = len(offs) - 1
     classes = class_counts(data, offs).astype(float)
     classes /= np.maximum(classes.sum(axis=1, keepdims=True), 1)
@@ -165,8 +211,19 @@ def distances(data: np.ndarray, offs: np.ndarray, words: tuple, refs: dict[str,
     small, code = short_words(data, words)
     rows = row_of(words[2])[small]
     by_class, by_word = np.ones(docs), np.ones(docs)
+    every = hashes(LOWER[data], words[0], words[1]).view(np.int64) if any("common" in ref for ref in refs.values()) else None
     for ref in refs.values():
-        by_class = np.minimum(by_class, js_distance(classes, ref["classes"] / max(ref["classes"].sum(), 1)))
+        of_class = js_distance(classes, ref["classes"] / max(ref["classes"].sum(), 1))
+        by_class = np.minimum(by_class, of_class)
+        if "common" in ref:
+            mass = sum(ref["common"].values()) / ref["all"]
+            if mass < LEAST_MASS:
+                by_word = np.where(of_class <= most_class, 0.0, by_word)
+                continue
+            hit = np.bincount(row_of(words[2])[np.isin(every, np.array(list(ref["common"]), dtype=np.int64))], minlength=docs) / np.maximum(n_words, 1)
+            far = js_distance(np.stack([hit, 1 - hit], axis=1), np.array([mass, 1 - mass]))
+            by_word = np.minimum(by_word, far * (most_word / (MOST_SHARE * _without(mass))))
+            continue
         known = np.array(sorted(ref["words"]), dtype=np.int64)
         hist = np.zeros((docs, len(known) + 1))
         if len(known):
@@ -187,7 +244,7 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def judge_chunk(data: np.ndarray, offs: np.ndarray, refs: dict[str, dict], most_class: float = MOST_CLASS_DISTANCE, most_word: float = MOST_WORD_DISTANCE) -> dict[str, np.ndarray]:
     words = runs(SPACE_SEPARATED[data], offs)
     out = base_counts(data, offs, words)
-    out["class_distance"], out["word_distance"] = distances(data, offs, words, refs)
+    out["class_distance"], out["word_distance"] = distances(data, offs, words, refs, most_class, most_word)
     n = out["n_words"]
     out["base_failed"] = (n < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEATED * n)
     odd = (n >= LEAST_WORDS_CLASSES) & (out["class_distance"] > most_class) | (n >= LEAST_WORDS_COMMON) & (out["word_distance"] > most_word)
@@ -195,10 +252,10 @@ def judge_chunk(data: np.ndarray, offs: np.ndarray, refs: dict[str, dict], most_
     return out
 
 
-def judge_quality(docs: DataFrame, refs: dict[str, dict] | None = None, keep: tuple[str, ...] = ("doc_id",), **limits: float) -> DataFrame:
+def judge_quality(docs: DataFrame, refs: dict[str, dict] | None = None, keep: tuple[str, ...] = ("doc_id",), by_sql: bool = False, **limits: float) -> DataFrame:
     """The columns ``keep`` of every document with its counts, distances and verdict; references come from ``docs`` where none are given."""
     bounded_batches(docs)
-    refs = language_references(docs) if refs is None else refs
+    refs = language_references(docs, limits.get("most_word", MOST_WORD_DISTANCE), by_sql) if refs is None else refs
     kept = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     names = list(keep)
 

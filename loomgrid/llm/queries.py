@@ -47,8 +47,8 @@ def op9_template_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, base rules and the divergence verdict of every document."""
-    out = quality.judge_quality(_table(spark, sf_dir, "documents"))
+    """Counts, base rules and the divergence verdict of every document, with the references of the SQL."""
+    out = quality.judge_quality(_table(spark, sf_dir, "documents"), by_sql=True)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -184,6 +184,26 @@ def test_quality_judges_divergence(spark):
     assert quality.keep_good(docs_of(spark, good).limit(0)).count() == 0
 
 
+def test_quality_judges_junk_of_no_language_and_long_words(spark):
+    r = random.Random(21)
+    english = lambda: " ".join(r.choice("the of and to in a is".split()) if r.random() < 0.4 else r.choice("tree house water people morning evening".split()) + r.choice("abcdefgh") for _ in range(120))
+    common = "который поэтому однако человек потому".split()
+    voice = ["".join(r.choice("абвгдежзиклмнопрст") for _ in range(9)) for _ in range(900)]
+    russian = lambda share: " ".join(r.choice(common) if r.random() < share else r.choice(voice) for _ in range(120))
+    junk = lambda: " ".join("".join(r.choice("bcdfghjk") for _ in range(9)) for _ in range(120))
+    odd = lambda: " ".join("".join(r.choice("уфхцчшщъыьэюя") for _ in range(9)) for _ in range(120))
+    chinese = lambda: " ".join("".join(chr(r.randrange(0x4E00, 0x5E00)) for _ in range(9)) for _ in range(90))
+    made = [(english(), "en") for _ in range(40)] + [(russian(0.25), "ru") for _ in range(40)] + [(english(), None), (russian(0.25), "xx")]
+    bad = [(junk(), None) for _ in range(12)] + [(junk(), "zz"), (odd(), "ru"), (odd(), None)]
+    langs = [lang for _, lang in made + bad]
+    got = {x["doc_id"]: x["kept"] for x in quality.judge_quality(docs_of(spark, [t for t, _ in made + bad], lang=lambda k: langs[k])).collect()}
+    assert [got[k] for k in range(len(langs))] == [True] * len(made) + [False] * len(bad)
+    more = made + bad + [(chinese(), "zh") for _ in range(20)]
+    langs = [lang for _, lang in more]
+    got = {x["doc_id"]: x["kept"] for x in quality.judge_quality(docs_of(spark, [t for t, _ in more], lang=lambda k: langs[k])).collect()}
+    assert all(got[k] for k in range(len(made))) and all(got[k] for k in range(len(made + bad), len(more))) and not any(got[len(made) + k] for k in range(13))
+
+
 # ---------------------------------------------------------------- mixing, sharding
 
 
