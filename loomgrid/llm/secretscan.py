@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame operations only.
 
-Candidates are long strings with digits, and values that are assigned to a name of a credential.
+Candidates are long strings with digits, and values that are assigned to a name of a credential,
+in the same word or in the words before it; a word can hold any number of them.
 Each has features of its length, characters, transitions between character classes, entropy, how
 much of it the corpus's common short words cover, path-like marks, and the words beside it. The
 forest (Spark ML, in the JVM) is trained on labelled findings: those given, or else those that
@@ -25,11 +26,16 @@ from pyspark.sql import functions as F
 from .common import is_held_out, staged
 
 #: A run of 16 or more token characters with a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Names of credentials (fixed values), and such a name at the end of a word.
 NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "key")
-NAMED = "(?i)(?:" + "|".join(NAMES) + r")s?[\"']?\s*[:=]*$"
-ASSIGNED = "(?i)(?:" + "|".join(NAMES) + r")s?[\"']?[:=]+[\"']?([^\x20\x09-\x0D\"',;]{8,})"
+_NAME = "(?i)(?:" + "|".join(NAMES) + r")s?[\"']?"
+NAMED = _NAME + "$"
+ASSIGNED = _NAME + "[:=]+[\"']?((?:(?!&[A-Za-z0-9_-]{1,64}=)[^\x20\x09-\x0D\"',;]){8,})"
+#: A name with a mark of assignment, also with white space before the mark; and the value at the begin of a word.
+NAMES_ONE, VALUE = _NAME + r"[\x20\x09-\x0D]*[:=]", "^[:=]*[\"']?([^\x20\x09-\x0D\"',;]{8,})"
+#: Characters of the word on each side of a candidate, and of the words beside it, that features look at.
+NEAR = 200
 #: Forms that aren't secrets: card-like or other digits, dates, dotted numbers, UUIDs.
 HARMLESS = r"^(?:[0-9][0-9_/-]*|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
 #: Words of the dictionary, their letters; rows of training; the forest; a secret's least score.
@@ -45,14 +51,23 @@ def dictionary(docs: DataFrame, words: int = DICTIONARY) -> list[str]:
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, ordinal of the word, value, and the words around each candidate."""
-    hit = docs.select("doc_id", "text").filter(F.col("text").rlike(TOKEN) | F.col("text").rlike(ASSIGNED))
+    """doc_id, ordinal of the word, part (the candidate's number in it), value, whether it is assigned, and the text around each candidate."""
+    hit = docs.select("doc_id", "text").filter(F.col("text").rlike(TOKEN) | F.col("text").rlike(NAMES_ONE))
     words = hit.select("doc_id", F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
-    at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i.cast("int")).rlike(TOKEN) | F.element_at("w", i.cast("int")).rlike(ASSIGNED))
-    near = lambda k: F.coalesce(F.try_element_at("w", F.when(F.col("i") + k >= 1, (F.col("i") + k).cast("int")).otherwise(F.size("w") + 1)), F.lit(""))
-    rows = words.withColumn("i", F.explode(at)).select("doc_id", F.col("i").cast("long").alias("ordinal"), near(0).alias("word"), near(-1).alias("b1"), near(-2).alias("b2"), near(1).alias("after"))
-    token, assigned = F.regexp_extract("word", TOKEN, 0), F.regexp_extract("word", ASSIGNED, 1)
-    return rows.withColumn("value", F.when(assigned != "", assigned).otherwise(token))
+    near = lambda i, k: F.coalesce(F.try_element_at("w", F.when(i + k >= 1, (i + k).cast("int")).otherwise(F.size("w") + 1)), F.lit(""))
+    follows = lambda word, b1, b2: b1.rlike(_NAME + "[:=]+$") | (b1.rlike(NAMED) & word.rlike("^[:=]")) | (b1.rlike("^[:=]+$") & b2.rlike(NAMED))
+    at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: near(i, 0).rlike(TOKEN) | near(i, 0).rlike(ASSIGNED) | (near(i, 0).rlike(VALUE) & follows(near(i, 0), near(i, -1), near(i, -2))))
+    i = F.col("i")
+    rows = words.withColumn("i", F.explode(at)).select("doc_id", i.cast("long").alias("ordinal"), near(i, 0).alias("word"), near(i, -1).alias("b1"), near(i, -2).alias("b2"), near(i, 1).alias("after"))
+    first = F.when(follows(F.col("word"), F.col("b1"), F.col("b2")), F.array(F.regexp_extract("word", VALUE, 1))).otherwise(F.array().cast("array<string>"))
+    assigned = F.array_distinct(F.filter(F.concat(first, F.regexp_extract_all("word", F.lit(ASSIGNED), 1)), lambda v: v != ""))
+    rows = rows.select("*", assigned.alias("set"), F.array_distinct(F.regexp_extract_all("word", F.lit(TOKEN), 0)).alias("tokens"))
+    # a token inside an assigned value isn't one more candidate
+    free = F.filter("tokens", lambda t: ~F.exists("set", lambda v: F.contains(v, t)))
+    each = lambda values, mark: F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(mark).alias("is_assigned")))
+    rows = rows.select("doc_id", "ordinal", "word", *[F.substring(c, -NEAR, NEAR).alias(c) for c in ("b1", "b2")], F.substring("after", 1, NEAR).alias("after"), F.posexplode(F.concat(each(F.col("set"), True), each(free, False))).alias("part", "c"))
+    begin = F.greatest(F.instr("word", F.col("c.value")) - NEAR, F.lit(1))
+    return rows.select("doc_id", "ordinal", F.col("part").cast("long").alias("part"), "b1", "b2", "after", F.col("c.value").alias("value"), F.col("c.is_assigned").alias("is_assigned"), F.substring("word", begin, F.length("c.value") + 2 * NEAR).alias("word"))
 
 
 def features(found: DataFrame, words: list[str]) -> DataFrame:
@@ -73,7 +88,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "slashes": F.length(F.regexp_replace("word", "[^/]", "")), "dots": F.length(F.regexp_replace("word", "[^.]", "")),
         "path_like": F.col("word").rlike(r"^(?:[a-zA-Z]+://|/|\./|~)|\.[a-z]{2,4}$"),
         "named": pair.rlike("(?i)" + "|".join(NAMES)),
-        "assigned": F.regexp_replace(pair, r"[:=]\s*$", "").rlike(NAMED) & F.col("b1").rlike("[:=]$") | F.col("word").rlike(ASSIGNED),
+        "assigned": F.col("is_assigned"),
         "quoted": F.col("word").rlike("^[\"'].*[\"']|[:=][\"']"),
         "before_length": F.length("b1"), "after_length": F.length("after"),
     }
@@ -86,15 +101,17 @@ def rule_label() -> Column:
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """doc_id, ordinal, value_sha256, length, score, secret of every candidate.
+    """doc_id, ordinal, part, value_sha256, length, score, secret of every candidate.
 
-    ``labelled`` (doc_id, ordinal, label 0 or 1), if given, takes the place of the rules' labels.
+    ``labelled`` (doc_id, ordinal, label 0 or 1, and part where a word has several candidates), if given,
+    takes the place of the rules' labels.
     """
     found = staged(features(findings(docs), dictionary(docs)), "findings")
     rules = found.withColumn("label", rule_label())
-    known = rules if labelled is None else found.join(labelled.select("doc_id", "ordinal", F.col("label").cast("double").alias("label")), ["doc_id", "ordinal"])
+    key = ["doc_id", "ordinal", *(c for c in (labelled.columns if labelled is not None else ()) if c == "part")]
+    known = rules if labelled is None else found.join(labelled.select(*key, F.col("label").cast("double").alias("label")), key)
     known = known.filter(F.col("label").isNotNull() & ~is_held_out())
-    train = staged(known.orderBy(F.xxhash64("doc_id", "ordinal"), "value").limit(TRAIN_ROWS).select("label", *FEATURES), "train")
+    train = staged(known.orderBy(F.xxhash64("doc_id", "ordinal"), "value", "part").limit(TRAIN_ROWS).select("label", *FEATURES), "train")
     if train.select("label").distinct().count() < 2:
         scored = rules.withColumn("score", F.coalesce("label", F.lit(0.5)))
     else:
@@ -102,4 +119,4 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
         forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
         model = forest.fit(assembler.transform(train))
         scored = model.transform(assembler.transform(found)).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", "ordinal", F.sha2("value", 256).alias("value_sha256"), F.col("length").cast("long").alias("length"), "score", (F.col("score") >= THRESHOLD).alias("secret"))
+    return scored.select("doc_id", "ordinal", "part", F.sha2("value", 256).alias("value_sha256"), F.col("length").cast("long").alias("length"), "score", (F.col("score") >= THRESHOLD).alias("secret"))
