@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; what it
 returns is written as Parquet in the shared folder and read again as the next stage's documents.
+
+Cases, as the operators have them: documents with a null or empty text fail the quality rules, so none
+goes on; very long texts are worked on whole; equal rows are copies, of which one stays; in ties the smallest id stays; an
+empty table gives an empty table; further columns go through all stages, whatever their names
+(``n_chars`` follows a cut text, ``shard`` is replaced).
 """
 
 from __future__ import annotations
@@ -9,17 +14,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgrid.llm import decontam, mixing, neardup, quality, shard
-from loomgrid.llm.common import staged
+from loomgrid.llm.common import small_batches, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near a language's distributions."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, linked as in the query of the same operator (two-word shingles, 0.8)."""
-    return neardup.drop_near_duplicates(docs, words=2, percent=80)
+    """One document of each group of near-duplicates (five-word shingles, 0.8)."""
+    return neardup.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
