@@ -11,23 +11,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.staging import staged  # noqa: F401
 
 #: Bytes of text that are worked on at once inside a task.
 CHUNK_BYTES = 1 << 20
-#: Rows of an Arrow batch between the JVM and Python.
-ROWS_PER_BATCH = 1000
 #: Spark's regular expression for a word: any run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, after asking the session for Arrow batches of few rows, so that a task holds little text at once."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    return df
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to few rows and bytes, so that a task holds little text at once.
+
+    For applications (the registered queries, the pipeline); operators leave the session alone.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -44,20 +58,18 @@ def _table(seed: int, n: int = 256) -> np.ndarray:
 
 _BYTE = _table(11)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = []
+#: Bytes of a block of the running sum; powers of the hash base, and of its inverse modulo 2**64, inside a block.
+_BLOCK = 1 << 16
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, dtype=np.uint64)
+    x[0] = 1
+    return np.cumprod(x, dtype=np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base, and of its inverse modulo 2**64, up to ``n``."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            both.append(np.cumprod(x, dtype=np.uint64))
-        _powers[:] = both
-    return _powers[0], _powers[1]
+_UP, _DOWN = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,7 +101,8 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
     """Rows ``[a, b)`` of a string column with their bytes and offsets (from 0); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    arr = column.cast(pa.large_binary()).fill_null(b"")
+    arr = column.cast(pa.large_binary())
+    arr = arr.fill_null(b"") if arr.null_count else arr
     n = len(arr)
     if not n:
         return
@@ -120,12 +133,17 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, by one running sum over the chunk."""
-    up, down = _power_tables(len(data) + 1)
-    total = np.empty(len(data) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte range, by one running sum over the chunk (with powers per block, so the tables are small)."""
+    n, blocks = len(data), len(data) // _BLOCK + 1
+    up, down = _powers(pow(_BASE, _BLOCK, 2**64), blocks), _powers(pow(_INVERSE, _BLOCK, 2**64), blocks)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    for q in range(blocks):
+        a, b = q * _BLOCK, min((q + 1) * _BLOCK, n)
+        part = total[a + 1 : b + 1]
+        np.cumsum(_BYTE[data[a:b]] * _UP[: b - a], out=part)
+        part *= up[q]
+        part += total[a]
+    return mix((total[ends] - total[starts]) * (_DOWN[starts % _BLOCK] * down[starts // _BLOCK]) + (ends - starts).astype(np.uint64))
 
 
 def row_of(offs: np.ndarray) -> np.ndarray:

@@ -6,13 +6,16 @@ are sorted, the Burrows-Wheeler transform goes into a wavelet matrix, and all wi
 test items are searched backwards together. Occurrences are found by walking to sampled suffix
 positions; the spans of a document are merged.
 
-The benchmark is sent to the tasks in blocks of bounded size (``BLOCK_WORDS``); each block
-is one more pass over the documents, so its size is no limit. Documents aren't shuffled.
+One Arrow function of the text does all of that, so only texts go to Python and only verdicts, and
+the cut texts of contaminated documents, come back. The words of the benchmark are hashed by Spark
+and come to the driver in blocks of at most ``BLOCK_WORDS`` words (or one item), one block at a time; the few blocks that
+a benchmark beyond that has are one staged pass over the documents each. Documents aren't shuffled.
 
 Cases: a null or empty text has no words and isn't contaminated; an empty benchmark finds
 nothing; an item without words has no window, one of fewer words than a window is one window;
-equal items are all reported; repeated rows are judged alike; columns with clashing names
-are kept as they are.
+equal items are all reported; an item with a null id is searched and counted, but is not in the list of ids;
+ids of any type are compared as strings; repeated rows are judged alike; ties can't arise; a very long text is
+a shard of its own; columns beside ``text`` are kept as they are, whatever their names (``n_chars`` is corrected).
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, hashes, lut, row_of, runs, text_chunks
+from .common import LOWER, columns_of, fresh, hashes, lut, row_of, runs, staged, text_chunks
 
 WINDOW = 13
 #: Contaminated: hit words of at least 1 / SHARE of all words.
 SHARE = 20
 #: Words of the benchmark in one block; bytes of text in one shard.
-BLOCK_WORDS, SHARD_BYTES = 400_000, 2 << 20
+BLOCK_WORDS, SHARD_BYTES = 4_000_000, 2 << 20
 #: Every so many text positions one suffix position is kept.
 SAMPLE = 16
 #: Bytes of words: digits, lower-case letters, all beyond ASCII (texts are lower-cased before).
@@ -125,13 +129,13 @@ class FMIndex:
         self.kept_before = np.concatenate([[0], np.cumsum(self.kept)])
         self.places = sa[self.kept]
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The range of suffixes that begin with each pattern (rows padded on the right)."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
+    def search(self, text: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of suffixes that begin with each pattern, a piece of ``text``."""
+        lo, hi = np.zeros(len(begins), np.int64), np.full(len(begins), self.n, np.int64)
         live = np.flatnonzero(lengths > 0)
         back = 1
         while len(live):
-            s = patterns[live, lengths[live] - back]
+            s = text[begins[live] + lengths[live] - back]
             lo[live] = self.first[s] + self.matrix.rank(s, lo[live])
             hi[live] = self.first[s] + self.matrix.rank(s, hi[live])
             back += 1
@@ -154,140 +158,112 @@ class FMIndex:
 
 
 class Block(NamedTuple):
-    """A part of the benchmark: its words' hashes (sorted), distinct windows as word numbers from 2, and the items of each window."""
+    """A part of the benchmark: its words' hashes (sorted), the items' words one after another as symbols from 2, each window's begin and length, its item, and the items' ids."""
 
     words: np.ndarray
-    windows: np.ndarray
+    text: np.ndarray
+    begins: np.ndarray
     lengths: np.ndarray
-    item_offs: np.ndarray
-    items: np.ndarray
+    item: np.ndarray
+    ids: list[str | None]
 
 
-def make_block(ids: list[int], texts: list[str | None], window: int = WINDOW) -> Block:
-    _, _, data, offs = next(text_chunks(pa.array(texts, pa.string()), 1 << 62))
-    low = LOWER[data]
-    starts, ends, wofs = runs(WORD_BYTES[low], offs)
-    words, number = np.unique(hashes(low, starts, ends), return_inverse=True)
-    found: dict[tuple, set] = {}
-    for k, item in enumerate(ids):
-        mine = (number[wofs[k] : wofs[k + 1]] + 2).tolist()
-        for i in range(max(1, len(mine) - window + 1) if mine else 0):
-            found.setdefault(tuple(mine[i : i + window]), set()).add(item)
-    order = sorted(found)
-    lengths = np.array([len(w) for w in order], dtype=np.int64)
-    table = np.zeros((len(order), window), dtype=np.int64)
-    for k, w in enumerate(order):
-        table[k, : len(w)] = w
-    items = [sorted(found[w]) for w in order]
-    return Block(words, table, lengths, np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int64), np.array([i for x in items for i in x], dtype=np.int64))
-
-
-def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Block]:
-    """The benchmark in blocks of at most ``block_words`` words (or one item)."""
-    out, ids, texts, n = [], [], [], 0
-    for r in benchmark.select("item_id", "text").filter("item_id IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        size = len((r["text"] or "").split())
-        if ids and n + size > block_words:
-            out.append(make_block(ids, texts, window))
-            ids, texts, n = [], [], 0
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        n += size
-    return [*out, make_block(ids, texts, window)] if ids else out
-
-
-def find_spans(data: np.ndarray, offs: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one shard: words per row; hit spans as (row, first byte, byte after the last word, words), merged; (row, item) pairs."""
+def make_block(ids: list[str | None], hashed: list[np.ndarray], window: int = WINDOW) -> Block:
+    size = np.array([len(h) for h in hashed], dtype=np.int64)
+    words, number = np.unique(np.concatenate([np.empty(0, np.uint64), *hashed]), return_inverse=True)
+    # windows of each item: size - window + 1, one for a shorter item, none without words
+    n = np.where(size >= window, size - window + 1, np.minimum(size, 1))
+    offs = np.concatenate([[0], np.cumsum(n)])
+    item = row_of(offs)
+    begins = (np.cumsum(size) - size)[item] + np.arange(offs[-1]) - offs[:-1][item]
+    return Block(words, (number + 2).astype(np.int32), begins.astype(np.int32), np.minimum(size, window)[item].astype(np.int32), item.astype(np.int32), ids)
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, offs in text_chunks(batch.column("text")):
+            low = LOWER[data]
+            starts, ends, wofs = runs(WORD_BYTES[low], offs)
+            lists = pa.ListArray.from_arrays(pa.array(wofs.astype(np.int32)), pa.array(hashes(low, starts, ends).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), lists], names=["id", "words"])
+
+
+def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
+    """The benchmark in blocks of at most ``block_words`` words (or one item), one at a time."""
+    rows = staged(benchmark.select(F.col("item_id").cast("string").alias("id"), "text").mapInArrow(_item_words, "id string, words array<long>").filter(F.size("words") > 0), "items")
+    ids, held, n = [], [], 0
+    for r in rows.toLocalIterator():
+        if ids and n + len(r["words"]) > block_words:
+            yield make_block(ids, held, window)
+            ids, held, n = [], [], 0
+        ids.append(r["id"])
+        held.append(np.array(r["words"], dtype=np.int64).view(np.uint64))
+        n += len(r["words"])
+    if ids:
+        yield make_block(ids, held, window)
+
+
+class Found(NamedTuple):
+    """What a shard holds: word begins, ends and offsets; hit ranges of words as (row, first, after the last), merged; (row, item) pairs."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    offs: np.ndarray
+    ranges: np.ndarray
+    pairs: np.ndarray
+
+
+def find_hits(data: np.ndarray, offs: np.ndarray, block: Block) -> Found:
+    """All windows of the block in one shard."""
     low = LOWER[data]
     starts, ends, wofs = runs(WORD_BYTES[low], offs)
     docs = len(offs) - 1
     rows = row_of(wofs)
-    none = np.empty((0, 4), np.int64), np.empty((0, 2), np.int64)
-    if not len(starts) or not len(block.windows):
-        return np.diff(wofs), *none
+    nothing = Found(starts, ends, wofs, np.empty((0, 3), np.int64), np.empty((0, 2), np.int64))
+    if not len(starts) or not len(block.begins):
+        return nothing
     h = hashes(low, starts, ends)
     at = np.minimum(np.searchsorted(block.words, h), len(block.words) - 1)
-    symbol = np.where(block.words[at] == h, at + 2, 1)
+    symbol = np.where(block.words[at] == h, at + 2, 1).astype(np.int32)
+    del low, h, at
+    # only windows all of whose words the shard has can be found
+    here = np.zeros(len(block.words) + 2, dtype=bool)
+    here[symbol] = True
+    gaps = np.concatenate([[0], np.cumsum(~here[block.text])])
+    tried = np.flatnonzero(gaps[block.begins + block.lengths] == gaps[block.begins])
+    if not len(tried):
+        return nothing
     # a run of other words is one symbol; each document ends with a 0
     keep = np.ones(len(symbol), dtype=bool)
     keep[1:] = (symbol[1:] != 1) | (symbol[:-1] != 1) | (rows[1:] != rows[:-1])
-    place = np.concatenate([np.flatnonzero(keep), wofs[1:] - 0.5])  # ends sort behind the document's last word
-    order = np.argsort(place, kind="stable")
-    text = np.concatenate([symbol[keep], np.zeros(docs, np.int64)])[order]
-    word = np.concatenate([np.flatnonzero(keep), np.full(docs, -1)])[order]
+    kept = np.flatnonzero(keep)
+    end_at = np.searchsorted(kept, wofs[1:]) + np.arange(docs)  # behind the document's last word
+    text, word = np.zeros(len(kept) + docs, np.int32), np.full(len(kept) + docs, -1, np.int64)
+    inside = np.ones(len(text), dtype=bool)
+    inside[end_at] = False
+    text[inside], word[inside] = symbol[kept], kept
     index = FMIndex(text, len(block.words) + 2)
-    lo, hi = index.search(block.windows, block.lengths)
+    lo, hi = index.search(block.text, block.begins[tried].astype(np.int64), block.lengths[tried].astype(np.int64))
     n = hi - lo
     hit = np.flatnonzero(n)
     if not len(hit):
-        return np.diff(wofs), *none
+        return nothing
     offset = np.concatenate([[0], np.cumsum(n[hit])])
-    which = np.repeat(hit, n[hit])
-    first = word[index.locate(lo[which] + np.arange(offset[-1]) - offset[:-1][row_of(offset)])]
+    of = row_of(offset)
+    first = word[index.locate(lo[hit][of] + np.arange(offset[-1]) - offset[:-1][of])]
+    which = tried[hit[of]]
     mark = np.zeros(len(starts) + 1, dtype=np.int64)
     np.add.at(mark, first, 1)
     np.add.at(mark, first + block.lengths[which], -1)
-    inside = np.cumsum(mark[:-1]) > 0
-    s, e, _ = runs(inside, wofs)
-    spans = np.stack([rows[s], starts[s] - offs[rows[s]], ends[e - 1] - offs[rows[s]], e - s], axis=1)
-    many = block.item_offs[which + 1] - block.item_offs[which]
-    mofs = np.concatenate([[0], np.cumsum(many)])
-    item = block.items[block.item_offs[which][row_of(mofs)] + np.arange(mofs[-1]) - mofs[:-1][row_of(mofs)]]
-    return np.diff(wofs), spans, np.unique(np.stack([rows[first][row_of(mofs)], item], axis=1), axis=0)
-
-
-HITS = "_n_words long, _spans array<struct<first:long,last:long,words:long>>, _items array<long>"
-_SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("words", pa.int64())]))
-
-
-def _lists(rows: np.ndarray, values: pa.Array, docs: int, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(docs + 1)).astype(np.int32)), values).cast(kind)
-
-
-def hits(docs: DataFrame, blocks: list[Block]) -> DataFrame:
-    """``docs`` with the number of words, the hit spans (bytes; of each block) and the items of every row."""
-    out = bounded_batches(docs).withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<struct<first:long,last:long,words:long>>"), "_items": F.lit(None).cast("array<long>")})
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    nothing = Block(np.empty(0, np.uint64), np.empty((0, WINDOW), np.int64), np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.int64))
-    for k, block in enumerate(blocks or [nothing]):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b, data, offs in text_chunks(batch.column("text"), SHARD_BYTES):
-                    n, spans, pairs = find_spans(data, offs, sent.value)
-                    new_s = _lists(spans[:, 0], pa.StructArray.from_arrays([pa.array(spans[:, i]) for i in (1, 2, 3)], ["first", "last", "words"]), b - a, _SPAN)
-                    new_i = _lists(pairs[:, 0], pa.array(pairs[:, 1]), b - a, pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in names] + [pa.array(n), new_s, new_i], names=[*names, "_n_words", "_spans", "_items"])
-
-        found = out.select(*names).mapInArrow(run, f"{fields}, {HITS}") if k == 0 else _and_more(out, run, names, fields)
-        out = found
-    return out
-
+    s, e, _ = runs(np.cumsum(mark[:-1]) > 0, wofs)
+    ranges = np.stack([rows[s], s - wofs[rows[s]], e - wofs[rows[s]]], axis=1)
+    return nothing._replace(ranges=ranges, pairs=np.unique(np.stack([rows[first], block.item[which].astype(np.int64)], axis=1), axis=0))
 
-def _and_more(out: DataFrame, run: object, names: list[str], fields: str) -> DataFrame:
-    """One more block: its spans and items are added to those of the rows."""
-    both = [*names, "_n_words", "_spans", "_items"]
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = pa.Table.from_batches(list(run(iter([batch.select(names)])))).combine_chunks()
-            if not got.num_rows:
-                continue
-            old_s, old_i = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
-            spans = [(x or []) + (y or []) for x, y in zip(old_s, got.column("_spans").to_pylist(), strict=True)]
-            items = [sorted({*(x or []), *(y or [])}) for x, y in zip(old_i, got.column("_items").to_pylist(), strict=True)]
-            columns = [batch.column(c) for c in [*names, "_n_words"]] + [pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=both)
 
-    return out.select(*both).mapInArrow(step, f"{fields}, {HITS}")
-
-
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping or touching byte spans as one."""
+def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching ranges as one."""
     out: list[list[int]] = []
-    for a, b in sorted(spans):
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -295,70 +271,102 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def words_in(text: bytes, spans: list[tuple[int, int]]) -> int:
-    """Words that begin inside the spans."""
-    low = LOWER[np.frombuffer(text, np.uint8)]
-    starts, _, _ = runs(WORD_BYTES[low], np.array([0, len(low)]))
-    return int(sum(np.searchsorted(starts, b) - np.searchsorted(starts, a) for a, b in spans))
-
-
-def _decide(several: bool):
-    """Per row: hit words and merged spans. With one block the spans are merged already."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, items = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
-            n_hit, merged, digest = [], [], []
-            for k, (s, i) in enumerate(zip(spans, items, strict=True)):
-                one = [(x["first"], x["last"]) for x in s or []]
-                if several and one:
-                    one = merge_spans(one)
-                    n_hit.append(words_in(batch.column("text")[k].as_py().encode(), one))
-                else:
-                    n_hit.append(sum(x["words"] for x in s or []))
-                merged.append([{"first": a, "last": b} for a, b in one])
-                digest.append(hashlib.sha256(",".join(sorted(map(str, i or []))).encode()).hexdigest())
-            n_hit = np.array(n_hit, dtype=np.int64)
-            n = batch.column("_n_words").to_numpy()
-            keep = [c for c in batch.schema.names if c not in ("_n_words", "_spans", "_items")]
-            new = {"_n_words": pa.array(n), "_n_hit": pa.array(n_hit), "_n_items": pa.array([len(i or []) for i in items], pa.int64()), "_items_sha256": pa.array(digest, pa.string()), "_contaminated": pa.array((n_hit > 0) & (SHARE * n_hit >= n)), "_removal": pa.array(merged, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))}
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + list(new.values()), names=keep + list(new))
-
-    return run
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with _n_words, _n_hit, _n_items, _items_sha256, _contaminated and _removal (merged byte spans)."""
-    blocks = blocks_of(benchmark, window, block_words)
-    found = hits(docs, blocks)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return found.mapInArrow(_decide(len(blocks) > 1), f"{fields}, _n_words long, _n_hit long, _n_items long, _items_sha256 string, _contaminated boolean, _removal array<struct<first:long,last:long>>")
+#: What one block's pass adds to a document, and the verdict after the last.
+HITS = "struct<ranges: array<int>, items: array<string>>"
+VERDICT = "struct<n_words: long, n_hit: long, n_items: long, items_sha256: string, contaminated: boolean, cut: string>"
+_HITS = pa.struct([("ranges", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+_VERDICT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("cut", pa.string())])
+_NO_ITEMS = hashlib.sha256(b"").hexdigest()
+
+
+def _all_hits(found: Found, block: Block, prior: pa.Array | None, a: int) -> dict[int, tuple[list[tuple[int, int]], set[str | None]]]:
+    """Of the rows with hits, here or before: their ranges of words and items."""
+    out: dict[int, tuple[list[tuple[int, int]], set[str | None]]] = {}
+    for r, x, y in found.ranges.tolist():
+        out.setdefault(r, ([], set()))[0].append((x, y))
+    for r, k in found.pairs.tolist():
+        out[r][1].add(block.ids[k])
+    if prior is not None:
+        before = prior.slice(a, len(found.offs) - 1)
+        for r in np.flatnonzero(before.field("items").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)):
+            old = before[int(r)].as_py()
+            ranges, items = out.get(int(r), ([], set()))
+            pairs = list(zip(old["ranges"][::2], old["ranges"][1::2], strict=True))
+            out[int(r)] = (merge_ranges([*ranges, *pairs]), items | set(old["items"]))
+    return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        flags, spans = batch.column("_contaminated").to_pylist(), batch.column("_removal").to_pylist()
-        keep = [c for c in batch.schema.names if not c.startswith("_rm_") and c not in ("_n_words", "_n_hit", "_n_items", "_items_sha256", "_contaminated", "_removal")]
-        for k, (flag, cut) in enumerate(zip(flags, spans, strict=True)):
-            if flag:
-                raw, parts, at = texts[k].encode(), [], 0
-                for x in cut:
-                    parts.append(raw[at : x["first"]])
-                    at = x["last"]
-                texts[k] = b"\n".join([*parts, raw[at:]]).decode()
-        columns = []
-        for c in keep:
-            if c == "text":
-                columns.append(pa.array(texts, batch.column("text").type))
-            elif c == "n_chars":
-                columns.append(pa.array([len(t) if f else n for t, f, n in zip(texts, flags, batch.column(c).to_pylist(), strict=True)], batch.column(c).type))
-            else:
-                columns.append(batch.column(c))
-        yield pa.RecordBatch.from_arrays(columns, names=keep)
+def _judge(sent: Broadcast | None, last: bool, cut: bool):
+    """The Arrow function of a block: (text, hits of the blocks before) -> hits so far, or the verdict."""
+
+    def run(text: pa.Array, prior: pa.Array | None = None) -> pa.Array:
+        block = sent.value if sent is not None else make_block([], [])
+        done: list[pa.Array] = []
+        for a, b, data, offs in text_chunks(text, SHARD_BYTES):
+            found = find_hits(data, offs, block)
+            rows = _all_hits(found, block, prior, a)
+            if not last:
+                flat = [None if k not in rows else {"ranges": [x for r in rows[k][0] for x in r], "items": list(rows[k][1])} for k in range(b - a)]
+                done.append(pa.array(flat, _HITS))
+                continue
+            n = np.diff(found.offs)
+            n_hit, n_items, digest, texts = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), [_NO_ITEMS] * (b - a), [None] * (b - a)
+            for k, (ranges, items) in rows.items():
+                n_hit[k], n_items[k] = sum(y - x for x, y in ranges), len(items)
+                digest[k] = hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest()
+                if cut and SHARE * n_hit[k] >= n[k]:
+                    raw, at, parts = data[offs[k] : offs[k + 1]].tobytes(), 0, []
+                    for x, y in ranges:
+                        w = found.offs[k]
+                        parts.append(raw[at : found.starts[w + x] - offs[k]])
+                        at = found.ends[w + y - 1] - offs[k]
+                    texts[k] = b"\n".join([*parts, raw[at:]]).decode()
+            done.append(pa.StructArray.from_arrays([pa.array(n), pa.array(n_hit), pa.array(n_items), pa.array(digest, pa.string()), pa.array((n_hit > 0) & (SHARE * n_hit >= n)), pa.array(texts, pa.string())], fields=list(_VERDICT)))
+        return pa.concat_arrays(done) if done else pa.array([], _VERDICT if last else _HITS)
+
+    def one(text: pa.Array) -> pa.Array:
+        return run(text)
+
+    def more(text: pa.Array, prior: pa.Array) -> pa.Array:
+        return run(text, prior)
+
+    return one, more
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, name: str, cut: bool = False, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with one more column ``name``: the verdict of every row (n_words, n_hit, n_items, items_sha256, contaminated, and the text without its spans if ``cut``)."""
+    spark, prior = docs.sparkSession, fresh(docs, "_hits")
+    blocks = blocks_of(benchmark, window, block_words)
+    block = next(blocks, None)
+    out = docs
+    while True:
+        after = next(blocks, None)
+        sent = spark.sparkContext.broadcast(block) if block is not None else None
+        one, more = _judge(sent, after is None, cut)
+        first = prior not in out.columns
+        kind = VERDICT if after is None else HITS
+        # non-deterministic: Spark would run it again for a filter above
+        f = F.arrow_udf(one if first else more, kind).asNondeterministic()
+        value = f(F.col("text")) if first else f(F.col("text"), F.col(prior))
+        if after is None:
+            return out.select(*columns_of(docs), value.alias(name))
+        out = staged(out.select(*columns_of(docs), value.alias(prior)), "hits")
+        sent.destroy()
+        block = after
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
+    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return judged(docs.select("doc_id", "text"), benchmark, "verdict", **options).select("doc_id", *[f"verdict.{n}" for n in names])
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """``docs`` where contaminated documents have lost their merged spans (a line break stands for each); others are unchanged."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return contamination(docs, benchmark, **options).mapInArrow(_cut, fields)
+    v = fresh(docs, "_verdict")
+    cut = F.col(v)["cut"]
+    out = {"text": F.coalesce(cut, F.col("text"))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(cut.isNotNull(), F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    plain = dict(zip(docs.columns, columns_of(docs), strict=True)) | out
+    return judged(docs, benchmark, v, cut=True, **options).select(*[c.alias(k) for k, c in plain.items()])

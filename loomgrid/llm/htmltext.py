@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, list_column, staged
+from .common import list_column, staged
 
 #: A subtree is a template if it is on so many pages of its host.
 LEAST_PAGES = 5
@@ -216,7 +216,6 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_text(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    pages = bounded_batches(pages)
     templates = staged(page_templates(pages, least).withColumnsRenamed({"host": "_host", "page": "_page", "templates": "_templates"}), "templates")
     base = pages.select("page_id", "url", "html", host().alias("_host"), F.xxhash64("html").alias("_page"))
     few = templates.count() <= MOST_SENT

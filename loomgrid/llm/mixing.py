@@ -10,8 +10,9 @@ Running sums are taken in three levels (source and size; digest prefix; row), so
 task holds a whole source: a hot source is spread by size, and a hot size by the digest.
 
 Cases: a null or empty text has size 0 and takes 0 words; a null source is a source of
-its own, last in order; repeated rows are separate documents; an empty table gives an
-empty result; extra columns are left out by ``mix_plan`` and kept by ``apply_mix``.
+its own, last in order; repeated rows are separate documents, each with its own place; documents without an id are
+spread by their text; ties in size, digest and id go by the text's hash; a very long text is counted whole; an empty table gives an
+empty result; extra columns are left out by ``mix_plan`` and kept, whatever their names, by ``apply_mix``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, columns_of, staged
 
 #: Weights that the sources take in turn, in code-point order of their names.
 WEIGHTS = (3, 1, 2)
@@ -63,32 +64,58 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     return x.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix_plan(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: what the mix takes of each document."""
-    slim = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS).alias("h")), "mix")
-    # One row per source, size and digest prefix; counts of what stands before it.
+def _digest() -> Column:
+    """The digest that spreads documents of equal source and size: of the id, or of the text where there is none."""
+    return F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))), 1, DIGITS)
+
+
+def _cell(source: Column, size: Column, digest: Column) -> Column:
+    """A name for the cell of a source, size and digest, without nulls."""
+    return F.concat_ws(":", size, digest, F.coalesce(F.concat(F.lit("s"), source), F.lit("null")))
+
+
+def _cells(slim: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
+    """One row per cell: (cell, before, source_size, target), with the number of documents that stand before it in its source."""
     cell = slim.groupBy("source", "size", "h").agg(F.count(F.lit(1)).alias("n"))
     by_size = cell.groupBy("source", "size").agg(F.sum("n").alias("m"))
     source = targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).cast("long").alias("source_size")), weights, budget, most)
     by_size = by_size.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     size_side = by_size.join(source.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).select(F.col("source").alias("s1"), F.col("size").alias("z1"), "before", "source_size", "target")
     inside = Window.partitionBy("source", "size").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    cell = (
+    return (
         cell.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(size_side, F.col("source").eqNullSafe(F.col("s1")) & (F.col("size") == F.col("z1")))
-        .select(F.col("source").alias("s3"), F.col("size").alias("z3"), F.col("h").alias("h3"), (F.col("before") + F.col("within")).alias("before"), "source_size", "target")
+        .select(_cell(F.col("source"), F.col("size"), F.col("h")).alias("cell"), (F.col("before") + F.col("within")).alias("before"), "source_size", "target")
     )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "h").orderBy(F.col("doc_id").asc_nulls_last()))
-    ranked = slim.withColumn("r", rank).join(cell, F.col("source").eqNullSafe(F.col("s3")) & (F.col("size") == F.col("z3")) & (F.col("h") == F.col("h3")))
+
+
+def _copies(place: Column, source: Column, most: float, seed: int) -> Column:
+    """How many integers the share of the document at ``place`` crosses."""
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(F.lit(0.0))
-    place, offset = F.col("before") + F.col("r"), offset_of(F.col("source"), seed)
-    copies = (F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)).cast("long")
-    return ranked.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    offset = offset_of(source, seed)
+    return (F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)).cast("long")
 
 
-def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
-    """The documents of the mix: each row as often as the plan takes it, with the columns of ``docs``."""
-    plan = mix_plan(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    # repeated ids share what the plan takes of them: the k-th row gets its part
-    one = plan.filter("_copies > 0").withColumn("_each", F.ceil(F.col("_copies") / F.col("_rows")).cast("int"))
-    return docs.join(one, docs["doc_id"].eqNullSafe(one["_id"])).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*[docs[c] for c in docs.columns])
+def _slim(docs: DataFrame) -> DataFrame:
+    return staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _digest().alias("h"), F.xxhash64("text").alias("t")), "mix")
+
+
+def mix_plan(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: what the mix takes of each document."""
+    slim = _slim(docs)
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_last(), "t"))
+    ranked = slim.withColumn("cell", _cell(F.col("source"), F.col("size"), F.col("h"))).withColumn("r", rank).join(_cells(slim, weights, budget, most), "cell")
+    ranked = ranked.withColumn("copies", _copies(F.col("before") + F.col("r"), F.col("source"), most, seed))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 7) -> DataFrame:
+    """The documents of the mix: each row as often as the plan takes it, with the columns of ``docs``.
+
+    Rows are numbered in their cell as in the plan; the texts are shuffled once, for that.
+    """
+    row = docs.select(F.struct(*columns_of(docs)).alias("row"), "doc_id", "source", F.xxhash64("text").alias("t"), _cell(F.col("source"), word_count(F.col("text")), _digest()).alias("cell"))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_last(), "t"))
+    placed = row.withColumn("r", rank).join(_cells(_slim(docs), weights, budget, most), "cell")
+    copies = _copies(F.col("before") + F.col("r"), F.col("source"), most, seed)
+    return placed.select("row", copies.cast("int").alias("n")).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])

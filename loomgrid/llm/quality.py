@@ -2,16 +2,21 @@
 
 Base rules look at counts of words, symbols, repeated lines and repeated three-word windows.
 The verdict compares each document with language references that are summed over the whole
-corpus: a histogram of character classes and one of common short words, by Jensen-Shannon
+corpus: a histogram of character classes and one of common words (of any length), by Jensen-Shannon
 distance to the nearest language. Both need a least length, below which they don't judge.
-Where a language's short words are so rare that a text without any lies within the limit, its
-common words of any length take their place, in two bins and with a limit relative to the distance
-of a text without any; a language without common words (no spaces) holds what is near by classes.
-
-Cases: a null or empty text has no words and fails the base rules; documents without a language,
-or of one with too little text, make no reference and are judged by the others (where no language
-has enough, all count, then those without one); repeated rows are judged alike; an empty table gives an empty
-result; a very long text is worked on whole, in its own chunk.
+As a text without any common word is the nearer to a language the rarer those are, the distance
+of words is taken relative to that of such a text; a language without common words (no spaces)
+holds what is near by classes.
+
+A language is a reference if enough documents and words have it; where none has, all languages
+count, and where there is none, the documents without a language. Languages that aren't references
+are judged by the others.
+
+Cases: a null or empty text has no words and fails the base rules; a null language is no reference
+beside others; words that tie for the last place among the common ones are all left out; repeated rows are
+judged alike; an empty table gives an empty result; a very long text is worked on whole, in its own chunk;
+``keep_good`` keeps all columns, whatever their names, and ``judge_quality`` returns only the named ones that no
+result is named like.
 """
 
 from __future__ import annotations
@@ -20,22 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_SEPARATED, bounded_batches, by_row_and_value, hashes, row_of, runs, text_chunks
+from .common import LOWER, SPACE_SEPARATED, by_row_and_value, columns_of, fresh, hashes, row_of, runs, text_chunks
 
 #: Base rules: least words; most words in repeated windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Most Jensen-Shannon distance (0 to 1) to the nearest language reference, and words below which a histogram doesn't judge.
+#: Most Jensen-Shannon distance (0 to 1) of classes to the nearest reference, and words below which the histogram doesn't judge.
 MOST_CLASS_DISTANCE, LEAST_WORDS_CLASSES = 0.22, 20
-MOST_WORD_DISTANCE, LEAST_WORDS_COMMON = 0.385, 80
-#: Documents with words, and words, that make a language a reference.
-LEAST_DOCS, LEAST_TEXT = 10, 1000
-#: Words of any length: most distance as a share of that of a text without any, and the share of all words that they need.
-MOST_SHARE, LEAST_MASS = 0.6, 0.1
-#: Common words: as many as this for each language, of at most so many bytes.
-COMMON, COMMON_BYTES = 40, 4
+#: Most distance of common words, as a share of that of a text without any, and words below which the histogram doesn't judge.
+MOST_WORD_DISTANCE, LEAST_WORDS_COMMON = 0.95, 80
+#: Documents with words, and words, that make a language a reference; share of all words that its common ones need.
+LEAST_DOCS, LEAST_TEXT, LEAST_MASS = 10, 1000, 0.1
+#: Common words of a language: at most so many.
+COMMON = 40
 
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 #: Character classes: lower, upper, digit, sentence marks, other ASCII marks, white space, lead bytes beyond ASCII.
@@ -106,89 +110,49 @@ def base_counts(data: np.ndarray, offs: np.ndarray, words: tuple) -> dict[str, n
     }
 
 
-def short_words(data: np.ndarray, words: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Which words have at most COMMON_BYTES bytes, and those as integers (lower-cased bytes, first byte lowest)."""
-    starts, ends, _ = words
-    small = np.flatnonzero(ends - starts <= COMMON_BYTES)
-    s, n = starts[small], (ends - starts)[small]
-    low = LOWER[np.concatenate([data, np.zeros(COMMON_BYTES, np.uint8)])]
-    code = np.zeros(len(small), dtype=np.int64)
-    for k in range(COMMON_BYTES):
-        code |= np.where(k < n, low[s + k].astype(np.int64), 0) << (8 * k)
-    return small, code
-
-
 def _reference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums for the references: (lang, kind, item, n); kind 0: character class, 1: short word, 2: all words, 3: documents with words."""
+    """Partial sums for the references: (lang, kind, item, n); kind 0: character class, 1: word (its hash), 2: all words, 3: documents with words."""
     for batch in batches:
-        lang = batch.column("lang").cast(pa.string()).fill_null("und").to_numpy(zero_copy_only=False)
+        coded = batch.column("lang").cast(pa.string()).dictionary_encode()
+        names = [*coded.dictionary.to_pylist(), None]
+        lang = coded.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
         for a, b, data, offs in text_chunks(batch.column("text")):
-            words = runs(SPACE_SEPARATED[data], offs)
-            names, of = np.unique(lang[a:b].astype(str), return_inverse=True)
+            starts, ends, wofs = runs(SPACE_SEPARATED[data], offs)
+            n_words, of = np.diff(wofs), lang[a:b]
             classes = class_counts(data, offs)
-            small, code = short_words(data, words)
-            at = of[row_of(words[2])[small]]
-            n_words = np.diff(words[2])
-            for k, name in enumerate(names):
-                item, n = np.unique(code[at == k], return_counts=True)
+            h = hashes(LOWER[data], starts, ends).view(np.int64)
+            at = of[row_of(wofs)]
+            for k in np.unique(of):
+                item, n = np.unique(h[at == k], return_counts=True)
                 items = np.concatenate([np.arange(CLASSES), item, [0, 0]])
                 kinds = np.concatenate([np.zeros(CLASSES), np.ones(len(item)), [2, 3]])
                 counts = np.concatenate([classes[of == k].sum(axis=0), n, [n_words[of == k].sum(), (n_words[of == k] > 0).sum()]])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(items)), pa.array(kinds.astype(np.int32)), pa.array(items.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "kind", "item", "n"])
-
-
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums of words of any length: (lang, item, n), the item being the lower-cased word's hash."""
-    for batch in batches:
-        names, of = np.unique(batch.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-        for a, b, data, offs in text_chunks(batch.column("text")):
-            starts, ends, wofs = runs(SPACE_SEPARATED[data], offs)
-            h, at = hashes(LOWER[data], starts, ends).view(np.int64), of[a:b][row_of(wofs)]
-            for k, name in enumerate(names):
-                item, n = np.unique(h[at == k], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(item), pa.string()), pa.array(item), pa.array(n.astype(np.int64))], names=["lang", "item", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(items), pa.string()), pa.array(kinds.astype(np.int32)), pa.array(items.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "kind", "item", "n"])
 
 
-def _without(mass: float) -> float:
-    """Distance of a text with none of the common words to a reference whose common words are ``mass`` of its words."""
-    return float(js_distance(np.array([[0.0, 1.0]]), np.array([mass, 1 - mass]))[0])
+def language_references(docs: DataFrame) -> dict[str | None, dict]:
+    """Per reference language its class histogram, all words, and the most frequent words, over the whole corpus.
 
-
-def language_references(docs: DataFrame, most_word: float = MOST_WORD_DISTANCE, by_sql: bool = False) -> dict[str, dict]:
-    """Per language the class histogram and its COMMON most frequent short words, over the whole corpus.
-
-    Where short words can't judge, "common" has those of any length. ``by_sql``: short words of each
-    language and ``und``, as the query's SQL has it. The result is bounded:
-    languages times (classes + COMMON) numbers.
+    The common words are those of the first COMMON places; where words tie across the last place none of
+    these is one. What comes to the driver is bounded: languages times (classes + COMMON + 3) numbers.
     """
     sums = docs.select("lang", "text").mapInArrow(_reference_rows, "lang string, kind int, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), F.desc("item")))
-    out: dict[str, dict] = {}
-    for r in sums.withColumn("place", place).filter(F.col("place") <= COMMON).collect():
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
+    out: dict[str | None, dict] = {}
+    for r in sums.withColumn("place", place).filter(F.col("place") <= COMMON + 1).collect():
         ref = out.setdefault(r["lang"], {"classes": np.zeros(CLASSES), "words": {}, "all": 0, "docs": 0})
         if r["kind"] == 0:
             ref["classes"][r["item"]] = r["n"]
         elif r["kind"] == 1:
             ref["words"][r["item"]] = r["n"]
-        elif r["kind"] == 2:
-            ref["all"] = r["n"]
         else:
-            ref["docs"] = r["n"]
-    out = {k: v for k, v in out.items() if v["all"]}
-    if by_sql:
-        return out
-    known = {k: v for k, v in out.items() if k != "und"}
-    out = {k: v for k, v in known.items() if v["docs"] >= LEAST_DOCS and v["all"] >= LEAST_TEXT} or known or out
-    weak = [k for k, v in out.items() if _without(sum(v["words"].values()) / v["all"]) <= most_word]
-    if weak:
-        lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-        words = docs.select(lang, "text").filter(F.col("lang").isin(weak)).mapInArrow(_word_rows, "lang string, item long, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("item")))
-        for k in weak:
-            out[k]["common"] = {}
-        for r in words.withColumn("place", place).filter(F.col("place") <= COMMON).collect():
-            out[r["lang"]]["common"][r["item"]] = r["n"]
-    return out
+            ref["all" if r["kind"] == 2 else "docs"] = r["n"]
+    for ref in out.values():
+        if len(ref["words"]) > COMMON:
+            least = min(ref["words"].values())
+            ref["words"] = {k: n for k, n in ref["words"].items() if n > least}
+    level = {k: 0 if k is None else 2 if ref["docs"] >= LEAST_DOCS and ref["all"] >= LEAST_TEXT else 1 for k, ref in out.items() if ref["all"]}
+    return {k: out[k] for k in level if level[k] == max(level.values())}
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -199,52 +163,46 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.sqrt(np.clip((kl(p) + kl(np.broadcast_to(q, p.shape))) / 2, 0, 1))
 
 
-def distances(data: np.ndarray, offs: np.ndarray, words: tuple, refs: dict[str, dict], most_class: float = MOST_CLASS_DISTANCE, most_word: float = MOST_WORD_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's distance to the nearest language: of character classes, and of common words (one more bin for all others).
-
-    Distances by words of any length are scaled so that ``most_word`` is their limit, too.
-    """
+def distances(data: np.ndarray, offs: np.ndarray, words: tuple, refs: dict[str | None, dict], most_class: float = MOST_CLASS_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distance to the nearest language: of character classes, and of common words (one more bin for all others) as a share of that of a text without any."""
     docs = len(offs) - 1
     classes = class_counts(data, offs).astype(float)
     classes /= np.maximum(classes.sum(axis=1, keepdims=True), 1)
     n_words = np.diff(words[2])
-    small, code = short_words(data, words)
-    rows = row_of(words[2])[small]
+    every = np.unique(np.array([w for ref in refs.values() for w in ref["words"]], dtype=np.int64))
+    counts = np.zeros((docs, len(every)))
+    if len(every):
+        h = hashes(LOWER[data], words[0], words[1]).view(np.int64)
+        at = np.minimum(np.searchsorted(every, h), len(every) - 1)
+        ok = np.flatnonzero(every[at] == h)
+        counts = np.bincount(row_of(words[2])[ok] * len(every) + at[ok], minlength=docs * len(every)).reshape(docs, -1) / np.maximum(n_words, 1)[:, None]
     by_class, by_word = np.ones(docs), np.ones(docs)
-    every = hashes(LOWER[data], words[0], words[1]).view(np.int64) if any("common" in ref for ref in refs.values()) else None
     for ref in refs.values():
         of_class = js_distance(classes, ref["classes"] / max(ref["classes"].sum(), 1))
         by_class = np.minimum(by_class, of_class)
-        if "common" in ref:
-            mass = sum(ref["common"].values()) / ref["all"]
-            if mass < LEAST_MASS:
-                by_word = np.where(of_class <= most_class, 0.0, by_word)
-                continue
-            hit = np.bincount(row_of(words[2])[np.isin(every, np.array(list(ref["common"]), dtype=np.int64))], minlength=docs) / np.maximum(n_words, 1)
-            far = js_distance(np.stack([hit, 1 - hit], axis=1), np.array([mass, 1 - mass]))
-            by_word = np.minimum(by_word, far * (most_word / (MOST_SHARE * _without(mass))))
+        mine = np.array(sorted(ref["words"]), dtype=np.int64)
+        q = np.array([ref["words"][k] for k in mine.tolist()]) / ref["all"]
+        if q.sum() < LEAST_MASS:
+            by_word = np.where(of_class <= most_class, 0.0, by_word)
             continue
-        known = np.array(sorted(ref["words"]), dtype=np.int64)
-        hist = np.zeros((docs, len(known) + 1))
-        if len(known):
-            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            ok = known[at] == code
-            hist[:, :-1] = np.bincount(rows[ok] * len(known) + at[ok], minlength=docs * len(known)).reshape(docs, -1)
-        hist[:, -1] = n_words - hist.sum(axis=1)
-        hist /= np.maximum(n_words, 1)[:, None]
-        q = np.array([ref["words"][k] for k in known] + [0.0]) / ref["all"]
-        q[-1] = 1 - q.sum()
-        by_word = np.minimum(by_word, js_distance(hist, q))
+        p = counts[:, np.searchsorted(every, mine)]
+        p, q = np.concatenate([p, 1 - p.sum(axis=1, keepdims=True)], axis=1), np.append(q, 1 - q.sum())
+        none = np.zeros((1, len(q)))
+        none[0, -1] = 1
+        by_word = np.minimum(by_word, js_distance(p, q) / js_distance(none, q)[0])
     return by_class, by_word
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, base_failed boolean, kept boolean"
+VERDICT = pa.struct(
+    [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [(n, pa.float64()) for n in ("class_distance", "word_distance")] + [(n, pa.bool_()) for n in ("base_failed", "kept")]
+)
+SCHEMA = "struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long, class_distance: double, word_distance: double, base_failed: boolean, kept: boolean>"
 
 
-def judge_chunk(data: np.ndarray, offs: np.ndarray, refs: dict[str, dict], most_class: float = MOST_CLASS_DISTANCE, most_word: float = MOST_WORD_DISTANCE) -> dict[str, np.ndarray]:
+def judge_chunk(data: np.ndarray, offs: np.ndarray, refs: dict[str | None, dict], most_class: float = MOST_CLASS_DISTANCE, most_word: float = MOST_WORD_DISTANCE) -> dict[str, np.ndarray]:
     words = runs(SPACE_SEPARATED[data], offs)
     out = base_counts(data, offs, words)
-    out["class_distance"], out["word_distance"] = distances(data, offs, words, refs, most_class, most_word)
+    out["class_distance"], out["word_distance"] = distances(data, offs, words, refs, most_class)
     n = out["n_words"]
     out["base_failed"] = (n < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEATED * n)
     odd = (n >= LEAST_WORDS_CLASSES) & (out["class_distance"] > most_class) | (n >= LEAST_WORDS_COMMON) & (out["word_distance"] > most_word)
@@ -252,23 +210,27 @@ def judge_chunk(data: np.ndarray, offs: np.ndarray, refs: dict[str, dict], most_
     return out
 
 
-def judge_quality(docs: DataFrame, refs: dict[str, dict] | None = None, keep: tuple[str, ...] = ("doc_id",), by_sql: bool = False, **limits: float) -> DataFrame:
-    """The columns ``keep`` of every document with its counts, distances and verdict; references come from ``docs`` where none are given."""
-    bounded_batches(docs)
-    refs = language_references(docs, limits.get("most_word", MOST_WORD_DISTANCE), by_sql) if refs is None else refs
-    kept = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    names = list(keep)
+def verdict(refs: dict[str | None, dict], **limits: float) -> Column:
+    """The verdict on the column ``text``: only texts go to Python, only the verdicts come back."""
+
+    def judge(text: pa.Array) -> pa.Array:
+        done = [pa.StructArray.from_arrays([pa.array(v).cast(f.type) for v, f in zip(judge_chunk(data, offs, refs, **limits).values(), VERDICT, strict=True)], fields=list(VERDICT)) for _, _, data, offs in text_chunks(text)]
+        return pa.concat_arrays(done) if done else pa.array([], VERDICT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offs in text_chunks(batch.column("text")):
-                got = judge_chunk(data, offs, refs, **limits)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in names] + [pa.array(v) for v in got.values()], names=names + list(got))
+    # non-deterministic: Spark would run it again for a filter above
+    return F.arrow_udf(judge, SCHEMA).asNondeterministic()(F.col("text"))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names)
-    return kept.mapInArrow(run, f"{fields}, {SCHEMA}")
+
+def judge_quality(docs: DataFrame, refs: dict[str | None, dict] | None = None, keep: tuple[str, ...] = ("doc_id",), **limits: float) -> DataFrame:
+    """The columns ``keep`` of every document with its counts, distances and verdict; references come from ``docs`` where none are given."""
+    refs = language_references(docs) if refs is None else refs
+    v = fresh(docs, "_verdict")
+    names = [f.name for f in VERDICT]
+    keep = tuple(c for c in keep if c.lower() not in names)
+    return docs.select(*keep, verdict(refs, **limits).alias(v)).select(*keep, *[F.col(v)[n].alias(n) for n in names])
 
 
-def keep_good(docs: DataFrame, **options: object) -> DataFrame:
+def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
     """The documents that pass, with the columns of ``docs``."""
-    return judge_quality(docs, keep=tuple(docs.columns), **options).filter("kept").select(*docs.columns)
+    v = fresh(docs, "_verdict")
+    return docs.select(*columns_of(docs), verdict(language_references(docs), **limits).alias(v)).filter(F.col(v)["kept"]).select(*columns_of(docs))

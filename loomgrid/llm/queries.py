@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, htmltext, langid, mixing, neardup, quality, secretscan, shard, toxicity, warc
+from .common import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,8 +49,8 @@ def op9_template_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, base rules and the divergence verdict of every document, with the references of the SQL."""
-    out = quality.judge_quality(_table(spark, sf_dir, "documents"), by_sql=True)
+    """Counts, base rules and the divergence verdict of every document."""
+    out = quality.judge_quality(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -59,8 +61,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold passages of the benchmark."""
-    out = decontam.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.col("_n_items").alias("n_items"), F.col("_items_sha256").alias("items_sha256"), F.col("_contaminated").alias("contaminated"))
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +84,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
   CASE WHEN first <> page_id THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM y
 """,
     "op6_divergence_rules": r"""
-WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+WITH d AS (SELECT doc_id, lang IS NOT NULL AS known, coalesce('s' || lang, 'null') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, known, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
 lines AS (
   SELECT doc_id, CAST(count(*) - count(DISTINCT x) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)
   WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id
@@ -93,46 +94,44 @@ rep AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (
     SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, a, b, c) AS m FROM win) WHERE m > 1
   ) GROUP BY doc_id
-), cls AS (
+), lt AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS total, CASE WHEN NOT any_value(known) THEN 0 WHEN count(*) FILTER (len(w) > 0) >= 10 AND sum(len(w)) >= 1000 THEN 2 ELSE 1 END AS level
+  FROM w GROUP BY lang HAVING sum(len(w)) > 0
+), l AS (SELECT lang, total FROM lt WHERE level = (SELECT max(level) FROM lt)),
+cls AS (
   SELECT doc_id, lang, unnest(range(7)) AS k, unnest([
     length(regexp_replace(t, '[^a-z]', '', 'g')), length(regexp_replace(t, '[^A-Z]', '', 'g')), length(regexp_replace(t, '[^0-9]', '', 'g')),
     length(regexp_replace(t, '[^.,;:''"?()-]', '', 'g')), length(regexp_replace(t, '[^\x00-\x7F]|[a-zA-Z0-9.,;:''"?()\x20\x09-\x0D-]', '', 'g')),
     length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')), length(regexp_replace(t, '[\x00-\x7F]', '', 'g'))]) AS n FROM d
-), q AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS q FROM (SELECT lang, k, sum(n) AS n FROM cls GROUP BY lang, k)),
+), q AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS q FROM (SELECT lang, k, sum(n) AS n FROM cls JOIN l USING (lang) GROUP BY lang, k)),
 p AS (SELECT doc_id, k, n / greatest(sum(n) OVER (PARTITION BY doc_id), 1) AS p FROM cls),
 cd AS (
-  SELECT doc_id, min(d) AS d FROM (
-    SELECT doc_id, lang, sqrt(least(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0), 1)) AS d
-    FROM p JOIN q USING (k) GROUP BY doc_id, lang
-  ) GROUP BY doc_id
-), sw AS (
-  SELECT doc_id, lang, x FROM (
-    SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM w
-  ) WHERE strlen(x) <= 4
-), sn AS (SELECT lang, x, count(*) AS n, hex(encode(x)) AS h FROM sw GROUP BY lang, x),
-alln AS (SELECT lang, sum(len(w)) AS total FROM w GROUP BY lang HAVING sum(len(w)) > 0),
-top AS (
-  SELECT lang, x, n FROM sn QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC,
-    CAST('0x' || substr(h || '00000000', 7, 2) || substr(h || '00000000', 5, 2) || substr(h || '00000000', 3, 2) || substr(h || '00000000', 1, 2) AS BIGINT) DESC) <= 40
-), refs AS (SELECT lang, x, n / total AS q FROM top JOIN alln USING (lang)),
-dn AS (SELECT doc_id, x, count(*) AS n FROM sw GROUP BY doc_id, x),
+  SELECT doc_id, q.lang, sqrt(least(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0), 1)) AS d
+  FROM p JOIN q USING (k) GROUP BY doc_id, q.lang
+), sw AS (SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM w),
+sn AS (SELECT lang, x, count(*) AS n FROM sw JOIN l USING (lang) GROUP BY lang, x),
+top AS (SELECT lang, x, n FROM sn QUALIFY count(*) OVER (PARTITION BY lang ORDER BY n DESC) <= 40),
+refs AS (SELECT lang, x, n / total AS q FROM top JOIN l USING (lang)),
+m AS (SELECT l.lang, coalesce(sum(q), 0) AS mass FROM l LEFT JOIN refs ON refs.lang = l.lang GROUP BY l.lang),
+dn AS (SELECT doc_id, x, count(*) AS n FROM sw WHERE x IN (SELECT x FROM refs) GROUP BY doc_id, x),
 each AS (
-  SELECT w.doc_id, a.lang, len(w.w) AS nw, r.q, coalesce(dn.n, 0) AS n FROM w CROSS JOIN alln a LEFT JOIN refs r ON r.lang = a.lang LEFT JOIN dn ON dn.doc_id = w.doc_id AND dn.x = r.x
+  SELECT w.doc_id, r.lang, greatest(len(w.w), 1) AS nw, r.q, coalesce(dn.n, 0) AS n FROM w CROSS JOIN refs r LEFT JOIN dn ON dn.doc_id = w.doc_id AND dn.x = r.x
 ), bins AS (
-  SELECT doc_id, lang, n / greatest(nw, 1) AS p, q FROM each WHERE q IS NOT NULL
-  UNION ALL SELECT doc_id, lang, (max(nw) - coalesce(sum(n) FILTER (q IS NOT NULL), 0)) / greatest(max(nw), 1), 1 - coalesce(sum(q), 0) FROM each GROUP BY doc_id, lang
+  SELECT doc_id, lang, n / nw AS p, q FROM each
+  UNION ALL SELECT doc_id, lang, 1 - sum(n) / max(nw), 1 - sum(q) FROM each GROUP BY doc_id, lang
+), wl AS (
+  SELECT doc_id, lang, sqrt(least(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0), 1)) AS d FROM bins GROUP BY doc_id, lang
 ), wd AS (
-  SELECT doc_id, min(d) AS d FROM (
-    SELECT doc_id, lang, sqrt(least(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0), 1)) AS d FROM bins GROUP BY doc_id, lang
-  ) GROUP BY doc_id
+  SELECT cd.doc_id, min(CASE WHEN mass >= 0.1 THEN wl.d / sqrt((mass + log2(2 / (2 - mass)) + CASE WHEN mass < 1 THEN (1 - mass) * log2(2 * (1 - mass) / (2 - mass)) ELSE 0 END) / 2) WHEN cd.d <= 0.22 THEN 0 END) AS d
+  FROM cd JOIN m ON m.lang = cd.lang LEFT JOIN wl ON wl.doc_id = cd.doc_id AND wl.lang = cd.lang GROUP BY cd.doc_id
 ), n AS (
   SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-    cd.d AS cd, wd.d AS wd
-  FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN cd ON cd.doc_id = w.doc_id LEFT JOIN wd ON wd.doc_id = w.doc_id
+    c.d AS cd, coalesce(wd.d, 1) AS wd
+  FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, min(d) AS d FROM cd GROUP BY doc_id) c ON c.doc_id = w.doc_id LEFT JOIN wd ON wd.doc_id = w.doc_id
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_words >= 20 AND cd > 0.22 OR n_words >= 80 AND wd > 0.385) AS kept FROM f
+  NOT base_failed AND NOT (n_words >= 20 AND cd > 0.22 OR n_words >= 80 AND wd > 0.95) AS kept FROM f
 """,
     "op7_near_duplicates": f"""
 WITH RECURSIVE w AS (
@@ -173,7 +172,7 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
     "op10_systematic_mix": """
 WITH x AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS h FROM documents
+    substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 3) AS h, text FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS w FROM x GROUP BY source

@@ -3,13 +3,15 @@
 A node that has to give k leaves is split along its widest metadata dimension at the weighted
 quantile floor(k / 2) / k, until each node gives one leaf. Dimensions are text length (log),
 source and language (digests of the names), each scaled to [0, 1); a key holds the scaled value in its upper
-bits and a digest of the row below, so that ties can be cut anywhere. All nodes of a level are
+bits, a digest of the text below, and one of the row last. So equal texts of a source and language stand together and
+are cut only where a cut can't pass them by, and then anywhere, even among equal rows. All nodes of a level are
 split together: their quantiles are found by a few passes of histograms over a slim staged
 table, each of which narrows the range 8192 times. The driver sees at most one row per node.
 
 Cases: a null text has no bytes (and no checksum); null source and language are values of
-their own; repeated rows are separate rows; an empty table gives an empty result; columns
-beside doc_id, text, source and lang play no part in the split.
+their own; repeated rows are separate rows, told apart by a number; ids of any type; a very long text is one row, and may be more than a shard's share;
+an empty table gives an empty result; columns beside doc_id, text, source and lang play no part in the split and are kept by
+``shard_documents``, whatever their names (one named ``shard`` is replaced).
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import columns_of, fresh, staged
 
 #: Bytes that a row takes beside its text.
 OVERHEAD = 16
-#: Bits of a key's value and of the digest that breaks its ties.
-VALUE_BITS, TIE_BITS = 16, 24
+#: Bits of a key's value, of the text's digest that breaks ties, and of the row's digest that breaks those.
+VALUE_BITS, TEXT_BITS, ROW_BITS = 16, 20, 16
+TIE_BITS = TEXT_BITS + ROW_BITS
 #: Bits by which one pass of histograms narrows a cut, and rows of a leaf's share that a cut may miss.
 STEP_BITS, SLACK = 13, 0.001
 
-DIMENSIONS = ("_kd_length", "_kd_source", "_kd_lang")
+DIMENSIONS = ("key_length", "key_source", "key_lang")
 #: Blocks of a shard inside which rows are numbered.
 BLOCKS = 1024
 
@@ -41,24 +44,21 @@ def _name_value(name: Column) -> Column:
     return F.when(name.isNull(), F.lit(0.999)).otherwise(F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("double") / F.lit(float(16**7)) * 0.998)
 
 
-def _tie() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("string"), F.crc32(F.col("text")))
-
-
-def key_columns() -> dict[str, Column]:
-    """One long key per dimension: the scaled value above, the row's digest below."""
+def key_columns(row: Column) -> dict[str, Column]:
+    """One long key per dimension: the scaled value above, digests of the text and of the row (its id and number) below."""
     values = {
-        "_kd_length": F.log2(size_bytes(F.col("text")).cast("double")) / 24.0,
-        "_kd_source": _name_value(F.col("source").cast("string")),
-        "_kd_lang": _name_value(F.col("lang").cast("string")),
+        "key_length": F.log2(size_bytes(F.col("text")).cast("double")) / 24.0,
+        "key_source": _name_value(F.col("source").cast("string")),
+        "key_lang": _name_value(F.col("lang").cast("string")),
     }
-    low = F.pmod(_tie(), F.lit(1 << TIE_BITS))
+    low = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit(1 << TEXT_BITS)), ROW_BITS) + F.pmod(F.xxhash64(F.col("doc_id").cast("string"), row), F.lit(1 << ROW_BITS))
     return {k: F.shiftleft(F.least(F.floor(v * (1 << VALUE_BITS)), F.lit((1 << VALUE_BITS) - 1)).cast("long"), TIE_BITS) + low for k, v in values.items()}
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, row: Column) -> DataFrame:
     """The slim table that the tree is built on: id, size, checksum, keys and a block number that spreads rows evenly."""
-    return docs.select("doc_id", size_bytes(F.col("text")).alias("size"), F.crc32("text").alias("text_crc32"), F.pmod(F.shiftright(_tie(), 41), F.lit(BLOCKS)).alias("block"), *[v.alias(k) for k, v in key_columns().items()])
+    block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), row, F.lit(1)), F.lit(BLOCKS))
+    return docs.select("doc_id", size_bytes(F.col("text")).alias("size"), F.crc32("text").alias("text_crc32"), block.alias("block"), *[v.alias(k) for k, v in key_columns(row).items()])
 
 
 class Node:
@@ -135,7 +135,7 @@ def build_tree(rows: DataFrame, shards: int, slack: float = SLACK) -> Node:
 
 def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (0, 1, ... without gaps in each shard) of every row."""
-    rows = staged(keyed(docs), "kd")
+    rows = staged(keyed(docs, F.monotonically_increasing_id()), "kd")
     placed = rows.withColumn("shard", build_tree(rows, shards).expression())
     # slots: a shard's rows fall into blocks by digest; offsets are the counts of the blocks before
     placed = placed.select("doc_id", "size", "text_crc32", "shard", "block")
@@ -151,6 +151,14 @@ def shards_for(docs: DataFrame, target_bytes: int) -> int:
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """``docs`` with all its columns and the shard of each row."""
-    tree = build_tree(staged(keyed(docs), "kd"), shards)
-    return docs.withColumns(key_columns()).withColumn("shard", tree.expression().cast("int")).drop(*DIMENSIONS)
+    """``docs`` with all its columns and the shard of each row.
+
+    Rows are numbered in a staged copy, so that the tree and the result see the same numbers.
+    """
+    row = fresh(docs, "_row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    tree = build_tree(staged(keyed(numbered, F.col(f"`{row}`")), "kd"), shards)
+    # keys are made beside the row, so that no name can clash
+    made = numbered.select(F.struct(*columns_of(docs)).alias("row"), *[v.alias(k) for k, v in key_columns(F.col(f"`{row}`")).items()])
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "shard"]
+    return made.select(*kept, tree.expression().cast("int").alias("shard"))
