@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_SEPARATED, by_row_and_value, columns_of, fresh, hashes, row_of, runs, text_chunks
+from .common import LOWER, SPACE_SEPARATED, by_row_and_value, columns_of, fresh, hashes, row_of, runs, staged, text_chunks
 
 #: Base rules: least words; most words in repeated windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -38,8 +38,8 @@ MOST_CLASS_DISTANCE, LEAST_WORDS_CLASSES = 0.22, 20
 MOST_WORD_DISTANCE, LEAST_WORDS_COMMON = 0.95, 80
 #: Documents with words, and words, that make a language a reference; share of all words that its common ones need.
 LEAST_DOCS, LEAST_TEXT, LEAST_MASS = 10, 1000, 0.1
-#: Common words of a language: at most so many.
-COMMON = 40
+#: Common words of a language: at most so many, and each at least one in so many of all words.
+COMMON, RAREST = 40, 2000
 
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 #: Character classes: lower, upper, digit, sentence marks, other ASCII marks, white space, lead bytes beyond ASCII.
@@ -110,49 +110,90 @@ def base_counts(data: np.ndarray, offs: np.ndarray, words: tuple) -> dict[str, n
     }
 
 
-def _reference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums for the references: (lang, kind, item, n); kind 0: character class, 1: word (its hash), 2: all words, 3: documents with words."""
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Chunks: bytes, offsets, words; each row's language as a number, and the languages (the last is null)."""
     for batch in batches:
         coded = batch.column("lang").cast(pa.string()).dictionary_encode()
         names = [*coded.dictionary.to_pylist(), None]
         lang = coded.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
         for a, b, data, offs in text_chunks(batch.column("text")):
-            starts, ends, wofs = runs(SPACE_SEPARATED[data], offs)
-            n_words, of = np.diff(wofs), lang[a:b]
-            classes = class_counts(data, offs)
+            yield data, offs, runs(SPACE_SEPARATED[data], offs), lang[a:b], names
+
+
+def _reference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums for the references: (lang, kind, item, n); kind 0: character class, 1: word (its hash), 2: all words, 3: documents with words.
+
+    Of a chunk's words only those with half of a common word's share are sent on.
+    """
+    for data, offs, (starts, ends, wofs), of, names in _by_language(batches):
+        n_words = np.diff(wofs)
+        classes = class_counts(data, offs)
+        h = hashes(LOWER[data], starts, ends).view(np.int64)
+        at = of[row_of(wofs)]
+        for k in np.unique(of):
+            item, n = np.unique(h[at == k], return_counts=True)
+            often = 2 * RAREST * n >= n.sum()
+            item, n = item[often], n[often]
+            items = np.concatenate([np.arange(CLASSES), item, [0, 0]])
+            kinds = np.concatenate([np.zeros(CLASSES), np.ones(len(item)), [2, 3]])
+            counts = np.concatenate([classes[of == k].sum(axis=0), n, [n_words[of == k].sum(), (n_words[of == k] > 0).sum()]])
+            yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(items), pa.string()), pa.array(kinds.astype(np.int32)), pa.array(items.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "kind", "item", "n"])
+
+
+def _counts_of(known: dict[str | None, np.ndarray]):
+    """Partial counts of the given words: (lang, item, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, _, (starts, ends, wofs), of, names in _by_language(batches):
             h = hashes(LOWER[data], starts, ends).view(np.int64)
             at = of[row_of(wofs)]
             for k in np.unique(of):
-                item, n = np.unique(h[at == k], return_counts=True)
-                items = np.concatenate([np.arange(CLASSES), item, [0, 0]])
-                kinds = np.concatenate([np.zeros(CLASSES), np.ones(len(item)), [2, 3]])
-                counts = np.concatenate([classes[of == k].sum(axis=0), n, [n_words[of == k].sum(), (n_words[of == k] > 0).sum()]])
-                yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(items), pa.string()), pa.array(kinds.astype(np.int32)), pa.array(items.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "kind", "item", "n"])
+                words = known.get(names[k])
+                if words is None or not len(words):
+                    continue
+                mine = h[at == k]
+                place = np.minimum(np.searchsorted(words, mine), len(words) - 1)
+                n = np.bincount(place[words[place] == mine], minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(words), pa.string()), pa.array(words), pa.array(n.astype(np.int64))], names=["lang", "item", "n"])
+
+    return run
 
 
 def language_references(docs: DataFrame) -> dict[str | None, dict]:
     """Per reference language its class histogram, all words, and the most frequent words, over the whole corpus.
 
-    The common words are those of the first COMMON places; where words tie across the last place none of
-    these is one. What comes to the driver is bounded: languages times (classes + COMMON + 3) numbers.
+    The common words are those of the first COMMON places that are one in RAREST of all words at least; where
+    words tie across the last place none of these is one. A word's occurrences that the first pass leaves out
+    are less than half of that share in their chunks, so what it gives of a common word is at least half of the share
+    of all words. That leaves at most 2 * RAREST words of a language, which the second pass counts: a bounded list, and
+    little to shuffle.
     """
-    sums = docs.select("lang", "text").mapInArrow(_reference_rows, "lang string, kind int, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
+    texts = docs.select("lang", "text")
+    sums = staged(texts.mapInArrow(_reference_rows, "lang string, kind int, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "references")
     out: dict[str | None, dict] = {}
-    for r in sums.withColumn("place", place).filter(F.col("place") <= COMMON + 1).collect():
+    for r in sums.filter("kind <> 1").collect():
         ref = out.setdefault(r["lang"], {"classes": np.zeros(CLASSES), "words": {}, "all": 0, "docs": 0})
         if r["kind"] == 0:
             ref["classes"][r["item"]] = r["n"]
-        elif r["kind"] == 1:
-            ref["words"][r["item"]] = r["n"]
         else:
             ref["all" if r["kind"] == 2 else "docs"] = r["n"]
+    level = {k: 0 if k is None else 2 if ref["docs"] >= LEAST_DOCS and ref["all"] >= LEAST_TEXT else 1 for k, ref in out.items() if ref["all"]}
+    out = {k: out[k] for k in level if level[k] == max(level.values())}
+    size = sums.filter("kind = 2").select(F.col("lang").alias("_lang"), F.col("n").alias("all"))
+    likely = sums.filter("kind = 1").join(F.broadcast(size), F.col("lang").eqNullSafe(F.col("_lang"))).filter(2 * RAREST * F.col("n") >= F.col("all"))
+    known: dict[str | None, list[int]] = {}
+    for r in likely.select("lang", "item").collect():
+        if r["lang"] in out:
+            known.setdefault(r["lang"], []).append(r["item"])
+    words = {k: np.array(sorted(v), dtype=np.int64) for k, v in known.items()}
+    for r in texts.mapInArrow(_counts_of(words), "lang string, item long, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")).collect():
+        if RAREST * r["n"] >= out[r["lang"]]["all"]:
+            out[r["lang"]]["words"][r["item"]] = r["n"]
     for ref in out.values():
         if len(ref["words"]) > COMMON:
-            least = min(ref["words"].values())
+            least = sorted(ref["words"].values())[-COMMON - 1]
             ref["words"] = {k: n for k, n in ref["words"].items() if n > least}
-    level = {k: 0 if k is None else 2 if ref["docs"] >= LEAST_DOCS and ref["all"] >= LEAST_TEXT else 1 for k, ref in out.items() if ref["all"]}
-    return {k: out[k] for k in level if level[k] == max(level.values())}
+    return out
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:

@@ -110,7 +110,7 @@ cd AS (
   FROM p JOIN q USING (k) GROUP BY doc_id, q.lang
 ), sw AS (SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM w),
 sn AS (SELECT lang, x, count(*) AS n FROM sw JOIN l USING (lang) GROUP BY lang, x),
-top AS (SELECT lang, x, n FROM sn QUALIFY count(*) OVER (PARTITION BY lang ORDER BY n DESC) <= 40),
+top AS (SELECT lang, x, n FROM sn JOIN l USING (lang) WHERE 2000 * n >= total QUALIFY count(*) OVER (PARTITION BY lang ORDER BY n DESC) <= 40),
 refs AS (SELECT lang, x, n / total AS q FROM top JOIN l USING (lang)),
 m AS (SELECT l.lang, coalesce(sum(q), 0) AS mass FROM l LEFT JOIN refs ON refs.lang = l.lang GROUP BY l.lang),
 dn AS (SELECT doc_id, x, count(*) AS n FROM sw WHERE x IN (SELECT x FROM refs) GROUP BY doc_id, x),
