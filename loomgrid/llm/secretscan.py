@@ -4,19 +4,20 @@ Candidates are long strings with digits, and values that are assigned to a name
 in the same word or in the words before it; a word can hold any number of them.
 Each has features of its length, characters, transitions between character classes, entropy, how
 much of it the corpus's common short words cover, path-like marks, and the words beside it. The
-forest (Spark ML, in the JVM) is trained on labelled findings: those given, or else those that
-two documented rules label: assigned to a credential name and not made of words (secret); a card
-number, address, date or identifier by its form (not a secret). Findings of documents whose
-crc32(doc_id as text) mod 4 is 2 are never learned from.
-
-Cases: a null or empty text has no findings; repeated rows give repeated findings; where the
-labelled findings are of one kind only, the rules' own label is the score (0.5 where they have
-none); an empty table gives an empty result; other columns play no part. Training rows are
-bounded by ``TRAIN_ROWS``; everything else covers all documents.
+forest (Spark ML, in the JVM) is trained on labelled findings: those given, and planted ones. A planted
+finding is a secret or a harmless look-alike of a known kind (``planted``), made of a digest and put between words of a
+document; its label is what was put there, not a function of the features. Neither kind is
+learned from in documents whose crc32(doc_id as text) mod 4 is 2, so those measure precision and recall.
+
+Cases: a null or empty text has no findings; repeated rows give repeated findings; where there are no
+words to plant findings in and none are given, or all are of one kind, every score is 0.5; ties can't arise (part
+numbers the candidates of a word); an empty table gives an empty result; a very long text is scanned whole; other columns play no part,
+whatever their names. Training rows are bounded by ``PLANTED`` and ``TRAIN_ROWS``; everything else covers all documents.
 """
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -36,10 +37,8 @@ ASSIGNED = _NAME + "[:=]+[\"']?((?:(?!&[A-Za-z0-9_-]{1,64}=)[^\x20\x09-\x0D\"',;
 NAMES_ONE, VALUE = _NAME + r"[\x20\x09-\x0D]*[:=]", "^[:=]*[\"']?([^\x20\x09-\x0D\"',;]{8,})"
 #: Characters of the word on each side of a candidate, and of the words beside it, that features look at.
 NEAR = 200
-#: Forms that aren't secrets: card-like or other digits, dates, dotted numbers, UUIDs.
-HARMLESS = r"^(?:[0-9][0-9_/-]*|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
-#: Words of the dictionary, their letters; rows of training; the forest; a secret's least score.
-DICTIONARY, TRAIN_ROWS, TREES, DEPTH, SEED, THRESHOLD = 200, 20_000, 24, 6, 11, 0.5
+#: Words of the dictionary, their letters; planted and other rows of training; the forest; a secret's least score.
+DICTIONARY, PLANTED, TRAIN_ROWS, TREES, DEPTH, SEED, THRESHOLD = 200, 8_000, 20_000, 24, 8, 11, 0.5
 
 FEATURES = ("length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "entropy", "covered", "slashes", "dots", "path_like", "named", "assigned", "quoted", "before_length", "after_length")
 
@@ -95,28 +94,67 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
     return found.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in made.items()})
 
 
-def rule_label() -> Column:
-    """1.0: a secret by the rules, 0.0: none, null: the rules don't say."""
-    return F.when(F.col("value").rlike(HARMLESS), 0.0).when((F.col("assigned") > 0) & (F.col("covered") < 0.5) & (F.col("digits") > 0), 1.0).when((F.col("covered") > 0.8) | (F.col("path_like") > 0), 0.0)
+def planted(docs: DataFrame, rows: int = PLANTED) -> DataFrame:
+    """(doc_id, text, label): words of at most ``rows`` documents with one planted finding each; label 1 is a secret.
+
+    Its kind is drawn by a digest of the id. Secrets: keys and tokens with and without a name, passwords, cloud
+    keys. Others: identifiers, numbers, paths, addresses, file names, checksums and commits with their
+    words before them, made-up names of words, keys of caches, and placeholders.
+    """
+    draw = lambda k, n: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED), F.lit(k)), F.lit(n)).cast("int")
+    digest = lambda k: F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(k)), 256)
+    chars = lambda k, n: F.substring(F.translate(F.base64(F.unhex(digest(k))), "+/=", "xY7"), 1, n)
+    digits = lambda k, n: F.substring(F.regexp_replace(F.concat(digest(k), digest(k + 100)), "[a-f]", ""), 1, n)
+    word = lambda k: F.lower(F.get("w", draw(k, 1 << 20) % F.greatest(F.size("w"), F.lit(1))))
+    named = F.element_at(F.array(*[F.lit(n) for n in NAMES]), draw(1, len(NAMES)) + 1)
+    mark = F.element_at(F.array(*[F.lit(m) for m in ("=", ": ", " = ", ':"', '="')]), draw(2, 5) + 1)
+    size = 20 + draw(3, 24)
+    uuid = F.regexp_replace(F.substring(digest(4), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    secrets = [
+        F.concat(named, mark, chars(5, 43).substr(F.lit(1), size)), F.concat(named, mark, F.substring(digest(6), 1, 40)), F.concat(named, mark, chars(7, 12)), F.concat(F.lit("AKIA"), F.upper(chars(8, 16))),
+        chars(9, 40), F.concat(F.lit("ghp_"), chars(10, 36)), F.concat(F.lit("https://"), word(11), F.lit(".com/?"), named, F.lit("="), chars(12, 24)), F.concat(named, mark, F.initcap(word(13)), digits(14, 4), F.lit("!"), chars(15, 5)), F.concat(named, mark, word(50), word(51), digits(52, 1)),
+    ]
+    others = [
+        uuid, digits(16, 16), F.concat(F.lit("/usr/"), word(17), F.lit("/"), word(18), F.lit("-"), digits(19, 4), F.lit("/"), word(20), F.lit(".txt")), F.concat(F.lit("https://"), word(21), F.lit(".com/"), word(22), F.lit("/"), digits(23, 8), F.lit("/"), word(24)),
+        F.concat(F.lit("commit "), F.substring(digest(25), 1, 40)), F.concat(F.lit("sha256 checksum "), digest(26)), F.concat(named, mark, F.lit("your_"), word(27), F.lit("_here_"), digits(28, 1)), F.concat(named, mark, word(29), F.lit("_"), word(30), F.lit("_"), word(31)),
+        F.concat(F.initcap(word(32)), F.initcap(word(33)), F.initcap(word(34)), F.initcap(word(35)), digits(36, 2)), F.concat(word(37), F.lit("_"), word(38), F.lit("_"), word(39), F.lit("_20"), digits(40, 6), F.lit("-"), digits(41, 6)),
+        F.concat(F.lit("id "), digits(42, 4), F.lit("-"), digits(43, 4), F.lit("-"), digits(44, 4), F.lit("-"), digits(45, 4)), F.concat(named, mark, uuid), F.concat(F.lit("cache key"), mark, F.substring(digest(53), 1, 32)),
+    ]
+    chosen = docs.filter("doc_id IS NOT NULL AND text <> ''").select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), "doc_id").limit(rows)
+    # plain words only, so that what is found is what is planted
+    plain = chosen.select("doc_id", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w.rlike("^[A-Za-z]{2,12}[.,]?$") & ~w.rlike(NAMED)).alias("all"))
+    plain = plain.select("doc_id", F.filter("all", lambda w: w.rlike("^[A-Za-z]+$")).alias("w"), F.slice("all", 1, 30).alias("before"), F.slice("all", 31, 30).alias("after")).filter(F.size("w") > 3)
+    is_secret = draw(46, 2) == 1
+    piece = F.when(is_secret, F.element_at(F.array(*secrets), draw(47, len(secrets)) + 1)).otherwise(F.element_at(F.array(*others), draw(48, len(others)) + 1))
+    return plain.select("doc_id", F.concat_ws(" ", F.concat_ws(" ", "before"), piece, F.concat_ws(" ", "after")).alias("text"), is_secret.cast("double").alias("label"))
+
+
+def train(docs: DataFrame, words: list[str], found: DataFrame | None = None, labelled: DataFrame | None = None) -> PipelineModel | None:
+    """The forest from planted findings, and from those of ``found`` that ``labelled`` names; None where all are of one kind."""
+    made = staged(planted(docs).repartition("doc_id"), "planted")
+    rows = features(findings(made), words).join(made.select("doc_id", "label").dropDuplicates(["doc_id"]), "doc_id").filter(~is_held_out()).select("label", *FEATURES)
+    if labelled is not None:
+        key = ["doc_id", "ordinal", *(c for c in labelled.columns if c == "part")]
+        known = found.join(labelled.select(*key, F.col("label").cast("double").alias("label")), key).filter(F.col("label").isNotNull() & ~is_held_out())
+        rows = rows.union(known.orderBy(F.xxhash64("doc_id", "ordinal"), "value", "part").limit(TRAIN_ROWS).select("label", *FEATURES))
+    rows = staged(rows, "train")
+    if rows.select("label").distinct().count() < 2:
+        return None
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="x"), forest]).fit(rows)
+
+
+def with_score(found: DataFrame, model: PipelineModel | None) -> DataFrame:
+    """``found`` with the forest's score."""
+    return found.withColumn("score", F.lit(0.5)) if model is None else model.transform(found).withColumn("score", vector_to_array("probability")[1])
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, ordinal, part, value_sha256, length, score, secret of every candidate.
 
-    ``labelled`` (doc_id, ordinal, label 0 or 1, and part where a word has several candidates), if given,
-    takes the place of the rules' labels.
+    ``labelled`` (doc_id, ordinal, label 0 or 1, and part where a word has several candidates), if given, is learned from, too.
     """
-    found = staged(features(findings(docs), dictionary(docs)), "findings")
-    rules = found.withColumn("label", rule_label())
-    key = ["doc_id", "ordinal", *(c for c in (labelled.columns if labelled is not None else ()) if c == "part")]
-    known = rules if labelled is None else found.join(labelled.select(*key, F.col("label").cast("double").alias("label")), key)
-    known = known.filter(F.col("label").isNotNull() & ~is_held_out())
-    train = staged(known.orderBy(F.xxhash64("doc_id", "ordinal"), "value", "part").limit(TRAIN_ROWS).select("label", *FEATURES), "train")
-    if train.select("label").distinct().count() < 2:
-        scored = rules.withColumn("score", F.coalesce("label", F.lit(0.5)))
-    else:
-        assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="x")
-        forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-        model = forest.fit(assembler.transform(train))
-        scored = model.transform(assembler.transform(found)).withColumn("score", vector_to_array("probability")[1])
+    words = dictionary(docs)
+    found = staged(features(findings(docs), words), "findings")
+    scored = with_score(found, train(docs, words, found, labelled))
     return scored.select("doc_id", "ordinal", "part", F.sha2("value", 256).alias("value_sha256"), F.col("length").cast("long").alias("length"), "score", (F.col("score") >= THRESHOLD).alias("secret"))
