@@ -1,16 +1,17 @@
 """Main text of web pages, with removal of site templates.
 
-Every element subtree outside the running text of an article gets a hash of its tags, classes
-and text; Spark counts each hash's pages per host, and subtrees on ``LEAST_PAGES`` pages of a host
-(menus, notices, footers) are deleted, however many pages the host has. Pages of a host with the
+Every element subtree outside the running text of an article gets a hash of its tags
+and text, furniture (menus, footers, forms) included; Spark counts each hash's pages per host, and subtrees on
+``LEAST_PAGES`` pages of a host are deleted, however many pages the host has. Pages of a host with the
 same body count once, and html, body, what holds an article or main, and what holds most of a
 page's text are never templates, so copies of an article don't empty each other. What is left of the article (else the main part, else the body)
-is cut into blocks, without elements whose tag or class marks them as furniture.
+is cut into blocks. Furniture that doesn't recur (an advert of one page, a menu of a host with few pages) can't be
+counted: it goes by its tag or class, unless ``markup`` is off: then counts alone decide, and no element is preferred.
 
 Cases: a null, empty or text-free page gives an empty text; broken or cut-off markup is read as
 browsers do (open elements end with their parent, a cut tag is dropped); a null URL shares one
-host ``''``; repeated rows are separate pages; an empty table gives an empty result; very long
-pages are read whole; columns beside page_id, url and html play no part.
+host ``''``; repeated rows are separate pages and copies of each other; ties can't arise; an empty table gives an empty result; very long
+pages are read whole; columns beside page_id, url and html play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def _decoded(raw: str) -> str:
     return " ".join(raw.split())
 
 
-def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int, int]], int]:
+def read_page(page: str, only_trees: bool = False, only_blocks: bool = False, markup: bool = True) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int, int]], int]:
     """Blocks (text, in an article, in the main part) in page order, subtrees (hash, first block, block after the last), and the body's hash.
 
     Hashes are of the text as it stands, so that counting needn't decode it.
@@ -93,6 +94,8 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) ->
         if text:
             top = stack[-1]
             if top.drop:  # text before a dropped inline element stays
+                if not only_blocks and (raw := "".join(text[top.mark :]).strip()):
+                    top.pieces.append(raw)
                 del text[top.mark :]
             else:
                 raw = "".join(text)
@@ -114,8 +117,9 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) ->
             if top.pieces:
                 inner = f"<{top.tag}>{''.join(top.pieces)}</>"
                 h = xxhash.xxh64_intdigest(inner) >> 1
-                up.pieces.append(f"{h:x};")
-                if not top.drop and not top.holds and top.tag in BLOCK and top.tag not in ("html", "body") and not (top.prose and (top.article or top.main)):
+                if up.drop or not top.drop:  # a body is told by what isn't furniture
+                    up.pieces.append(f"{h:x};")
+                if top.drop or not top.holds and top.tag in BLOCK and top.tag not in ("html", "body") and not (top.prose and (top.article or top.main)):
                     trees.append((h, top.first, len(blocks), top.size))
 
     at, n = 0, len(page)
@@ -159,8 +163,8 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) ->
                     break
                 if t in BLOCK and not (tag == "tr" and t in ("td", "th")):
                     break
-        drop, up = stack[-1].drop or tag in FURNITURE, stack[-1]
-        if not drop and m[3] and tag not in ("html", "body"):
+        drop, up = stack[-1].drop or markup and tag in FURNITURE, stack[-1]
+        if markup and not drop and m[3] and tag not in ("html", "body"):
             for name, a, b, c in _ATTR.findall(m[3]):
                 value = a or b or c
                 name = name.lower()
@@ -173,31 +177,35 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False) ->
     return blocks, [t[:3] for t in trees if 2 * t[3] <= root.size], xxhash.xxh64_intdigest("".join(root.pieces)) >> 1
 
 
-def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
+def main_text(page: str | None, templates: frozenset[int] = frozenset(), markup: bool = True) -> str:
     """The page's main text without the given subtrees."""
-    blocks, trees, _ = read_page(page or "", only_blocks=not templates)
+    blocks, trees, _ = read_page(page or "", only_blocks=not templates, markup=markup)
     gone = bytearray(len(blocks) + 1)
     for h, a, b in trees:
         if h in templates:
             gone[a:b] = b"\1" * (b - a)
-    part = 1 if any(b[1] for b in blocks) else 2 if any(b[2] for b in blocks) else 0
+    part = 0 if not markup else 1 if any(b[1] for b in blocks) else 2 if any(b[2] for b in blocks) else 0
     return "\n".join(b[0] for k, b in enumerate(blocks) if not gone[k] and (not part or b[part]))
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _subtrees(markup: bool):
     """(host, page, body, hashes): the distinct subtrees of each page, and the hash of its body."""
-    for batch in batches:
-        read = [read_page(page.as_py() or "", only_trees=True) for page in batch.column("html")]
-        found = [np.unique(np.array([t[0] for t in trees], dtype=np.int64)) for _, trees, _ in read]
-        offs = np.cumsum([0, *map(len, found)])
-        hashes = list_column(np.concatenate([np.empty(0, np.int64), *found]), offs, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array([r[2] for r in read], pa.int64()), hashes], names=["host", "page", "body", "hashes"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [read_page(page.as_py() or "", only_trees=True, markup=markup) for page in batch.column("html")]
+            found = [np.unique(np.array([t[0] for t in trees], dtype=np.int64)) for _, trees, _ in read]
+            offs = np.cumsum([0, *map(len, found)])
+            hashes = list_column(np.concatenate([np.empty(0, np.int64), *found]), offs, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array([r[2] for r in read], pa.int64()), hashes], names=["host", "page", "body", "hashes"])
+
+    return run
 
-def page_templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+
+def page_templates(pages: DataFrame, least: int = LEAST_PAGES, markup: bool = True) -> DataFrame:
     """(host, page, templates): hashes of the templates on each page that has some; ``page`` is the hash of its text."""
     keys = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), "html")
-    read = staged(keys.mapInArrow(_subtrees, "host string, page long, body long, hashes array<long>").filter(F.size("hashes") > 0), "subtrees")
+    read = staged(keys.mapInArrow(_subtrees(markup), "host string, page long, body long, hashes array<long>").filter(F.size("hashes") > 0), "subtrees")
     # copies of a body are one page
     rows = read.select("host", "body", F.explode("hashes").alias("hash")).distinct().withColumn("salt", F.pmod("body", F.lit(SALTS)))
     rows = staged(rows, "subtrees")
@@ -208,17 +216,20 @@ def page_templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     return read.select("host", "page", "body").distinct().join(known, ["host", "body"]).select("host", "page", "templates")
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(page.as_py(), frozenset(lists.as_py() or ())) for page, lists in zip(batch.column("html"), batch.column("_templates"), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+def _extract(markup: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(page.as_py(), frozenset(gone.as_py() or ()), markup) for page, gone in zip(batch.column("html"), batch.column("_templates"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
-def extract_text(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, least: int = LEAST_PAGES, markup: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    templates = staged(page_templates(pages, least).withColumnsRenamed({"host": "_host", "page": "_page", "templates": "_templates"}), "templates")
+    templates = staged(page_templates(pages, least, markup).withColumnsRenamed({"host": "_host", "page": "_page", "templates": "_templates"}), "templates")
     base = pages.select("page_id", "url", "html", host().alias("_host"), F.xxhash64("html").alias("_page"))
     few = templates.count() <= MOST_SENT
     joined = base.join(F.broadcast(templates) if few else templates, ["_host", "_page"], "left").select("page_id", "url", "html", "_templates")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select("page_id", "url").schema)
-    return joined.mapInArrow(_extract, f"{fields}, text string, n_chars long")
+    return joined.mapInArrow(_extract(markup), f"{fields}, text string, n_chars long")
