@@ -9,8 +9,9 @@ A convolution of embedded bytes is a sum of table rows (one table of 256 rows pe
 prediction is gathering, adding and a maximum, in batches of windows.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; where nothing is labelled,
-every text is; labels that are null are not learned from; repeated rows are predicted alike; an
-empty table gives an empty result; a text shorter than a window is padded with zero bytes.
+every text is; labels that are null are not learned from; repeated rows are predicted alike; of tied languages
+the first by name is taken; an empty table gives an empty result; a text shorter than a window is padded with zero bytes, a very
+long one has as many windows as it needs; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, is_held_out, lut, text_chunks
 
-#: Bytes of a window; texts sampled for each language and windows of each text; languages at most.
-WINDOW, TEXTS, PER_TEXT, MOST_LANGUAGES = 192, 700, 4, 400
+#: Bytes of a window; texts sampled for each language and windows of each text; texts sampled in all.
+WINDOW, TEXTS, PER_TEXT, MOST_TEXTS = 192, 700, 4, 50_000
 #: The network: embedding, filter widths, filters of each width.
 EMBED, WIDTHS, FILTERS = 8, (2, 3, 4), 12
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.01, 5
@@ -49,16 +50,20 @@ class Network(NamedTuple):
 def sample_windows(texts: DataFrame, per_language: int = TEXTS) -> tuple[np.ndarray, list[str]]:
     """Windows (n x WINDOW bytes) and their languages, from at most ``per_language`` texts of each language.
 
-    Texts are chosen by a digest of their id, with a threshold from the language's count, so the
-    sample is bounded by languages x per_language x PER_TEXT windows.
+    Texts are chosen by a digest of their id, with a threshold from the language's count. All languages are
+    learned; where they are many, each gives fewer texts, so that the sample has about MOST_TEXTS x PER_TEXT windows
+    at most (or one text of each language).
     """
     known = texts.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not counts:
         return np.empty((0, WINDOW), np.uint8), []
+    per_language = max(1, min(per_language, MOST_TEXTS // len(counts)))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    chosen = known.filter(place < limit[F.col("lang")])
+    share = known.sparkSession.createDataFrame([(k, min(1.0, per_language / n), n <= per_language) for k, n in counts.items()], "_lang string, _share double, _all boolean")
+    # of a language that gives one text, the digest might choose none: its first by digest is always in
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id")) if per_language == 1 else F.lit(2)
+    chosen = known.withColumn("place", place).join(F.broadcast(share), F.col("lang") == F.col("_lang")).withColumn("first", first).filter((F.col("place") < F.col("_share")) | F.col("_all") | (F.col("first") == 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,7 @@
 2. A generative label model estimates, by expectation maximisation, each voter's rate of voting in
    toxic and in other texts (its accuracy) and the voters' correlations within the classes (a
    pooled covariance), and gives each sampled text a posterior.
+   The label starts the estimate and weighs by its own estimated accuracy, so where labels are clean the posteriors follow them.
 3. A linear (logistic) classifier is trained on the posteriors over lexicon and pattern features,
    and scores every whole text.
 
@@ -15,7 +16,8 @@ Spark. Labels of held-out rows, and lang, source and doc_id, are never used for
 
 Cases: a null or empty text is scored from no features, with a low score; where nothing is labelled
 toxic every score is 0; null labels are skipped; several labels of a document count as toxic if any
-does; repeated rows score alike; an empty table gives an empty result.
+does; repeated rows score alike; entries that tie for the lexicon's last place go by their hash; a very long text is scored whole, in its own
+chunk; an empty table gives an empty result; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -123,9 +125,7 @@ def vote_matrix(data: np.ndarray, offs: np.ndarray, lexicon: np.ndarray, strengt
             hit |= count >= t
             if k == 0:
                 total = count.sum(axis=1)
-    kinds = hit.sum(axis=1)
-    words, size = np.maximum(n_words, 1), np.maximum(np.diff(offs), 1)
-    kinds, total = (hit > 0).sum(axis=1), hit.sum(axis=1)
+    words, size, kinds = np.maximum(n_words, 1), np.maximum(np.diff(offs), 1), hit.sum(axis=1)
     best = np.maximum((np.where(hit, strength, -9.0)).max(axis=1, initial=-9.0), 0)
     patterns = np.stack([best, best > 1, best > 2, kinds > 1, kinds > 3, np.minimum(total / words * 10, 1), marks[:, 0] / size > 0.5, marks[:, 1] / size > 0.02], axis=1).astype(float)
     return hit.astype(float), patterns

@@ -13,7 +13,9 @@ summed up before they are shuffled.
 
 Cases: a null payload is stored as an empty one, a null page_id as ``null`` (such a page never stands
 for others); repeated rows are records of their own, all responses if theirs is the largest id;
-an empty table gives no archives and an empty result; a very long payload gets an archive of its own.
+ties in the largest page_id are all responses; an empty table gives no archives and an empty result; a very long payload gets an
+archive of its own; page ids are whole numbers; other columns play no part, whatever their names. ``read_archive_files`` takes a whole file as one row, so archives
+from elsewhere may have 2 GB at most (those written here have ARCHIVE_BYTES, or one payload, before compression).
 """
 
 from __future__ import annotations
@@ -164,8 +166,8 @@ def planned(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """The archives of all pages as a staged table (archive, content); each content is a whole .warc.zst file."""
-    sample = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("s")).filter("s <> ''").limit(SAMPLE_PAGES)
-    dictionary = train_dictionary([r["s"].encode() for r in sample.collect()])  # bounded: SAMPLE_PAGES pieces
+    sample = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("s")).filter("s <> ''").orderBy(F.xxhash64("s"), "s").limit(SAMPLE_PAGES)
+    dictionary = train_dictionary([r["s"].encode() for r in sample.collect()])  # bounded: SAMPLE_PAGES pieces, the same in every run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(dictionary), write_content_size=True)

@@ -24,11 +24,16 @@ def plain_quality(docs):
 
     refs = {}
     for d in docs:
-        r = refs.setdefault(d["lang"] or "und", [Counter(), Counter(), 0])
+        r = refs.setdefault(d["lang"], [Counter(), Counter(), 0, 0])
         r[0].update(dict(enumerate(classes(d["text"] or ""))))
-        short = [lower(w) for w in words_of(d["text"]) if len(w.encode()) <= quality.COMMON_BYTES]
-        r[1].update(int.from_bytes(w.encode(), "little") for w in short)
-        r[2] += len(words_of(d["text"]))
+        w = [lower(w) for w in words_of(d["text"])]
+        r[1].update(w)
+        r[2] += len(w)
+        r[3] += bool(w)
+    level = {k: 0 if k is None else 2 if r[3] >= quality.LEAST_DOCS and r[2] >= quality.LEAST_TEXT else 1 for k, r in refs.items() if r[2]}
+    refs = {k: refs[k] for k in level if level[k] == max(level.values())}
+    for r in refs.values():
+        r[1] = {w: n for w, n in r[1].items() if n * quality.RAREST >= r[2] and sum(m >= n for m in r[1].values()) <= quality.COMMON}
 
     def distance(p, q):
         m = [(a + b) / 2 for a, b in zip(p, q)]
@@ -45,17 +50,18 @@ def plain_quality(docs):
         if len(w) < 50 or 100 * len(rep) > 50 * len(w):
             continue
         c = classes(d["text"])
-        mine = Counter(int.from_bytes(lower(x).encode(), "little") for x in w if len(x.encode()) <= quality.COMMON_BYTES)
+        mine = Counter(lower(x) for x in w)
         by_class, by_word = 1.0, 1.0
         for ref in refs.values():
-            if not ref[2]:
-                continue
             total = sum(ref[0].values())
-            by_class = min(by_class, distance([x / sum(c) for x in c], [ref[0][k] / total for k in range(7)]))
-            top = sorted(ref[1].items(), key=lambda x: (-x[1], -x[0]))[: quality.COMMON]
-            p = [mine[k] / len(w) for k, _ in top]
-            q = [n / ref[2] for _, n in top]
-            by_word = min(by_word, distance([*p, 1 - sum(p)], [*q, 1 - sum(q)]))
+            of_class = distance([x / sum(c) for x in c], [ref[0][k] / total for k in range(7)])
+            by_class = min(by_class, of_class)
+            p, q = [mine[x] / len(w) for x in ref[1]], [n / ref[2] for n in ref[1].values()]
+            if sum(q) < quality.LEAST_MASS:
+                by_word = 0.0 if of_class <= quality.MOST_CLASS_DISTANCE else by_word
+                continue
+            none = distance([0.0] * len(q) + [1.0], [*q, 1 - sum(q)])
+            by_word = min(by_word, distance([*p, 1 - sum(p)], [*q, 1 - sum(q)]) / none)
         if by_class <= quality.MOST_CLASS_DISTANCE and (by_word <= quality.MOST_WORD_DISTANCE or len(w) < quality.LEAST_WORDS_COMMON):
             out.append(d)
     return out
@@ -127,7 +133,7 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = [dict(zip(("doc_id", "text", "lang", "source"), x)) for x in rows]
     docs = plain_quality(docs)
-    kept = brute_components([d["text"] for d in docs], 2, 80)
+    kept = brute_components([d["text"] for d in docs], 5, 80)
     docs = [d for d, k in zip(docs, kept) if k[3]]
     docs = [d | {"text": plain_cut(d["text"], items)} for d in docs]
     copies = plain_mix(docs)
