@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tensor import VAL, Tensor
 from . import elementwise
+from .formats import running_sum
 
 
 def to_bitvector(t: Tensor, width: int = 63) -> DataFrame:
@@ -21,6 +22,9 @@ def to_bitvector(t: Tensor, width: int = 63) -> DataFrame:
 
 def bit_refs(words: DataFrame, fiber: Sequence[str] = ()) -> DataFrame:
     """Offset of each word's first bit in its fiber's values: set bits of the words before it."""
+    if not fiber:  # one vector is no one task: sums by blocks
+        out = running_sum(words.withColumn("_bits", F.bit_count("word")), "word_id", "_bits", "ref")
+        return out.select(*words.columns, F.col("ref").cast("long").alias("ref"))
     w = Window.partitionBy(*fiber).orderBy("word_id").rowsBetween(Window.unboundedPreceding, -1)
     return words.withColumn("ref", F.coalesce(F.sum(F.bit_count("word")).over(w), F.lit(0)).cast("long"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tensor import VAL, Tensor
@@ -46,6 +46,6 @@ def check_csf(crd: DataFrame, seg: DataFrame) -> DataFrame:
         F.count_if((F.col("end") < F.col("start")) | F.coalesce(F.col("next") != F.col("end"), F.lit(False))).alias("not_monotone"),
         F.max("end").alias("last"),
     )
-    w = Window.partitionBy("level", "fiber").orderBy("pos")
-    order = crd.withColumn("before", F.lag("crd").over(w)).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") >= F.col("crd")).alias("unsorted"))
+    after = crd.select("level", "fiber", (F.col("pos") - 1).alias("pos"), F.col("crd").alias("after"))
+    order = crd.join(after, ["level", "fiber", "pos"], "left").groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("crd") >= F.col("after")).alias("unsorted"))
     return segments.join(order, "level", "left").select("level", "bad_start", "not_monotone", F.coalesce((F.col("last") != F.coalesce("n", F.lit(0))).cast("long"), F.lit(0)).alias("bad_end"), F.coalesce("unsorted", F.lit(0)).cast("long").alias("unsorted"))

@@ -20,16 +20,17 @@ DENSE_CELLS = 50_000_000
 def with_position(df: DataFrame, order: Sequence[str], name: str = "pos", partitions: int | None = None) -> DataFrame:
     """A dense number, from 0, of every row in the given order, without a window over all rows.
 
-    Rows are dealt by range and staged with their partition's number, so that counting and
-    numbering see the same partitions; the counts (one per partition) give the offsets.
+    Rows are dealt by range, sorted, numbered in their partition and staged with both numbers, so that
+    one shuffle is enough; the counts (one per partition) give the offsets.
     """
     cols = [F.col(c) for c in order]
     dealt = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
-    kept = staged(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    # the low 33 bits of the growing number count a partition's rows, in the order they have by then
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    kept = staged(dealt.sortWithinPartitions(*cols).withColumns({"_part": F.spark_partition_id(), "_k": row}), "ranges")
     counts = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
-    numbered = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*cols)))
-    return numbered.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_k") - 1).alias(name))
+    return kept.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_k")).alias(name))
 
 
 def running_sum(df: DataFrame, key: str, value: str, name: str = "before", block: int = BLOCK) -> DataFrame:
@@ -95,12 +96,21 @@ def to_dcsc(t: Tensor) -> tuple[DataFrame, DataFrame, DataFrame]:
     return to_csf(t, (1, 0))
 
 
+def expanded(spans: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """A row (keys, _pos) for each position of every span, long spans block by block, so that a root fiber is no single row or task."""
+    block = F.explode(F.sequence(F.floor(F.col(start) / BLOCK), F.floor((F.col(end) - 1) / BLOCK))).alias("_block")
+    parts = spans.select(*keys, start, end, block).repartition(*keys, "_block")
+    first, last = F.greatest(F.col(start), F.col("_block") * BLOCK), F.least(F.col(end), (F.col("_block") + 1) * BLOCK) - 1
+    return parts.select(*keys, F.explode(F.sequence(first, last)).alias("_pos"))
+
+
 def from_csf(crd: DataFrame, seg: DataFrame, vals: DataFrame, modes: Sequence[str], shape: Sequence[int] | None = None) -> Tensor:
     """Entries from compressed fibers (``modes`` in level order): every segment is expanded to its children."""
     frame: DataFrame | None = None
     for level, mode in enumerate(modes):
         spans = seg.filter(F.col("level") == level).filter("start < end")
-        children = spans.select("fiber", F.explode(F.sequence("start", F.col("end") - 1)).alias("_pos"))
+        nodes_of = expanded(spans, ["fiber"], "start", "end")
+        children = nodes_of.select("fiber", "_pos")
         nodes = children.join(crd.filter(F.col("level") == level).select(F.col("pos").alias("_pos"), F.col("crd").alias(mode)), "_pos")
         if frame is None:
             frame = nodes.select(F.col(mode), "_pos")
@@ -112,10 +122,34 @@ def from_csf(crd: DataFrame, seg: DataFrame, vals: DataFrame, modes: Sequence[st
 def from_csr(ptr: DataFrame, entries: DataFrame, modes: Sequence[str], shape: Sequence[int] | None = None) -> Tensor:
     """Entries from row pointers; each row's span is expanded and joined on position."""
     nxt = ptr.select((F.col("row") - 1).alias("row"), F.col("ptr").alias("end"))
-    spans = ptr.join(nxt, "row").filter("ptr < end").select(F.col("row").alias(modes[0]), F.explode(F.sequence("ptr", F.col("end") - 1)).alias("pos"))
+    spans = expanded(ptr.join(nxt, "row").filter("ptr < end").withColumnRenamed("row", modes[0]), [modes[0]], "ptr", "end").withColumnRenamed("_pos", "pos")
     return Tensor(spans.join(entries.withColumnRenamed("crd", modes[1]), "pos").select(*modes, VAL), tuple(modes), None if shape is None else tuple(shape))
 
 
+def _flipped(t: Tensor) -> Tensor:
+    return Tensor(t.df.select(*t.modes[::-1], VAL), t.modes[::-1], None if t.shape is None else t.shape[::-1])
+
+
+def from_csc(ptr: DataFrame, entries: DataFrame, modes: Sequence[str], shape: Sequence[int] | None = None) -> Tensor:
+    """Entries from column pointers."""
+    return _flipped(from_csr(ptr, entries, modes[::-1], None if shape is None else shape[::-1]))
+
+
+def from_dcsr(crd: DataFrame, seg: DataFrame, vals: DataFrame, modes: Sequence[str], shape: Sequence[int] | None = None) -> Tensor:
+    """Entries of a matrix from its compressed fibers by row."""
+    return from_csf(crd, seg, vals, modes, shape)
+
+
+def from_dcsc(crd: DataFrame, seg: DataFrame, vals: DataFrame, modes: Sequence[str], shape: Sequence[int] | None = None) -> Tensor:
+    """Entries of a matrix from its compressed fibers by column."""
+    return _flipped(from_csf(crd, seg, vals, modes[::-1], None if shape is None else shape[::-1]))
+
+
+def to_dense_t(t: Tensor, cells: int = DENSE_CELLS) -> DataFrame:
+    """Every cell of the transposed tensor, its rows being the columns here."""
+    return to_dense(_flipped(t), cells)
+
+
 def to_dense(t: Tensor, cells: int = DENSE_CELLS) -> DataFrame:
     """Every cell, row-major, missing ones 0. A guard stops what is larger than ``cells``."""
     total = reduce(lambda a, b: a * b, t.shape, 1)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tensor import VAL, Tensor
+from .formats import with_position
 
 #: Cells up to which every cell is drawn; beyond, cells are sampled by number.
 DRAW_CELLS = 1 << 28
@@ -33,7 +34,10 @@ def _size(shape: Sequence[int]) -> int:
 
 
 def random_tensor(spark: SparkSession, modes: Sequence[str], shape: Sequence[int], sparsity: float, seed: int = 0, cap: int = 255) -> Tensor:
-    """Each cell is stored with probability 1 - sparsity, with a whole value in [1, cap)."""
+    """Each cell is stored with probability 1 - sparsity, with a whole value in [1, cap): a stored entry isn't 0.
+
+    Beyond DRAW_CELLS cells, drawing each would take longer than making the entries: as many as are expected are made.
+    """
     if _size(shape) > DRAW_CELLS:
         return fixed_nnz(spark, modes, shape, round(_size(shape) * (1 - sparsity)), seed, cap)
     ids = spark.range(_size(shape)).filter(_uniform(F.col("id"), seed) >= sparsity)
@@ -48,7 +52,7 @@ def fixed_nnz(spark: SparkSession, modes: Sequence[str], shape: Sequence[int], n
         drawn = spark.range(size)
     else:
         drawn = spark.range(int(nnz * 1.5) + 100).select(F.floor(_uniform(F.col("id"), seed, 2) * size).cast("long").alias("id")).distinct()
-    ids = drawn.orderBy(_uniform(F.col("id"), seed, 3), "id").limit(min(nnz, size))
+    ids = with_position(drawn.withColumn("_u", _uniform(F.col("id"), seed, 3)), ["_u", "id"], "_pos").filter(F.col("_pos") < nnz).select("id")
     value = F.lit(1).cast("long") if cap is None else (1 + F.floor(_uniform(F.col("id"), seed, 1) * (cap - 1))).cast("long")
     return Tensor(_cells(spark, ids.withColumn(VAL, value), modes, shape), tuple(modes), tuple(shape))
 

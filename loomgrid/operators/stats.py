@@ -12,6 +12,10 @@ from ..tensor import Tensor
 from .formats import running_sum, with_position
 
 
+#: Runs that are deleted at once.
+MOST_RUNS = 10_000
+
+
 def corpus_stats(entries: DataFrame, shapes: DataFrame) -> DataFrame:
     """Per matrix of a collection: name, nnz, dim1, dim2, density, seg_size, crd_size, in one pass.
 
@@ -96,8 +100,10 @@ def run_lengths(runs_: DataFrame) -> DataFrame:
 
 
 def delete_run(v: Tensor, run: DataFrame) -> Tensor:
-    """The vector without the entries of the given runs (start, end); the few runs are sent to all tasks."""
+    """The vector without the entries of the given runs (start, end), of which there are MOST_RUNS at most, as they are sent to all tasks."""
     (m,) = v.modes
+    if len(run.take(MOST_RUNS + 1)) > MOST_RUNS:
+        raise ValueError(f"more than {MOST_RUNS} runs at once")
     hit = F.col(m).between(F.col("start"), F.col("end"))
     return Tensor(v.rows.join(F.broadcast(run.select("start", "end")), hit, "left_anti"), v.modes, v.shape)
 
@@ -107,10 +113,11 @@ def size_classes(corpus: DataFrame, n: int = 50) -> DataFrame:
     sized = corpus.select("name", (F.col("dim1") * F.col("dim2")).alias("size"))
     total = sized.count()
     first = max(0, (total - n) // 2)
-    small = sized.orderBy("size", "name").limit(n).withColumn("class", F.lit("small"))
-    large = sized.orderBy(F.desc("size"), F.desc("name")).limit(n).withColumn("class", F.lit("large"))
-    middle = sized.orderBy("size", "name").offset(first).limit(n).withColumn("class", F.lit("median"))
-    return small.union(middle).union(large)
+    pos = F.col("_pos")
+    mine = {"small": pos < n, "median": (pos >= first) & (pos < first + n), "large": pos >= total - n}
+    # numbered by range partitions, as the middle of a large corpus is no one task's work
+    placed = with_position(sized, ["size", "name"], "_pos").withColumn("class", F.array_compact(F.array(*[F.when(c, k) for k, c in mine.items()])))
+    return placed.select("name", "size", F.explode("class").alias("class"))
 
 
 def sample_benchmarks(classes: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
@@ -121,11 +128,11 @@ def sample_benchmarks(classes: DataFrame, n: int = 5, seed: int = 0) -> DataFram
 
 
 def partition_work(names: DataFrame, n: int = 8) -> DataFrame:
-    """Names, in order, in n even chunks; the last takes the rest. The list of names is metadata."""
+    """Names, in order, in n even chunks; the last takes the rest."""
     total = names.count()
     per = max(1, total // n)
-    k = F.row_number().over(Window.orderBy("name")) - 1
-    return names.select("name", F.least(F.floor(k / per), F.lit(n - 1)).cast("long").alias("chunk"))
+    placed = with_position(names.select("name"), ["name"], "_pos")
+    return placed.select("name", F.least(F.floor(F.col("_pos") / per), F.lit(n - 1)).cast("long").alias("chunk"))
 
 
 def result_curves(results: DataFrame, x: str, y: str, by: Sequence[str], filters: Mapping[str, object] | None = None) -> DataFrame:

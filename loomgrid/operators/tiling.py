@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tensor import VAL, Tensor
-from . import elementwise, formats
+from . import elementwise, formats, generate
 
 
 def tile(t: Tensor, factors: Mapping[str, int], suffix: str = "0") -> Tensor:
@@ -55,9 +55,11 @@ def tile_sizes(tiles: Tensor, ids: Sequence[str], row: str) -> DataFrame:
     return tiles.df.groupBy(*ids).agg((2 * F.count(F.lit(1)) + 2 * F.count_distinct(row) + 3).alias("size"))
 
 
-def tile_coordinates(tiles: Tensor, ids: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compressed fibers of the grid of tiles that exist."""
+def tile_coordinates(tiles: Tensor, ids: Sequence[str], keep_empty: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compressed fibers of the grid of tiles that exist, or of the whole grid."""
     grid = tiles.df.select(*ids).distinct().withColumn(VAL, F.lit(1))
+    if keep_empty:
+        grid = generate.dense_ones(tiles.df.sparkSession, tuple(ids), [tiles.dim(i) for i in ids]).df
     return formats.to_csf(Tensor(grid, tuple(ids)))
 
 
@@ -68,30 +70,31 @@ def untile(tiles: Tensor, modes: Sequence[str], factors: Mapping[str, int], suff
 
 
 def tile_stats(t: Tensor, width: int, height: int, full_grid: bool = True) -> DataFrame:
-    """Per tile of ``height`` x ``width``: entries, dimensions (cut at the edge), density, segment and coordinate array sizes."""
+    """Per tile of ``width`` rows and ``height`` columns: entries, dimensions (cut at the edge), density, segment and coordinate array sizes."""
     i, j = t.modes
     di, dj = t.shape
-    cut = tile(t, {i: height, j: width})
+    cut = tile(t, {i: width, j: height})
     got = cut.df.groupBy(f"{i}0", f"{j}0").agg(F.count(F.lit(1)).alias("nnz"), F.count_distinct(i).alias("rows"))
     if full_grid:
-        grid = t.df.sparkSession.range(-(-di // height)).withColumnRenamed("id", f"{i}0").crossJoin(t.df.sparkSession.range(-(-dj // width)).withColumnRenamed("id", f"{j}0"))
+        grid = t.df.sparkSession.range(-(-di // width)).withColumnRenamed("id", f"{i}0").crossJoin(t.df.sparkSession.range(-(-dj // height)).withColumnRenamed("id", f"{j}0"))
         got = grid.join(got, [f"{i}0", f"{j}0"], "left").fillna(0, ["nnz", "rows"])
-    h = F.least(F.lit(height), F.lit(di) - F.col(f"{i}0") * height).cast("long")
-    w = F.least(F.lit(width), F.lit(dj) - F.col(f"{j}0") * width).cast("long")
-    return got.select(f"{i}0", f"{j}0", "nnz", h.alias("dim1"), w.alias("dim2"), (F.col("nnz") / (h * w)).alias("density"), (F.col("rows") + 3).alias("seg_size"), (F.col("rows") + F.col("nnz")).alias("crd_size"))
+    rows = F.least(F.lit(width), F.lit(di) - F.col(f"{i}0") * width).cast("long")
+    columns = F.least(F.lit(height), F.lit(dj) - F.col(f"{j}0") * height).cast("long")
+    return got.select(f"{i}0", f"{j}0", "nnz", rows.alias("dim1"), columns.alias("dim2"), (F.col("nnz") / (rows * columns)).alias("density"), (F.col("rows") + 3).alias("seg_size"), (F.col("rows") + F.col("nnz")).alias("crd_size"))
 
 
-def other_tensors(app: str, t: Tensor) -> dict[str, Tensor]:
-    """The companions that a job's tensor is run with: shifted, shifted and transposed, shifted twice."""
+def other_tensors(app: str, t: Tensor, seed: int = 0) -> dict[str, Tensor]:
+    """The companions that a job's tensor is run with: shifted, shifted and transposed, shifted twice, none, or a random one for other jobs."""
     shifted = elementwise.shift_last_mode(t)
     flipped = lambda: elementwise.permute_modes(shifted, (1, 0))
     kinds = {
         "matmul": lambda: {"C": flipped().rename("k", "j")},
         "mat_elemadd": lambda: {"C": shifted}, "mat_elemmul": lambda: {"C": shifted},
+        "mat_sddmm": dict, "mat_mattransmul": dict, "mat_residual": dict, "mat_vecmul": dict,
         "mat_elemadd3": lambda: {"C": shifted, "D": elementwise.shift_last_mode(shifted)},
     }
     if app not in kinds:
-        raise ValueError(f"no companions are known for {app}")
+        return {"C": generate.random_tensor(t.df.sparkSession, t.modes, t.shape, 0.99, seed)}
     return kinds[app]()
 
 

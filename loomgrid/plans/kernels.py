@@ -79,13 +79,20 @@ def matmul(b: Tensor, c: Tensor, salts: int = 1, hot: DataFrame | None = None) -
 
 
 def mat_sddmm(b: Tensor, c: Tensor, d: Tensor) -> Tensor:
-    """X(i, j) = B(i, j) * sum over k of C(i, k) D(k, j), with C and D dense: rows and columns as arrays, one dot product per entry of B."""
+    """X(i, j) = B(i, j) * sum over k of C(i, k) D(k, j), with C and D dense: rows and columns as arrays, one dot product per entry of B.
+
+    Where a row and a column store different k, only those in common are multiplied.
+    """
     i, j = b.modes
     (k,) = [m for m in c.modes if m != i]
-    pack = lambda t, by: t.df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(k).alias("k"), F.col(VAL).alias("v")))).alias("_a")).select(by, F.col("_a.v").alias("_v"))
+    pack = lambda t, by: t.df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(k).alias("k"), F.col(VAL).alias("v")))).alias("_v"))
     rows, cols = pack(c, i).withColumnRenamed("_v", "_c"), pack(d, j).withColumnRenamed("_v", "_d")
     kind = dict(c.df.dtypes)[VAL]
-    dot = F.aggregate(F.zip_with("_c", "_d", lambda x, y: x * y), F.lit(0).cast(kind), lambda s, x: s + x)
+    total = lambda a: F.aggregate(a, F.lit(0).cast(kind), lambda s, x: s + x)
+    both = F.array_intersect("_c.k", "_d.k")
+    common = lambda a: F.filter(a, lambda x: F.array_contains(both, x["k"]))
+    times = lambda a, b: total(F.zip_with(a, b, lambda x, y: x["v"] * y["v"]))
+    dot = F.when(F.col("_c.k") == F.col("_d.k"), times(F.col("_c"), F.col("_d"))).otherwise(times(common("_c"), common("_d")))
     out = b.df.join(rows, i).join(cols, j).select(i, j, (F.col(VAL) * dot).alias(VAL))
     return drop_zeros(Tensor(out, (i, j), b.shape))
 

@@ -72,3 +72,36 @@ def test_results(spark, tmp_path):
     assert sorted((r["name"], r["time"], r["original_filename"][-5:]) for r in got) == [("x", "1", "a.csv"), ("y", "2", "a.csv"), ("z", "3", "b.csv")]
     (tmp_path / "r.json").write_text(json.dumps({"benchmarks": [{"name": "q", "group": "g", "stats": {"mean": 1.5}, "extra_info": {"nnz": 3}}]}))
     assert results.bench_json_to_table(spark, f"{tmp_path}/r.json").select("name", "mean", "nnz").first() == ("q", 1.5, 3)
+
+
+def test_mtx_in_parts(spark, tmp_path):
+    t = generate.random_tensor(spark, ("i", "j"), (40, 50), 0.2, 5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        coordinates.write_mtx(t, f"{tmp_path}/a.mtx")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+    assert len([p for p in (tmp_path / "a.mtx").iterdir() if p.name.startswith("part-")]) == 8
+    back = coordinates.read_one_mtx(spark, f"{tmp_path}/a.mtx", "long")
+    assert entries(back) == entries(t) and back.shape == (40, 50)
+    # the parts, one after another, are one file
+    (tmp_path / "whole.mtx").write_text("".join(p.read_text() for p in sorted((tmp_path / "a.mtx").glob("part-*"))))
+    assert entries(coordinates.read_one_mtx(spark, f"{tmp_path}/whole.mtx", "long")) == entries(t)
+    with pytest.raises(ValueError):
+        coordinates.read_one_mtx(spark, f"{tmp_path}/*.mtx")
+
+
+def test_tns_rounds_but_keeps_what_is_stored(spark, tmp_path):
+    (tmp_path / "f.tns").write_text("1 0.4\n2 1.6\n3 -0.3\n4 0\n")
+    assert entries(coordinates.read_tns(spark, f"{tmp_path}/f.tns", ("i",), cast_int=True)) == {(0,): 1, (1,): 2, (2,): -1, (3,): 0}
+
+
+@pytest.mark.parametrize("fmt", ["coo", "cooT"])
+def test_coordinates_in_one_file(spark, tmp_path, fmt):
+    t = from_rows(spark, [(0, 0, 5), (0, 2, 6), (2, 1, 7)], ["i", "j"], (4, 3))
+    compressed.write_combined(t, f"{tmp_path}/f", fmt)
+    back = compressed.read_coo(spark, f"{tmp_path}/f", ("i", "j"), fmt == "cooT", "long")
+    assert entries(back) == entries(t) and back.shape == (4, 3)

@@ -108,7 +108,7 @@ def test_tiles(spark):
     f = {"i": 6, "j": 7}
     assert entries(tiling.untile(tiling.tile(t, f), ["i", "j"], f)) == entries(t)
     s = tiling.tile_stats(t, 7, 6)
-    assert s.count() == 4 * 5 and s.agg({"nnz": "sum"}).first()[0] == len(entries(t))
+    assert s.count() == 3 * 5 and s.agg({"nnz": "sum"}).first()[0] == len(entries(t))
     assert tiling.tile_fit(tiling.tile_sizes(tiling.tile(t, f), ["i0", "j0"], "i"), 0).filter("fits").count() == 0
 
 
@@ -130,3 +130,26 @@ def test_generators(spark):
     one, two = generate.block_vectors(spark, 40, 8, 400, 3)
     assert one.df.count() == two.df.count() == 40
     assert entries(generate.other_vector(spark, "i", 50, 0.5, 1)).keys() == entries(generate.other_vector(spark, "i", 50, 0.5, 1)).keys()
+
+
+def test_sddmm_pairs_by_coordinate(spark):
+    b = from_rows(spark, [(0, 0, 2), (1, 0, 1)], ["i", "j"], (2, 1))
+    c = from_rows(spark, [(0, 0, 3), (0, 2, 4), (1, 1, 5), (1, 2, 6)], ["i", "k"], (2, 3))
+    d = from_rows(spark, [(0, 0, 1), (1, 0, 10), (2, 0, 100)], ["k", "j"], (3, 1))
+    assert {tuple(r) for r in kernels.mat_sddmm(b, c, d).rows.collect()} == {(0, 0, 2 * 403), (1, 0, 650)}
+
+
+def test_diagonals_and_early_sums(spark):
+    b = from_rows(spark, [(0, 0, 3), (0, 1, 4), (1, 1, 5)], ["i", "k"], (2, 2))
+    c = from_rows(spark, [(0, 0, 1), (1, 0, 2), (1, 1, 7)], ["k", "j"], (2, 2))
+    assert evaluate("x = B(i,i)", {"B": b}).rows.collect()[0][0] == 8
+    gold = {(i, m): v for i, m, v in [(0, 0, 3 * 1 * 1 + 4 * 2 * 1 + 4 * 7 * 2), (0, 1, 4 * 7 * 7), (1, 0, 5 * 2 * 1 + 5 * 7 * 2), (1, 1, 5 * 7 * 7)]}
+    got = evaluate("X(i,m) = B(i,k) * C(k,j) * C(j,m)", {"B": b, "C": c})
+    assert {(r["i"], r["m"]): r["val"] for r in got.rows.collect()} == gold
+
+
+def test_companions_of_every_job(spark):
+    t = from_rows(spark, [(0, 0, 3), (1, 2, 4)], ["i", "j"], (20, 30))
+    assert tiling.other_tensors("mat_sddmm", t) == tiling.other_tensors("mat_vecmul", t) == tiling.other_tensors("mat_residual", t) == {}
+    (other,) = tiling.other_tensors("something_else", t).values()
+    assert other.shape == (20, 30) and other.modes == ("i", "j")
