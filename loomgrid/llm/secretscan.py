@@ -95,7 +95,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
 
 
 def planted(docs: DataFrame, rows: int = PLANTED) -> DataFrame:
-    """(doc_id, text, label): words of at most ``rows`` documents with one planted finding each; label 1 is a secret.
+    """(doc_id, text, label): words of about ``rows`` documents (or all) with one planted finding each; label 1 is a secret.
 
     Its kind is drawn by a digest of the id. Secrets: keys and tokens with and without a name, passwords, cloud
     keys. Others: identifiers, numbers, paths, addresses, file names, checksums and commits with their
@@ -120,7 +120,10 @@ def planted(docs: DataFrame, rows: int = PLANTED) -> DataFrame:
         F.concat(F.initcap(word(32)), F.initcap(word(33)), F.initcap(word(34)), F.initcap(word(35)), digits(36, 2)), F.concat(word(37), F.lit("_"), word(38), F.lit("_"), word(39), F.lit("_20"), digits(40, 6), F.lit("-"), digits(41, 6)),
         F.concat(F.lit("id "), digits(42, 4), F.lit("-"), digits(43, 4), F.lit("-"), digits(44, 4), F.lit("-"), digits(45, 4)), F.concat(named, mark, uuid), F.concat(F.lit("cache key"), mark, F.substring(digest(53), 1, 32)),
     ]
-    chosen = docs.filter("doc_id IS NOT NULL AND text <> ''").select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), "doc_id").limit(rows)
+    able = docs.filter("doc_id IS NOT NULL AND text <> ''").select("doc_id", "text")
+    # by a threshold of the digest, as sorting for the first would send texts to one task
+    share = min(1.0, rows / max(able.count(), 1))
+    chosen = able.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
     # plain words only, so that what is found is what is planted
     plain = chosen.select("doc_id", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w.rlike("^[A-Za-z]{2,12}[.,]?$") & ~w.rlike(NAMED)).alias("all"))
     plain = plain.select("doc_id", F.filter("all", lambda w: w.rlike("^[A-Za-z]+$")).alias("w"), F.slice("all", 1, 30).alias("before"), F.slice("all", 31, 30).alias("after")).filter(F.size("w") > 3)
