@@ -38,7 +38,7 @@ NAMES_ONE, VALUE = _NAME + r"[\x20\x09-\x0D]*[:=]", "^[:=]*[\"']?([^\x20\x09-\x0
 #: Characters of the word on each side of a candidate, and of the words beside it, that features look at.
 NEAR = 200
 #: Words of the dictionary, their letters; planted and other rows of training; the forest; a secret's least score.
-DICTIONARY, PLANTED, TRAIN_ROWS, TREES, DEPTH, SEED, THRESHOLD = 200, 8_000, 20_000, 24, 8, 11, 0.5
+DICTIONARY, PLANTED, MOST_TIMES, TRAIN_ROWS, TREES, DEPTH, SEED, THRESHOLD = 200, 8_000, 16, 20_000, 24, 8, 11, 0.5
 
 FEATURES = ("length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "entropy", "covered", "slashes", "dots", "path_like", "named", "assigned", "quoted", "before_length", "after_length")
 
@@ -95,14 +95,16 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
 
 
 def planted(docs: DataFrame, rows: int = PLANTED) -> DataFrame:
-    """(doc_id, text, label): words of about ``rows`` documents (or all) with one planted finding each; label 1 is a secret.
+    """(doc_id, text, label): words of about ``rows`` documents with one planted finding each; label 1 is a secret.
+
+    Where documents are fewer, each is taken up to MOST_TIMES times; doc_id holds the document's id and the time.
 
     Its kind is drawn by a digest of the id. Secrets: keys and tokens with and without a name, passwords, cloud
     keys. Others: identifiers, numbers, paths, addresses, file names, checksums and commits with their
     words before them, made-up names of words, keys of caches, and placeholders.
     """
-    draw = lambda k, n: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED), F.lit(k)), F.lit(n)).cast("int")
-    digest = lambda k: F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(k)), 256)
+    draw = lambda k, n: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "time", F.lit(SEED), F.lit(k)), F.lit(n)).cast("int")
+    digest = lambda k: F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "time", F.lit(k)), 256)
     chars = lambda k, n: F.substring(F.translate(F.base64(F.unhex(digest(k))), "+/=", "xY7"), 1, n)
     digits = lambda k, n: F.substring(F.regexp_replace(F.concat(digest(k), digest(k + 100)), "[a-f]", ""), 1, n)
     word = lambda k: F.lower(F.get("w", draw(k, 1 << 20) % F.greatest(F.size("w"), F.lit(1))))
@@ -122,20 +124,22 @@ def planted(docs: DataFrame, rows: int = PLANTED) -> DataFrame:
     ]
     able = docs.filter("doc_id IS NOT NULL AND text <> ''").select("doc_id", "text")
     # by a threshold of the digest, as sorting for the first would send texts to one task
-    share = min(1.0, rows / max(able.count(), 1))
+    n = max(able.count(), 1)
+    share, times = min(1.0, rows / n), max(1, min(MOST_TIMES, rows // n))
     chosen = able.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
     # plain words only, so that what is found is what is planted
     plain = chosen.select("doc_id", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w.rlike("^[A-Za-z]{2,12}[.,]?$") & ~w.rlike(NAMED)).alias("all"))
     plain = plain.select("doc_id", F.filter("all", lambda w: w.rlike("^[A-Za-z]+$")).alias("w"), F.slice("all", 1, 30).alias("before"), F.slice("all", 31, 30).alias("after")).filter(F.size("w") > 3)
+    plain = plain.withColumn("time", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     is_secret = draw(46, 2) == 1
     piece = F.when(is_secret, F.element_at(F.array(*secrets), draw(47, len(secrets)) + 1)).otherwise(F.element_at(F.array(*others), draw(48, len(others)) + 1))
-    return plain.select("doc_id", F.concat_ws(" ", F.concat_ws(" ", "before"), piece, F.concat_ws(" ", "after")).alias("text"), is_secret.cast("double").alias("label"))
+    return plain.select(F.struct("doc_id", "time").alias("doc_id"), F.concat_ws(" ", F.concat_ws(" ", "before"), piece, F.concat_ws(" ", "after")).alias("text"), is_secret.cast("double").alias("label"))
 
 
 def train(docs: DataFrame, words: list[str], found: DataFrame | None = None, labelled: DataFrame | None = None) -> PipelineModel | None:
     """The forest from planted findings, and from those of ``found`` that ``labelled`` names; None where all are of one kind."""
     made = staged(planted(docs).repartition("doc_id"), "planted")
-    rows = features(findings(made), words).join(made.select("doc_id", "label").dropDuplicates(["doc_id"]), "doc_id").filter(~is_held_out()).select("label", *FEATURES)
+    rows = features(findings(made), words).join(made.select("doc_id", "label").dropDuplicates(["doc_id"]), "doc_id").filter(~is_held_out("doc_id.doc_id")).select("label", *FEATURES)
     if labelled is not None:
         key = ["doc_id", "ordinal", *(c for c in labelled.columns if c == "part")]
         known = found.join(labelled.select(*key, F.col("label").cast("double").alias("label")), key).filter(F.col("label").isNotNull() & ~is_held_out())

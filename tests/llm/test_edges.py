@@ -167,9 +167,9 @@ def test_forest_tells_planted_secrets_in_held_out_documents(spark):
     docs = docs_of(spark, [" ".join(r.choice(voc) for _ in range(60)) for _ in range(3000)])
     words = secretscan.dictionary(docs)
     made = secretscan.planted(docs)
-    found = secretscan.features(secretscan.findings(made), words).join(made.select("doc_id", "label"), "doc_id").filter(is_held_out())
+    found = secretscan.features(secretscan.findings(made), words).join(made.select("doc_id", "label"), "doc_id").filter(is_held_out("doc_id.doc_id"))
     rows = secretscan.with_score(found, secretscan.train(docs, words)).select("label", "score").collect()
     hit = sum(x["label"] == 1 and x["score"] >= 0.5 for x in rows)
-    planted = made.filter(is_held_out()).filter("label = 1").count()
+    planted = made.filter(is_held_out("doc_id.doc_id")).filter("label = 1").count()
     assert planted > 200 and hit >= 0.9 * planted and hit >= 0.95 * sum(x["score"] >= 0.5 for x in rows)
     assert len({x["score"] for x in rows}) > 10
