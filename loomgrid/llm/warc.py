@@ -164,10 +164,21 @@ def planned(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return base.join(revisits, (base["page_id"] == revisits["_id"]) & (base["digest"] == revisits["_digest"]), "left").select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "size", "digest", "refers_to")
 
 
+def dictionary_sample(pages: DataFrame) -> list[bytes]:
+    """At most SAMPLE_PAGES different beginnings of pages, the same in every run.
+
+    They are chosen by a digest with a threshold from the number of rows, so that about twice as many come together
+    however many partitions and copies there are (fewer where pages are mostly null or equal).
+    """
+    place = F.pmod(F.xxhash64("s"), F.lit(1 << 40))
+    threshold = min(1.0, 2 * SAMPLE_PAGES / max(pages.count(), 1)) * (1 << 40)
+    pieces = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("s")).filter((F.col("s") != "") & (place < threshold)).distinct()
+    return [r["s"].encode() for r in pieces.orderBy(place, "s").limit(SAMPLE_PAGES).collect()]
+
+
 def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """The archives of all pages as a staged table (archive, content); each content is a whole .warc.zst file."""
-    sample = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("s")).filter("s <> ''").orderBy(F.xxhash64("s"), "s").limit(SAMPLE_PAGES)
-    dictionary = train_dictionary([r["s"].encode() for r in sample.collect()])  # bounded: SAMPLE_PAGES pieces, the same in every run
+    dictionary = train_dictionary(dictionary_sample(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(dictionary), write_content_size=True)
