@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, mixing, neardup, quality, secretscan, shard, toxicity, warc
+from . import decontam, htmltext, importance, langid, mixing, neardup, quality, secretscan, shard, topk, toxicity, warc, whitening
 from .common import small_batches
 
 
@@ -69,8 +69,24 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest other vectors of every fiftieth, by integer inner product."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+def op12_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the 32 leading components, whitened."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 32)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by how much their words are the benchmark's."""
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kd_shards, op2_byte_network_language, op3_weak_toxicity, op4_zstd_warc, op5_forest_secrets, op6_divergence_rules, op7_near_duplicates, op8_fm_decontamination, op9_template_free_text, op10_systematic_mix)
+    f.__name__: f for f in (op1_kd_shards, op2_byte_network_language, op3_weak_toxicity, op4_zstd_warc, op5_forest_secrets, op6_divergence_rules, op7_near_duplicates, op8_fm_decontamination, op9_template_free_text, op10_systematic_mix, op11_maxscore_topk, op12_spectrum_whitening, op13_importance_resampling)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -189,5 +205,37 @@ r AS (
   FROM x JOIN g ON x.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target, CAST((floor(k * rate + u) - floor((k - 1) * rate + u)) * size AS BIGINT) AS taken FROM r
+""",
+    "op11_maxscore_topk": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+""",
+    "op13_importance_resampling": f"""
+WITH RECURSIVE crc AS (
+  SELECT CAST(range AS BIGINT) AS i, CAST(range AS BIGINT) AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM crc WHERE k < 8
+), tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS x FROM d),
+bw AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS x FROM benchmark),
+words AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
+b AS (
+  SELECT x, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))),
+    lambda c, y: xor(t[1 + xor(c, y) % 256], c // 256)), 4294967295) % 10000 AS bucket FROM words, tab
+), s AS (SELECT bucket, count(*) AS s FROM dw JOIN b USING (x) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN b USING (x) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw)::DOUBLE + 10000 AS s, (SELECT count(*) FROM bw)::DOUBLE + 10000 AS t),
+g AS (SELECT s.bucket, CAST(floor(1000 * ln(((coalesce(t.t, 0) + 1) * n.s) / ((s.s + 1) * n.t))) AS BIGINT) AS g FROM s LEFT JOIN t ON t.bucket = s.bucket CROSS JOIN n),
+m AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(g) AS BIGINT) AS g FROM dw JOIN b USING (x) JOIN g USING (bucket) GROUP BY doc_id),
+w AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce((g - (g % n + n) % n) // n, 0) AS weight FROM d LEFT JOIN m ON m.doc_id = d.doc_id),
+c AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w
+), r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, 10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS most FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= most THEN k END AS rank FROM r
 """,
 }
