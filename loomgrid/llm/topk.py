@@ -13,7 +13,7 @@ rows a query at most, and a window merges the shards. Every shard sees every blo
 other pairs of rows are made.
 
 Cases: vectors that are null or hold null, NaN or infinite components take no part, neither as rows nor as queries; a shorter
-vector has zeros behind it; scores are summed exactly whatever their size and then held to the range of a long; rows under the
+vector has zeros behind it; scores are summed exactly whatever their size and held to the range of a long before they are ranked; rows under the
 query's own id are the query's own; queries without an id have no own rows and aren't found by the registered query; candidates without an id come last among ties; equal
 rows are separate candidates and may take several ranks, equal queries are one; a query with fewer candidates returns all; an empty table gives an empty result;
 further columns are ignored, whatever their names.
@@ -97,7 +97,7 @@ class Shard:
         own = self.own(query_id)
         top, scores = np.empty(0, np.int64), np.empty(0, query.dtype)
         for a, columns, high, low in self.blocks:
-            bar = scores[-1] if len(scores) == k else -math.inf
+            bar = scores[-1] if len(scores) == k and scores[-1] > LONG.min else -math.inf
             bounds = np.where(query > 0, query * high, query * low)
             order = np.argsort(bounds, kind="stable")
             upto = np.cumsum(bounds[order])
@@ -118,6 +118,8 @@ class Shard:
                     if not len(at):
                         break
             at = (np.arange(columns.shape[1]) if at is None else at) + a
+            if got.dtype == object:
+                got = np.array([min(max(s, LONG.min), LONG.max) for s in got], dtype=object)
             good = (got >= bar) & ~np.isin(at, own)
             top, scores = self.best(np.concatenate((top, at[good])), np.concatenate((scores, got[good])), k)
         return top, scores
@@ -135,7 +137,7 @@ def _search_group(k: int):
         for q, (query_id, query) in enumerate(zip(right.column("query_id").to_pylist(), queries.astype(kind), strict=True)):
             at, got = shard.search(query_id, query, k)
             found.append(at)
-            scores += [min(max(int(s), LONG.min), LONG.max) for s in got]
+            scores += [int(s) for s in got]
             owner.append(np.full(len(at), q))
         at, owner = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (found, owner))
         return pa.table([right.column("query").take(owner), right.column("query_id").take(owner), ids.take(at), pa.array(scores, pa.int64())], ["query", "query_id", "vec_id", "score"])

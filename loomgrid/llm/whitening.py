@@ -123,8 +123,10 @@ def _solve(a: np.ndarray, shift: float, y: np.ndarray, step: float) -> np.ndarra
 
 def leading(a: np.ndarray, most: int = COMPONENTS, no_direction: float = NO_DIRECTION) -> tuple[np.ndarray, np.ndarray]:
     """The leading eigenvalues, falling, and unit eigenvectors (as columns) of a symmetric matrix."""
-    if not len(a):
-        return np.empty(0), np.empty((0, 0))
+    if not a.any():
+        return np.empty(0), np.empty((len(a), 0))
+    unit = 2.0 ** math.frexp(np.abs(a).max())[1]  # scaling by a power of two is exact
+    a = a / unit
     slices = Slices(a)
     random = np.random.Generator(np.random.PCG64(1))
     values, vectors = [], []
@@ -161,7 +163,7 @@ def leading(a: np.ndarray, most: int = COMPONENTS, no_direction: float = NO_DIRE
             break
         values.append(value)
         vectors.append(y)
-    return np.array(values), np.array(vectors).T if vectors else np.empty((len(a), 0))
+    return np.array(values) * unit, np.array(vectors).T if vectors else np.empty((len(a), 0))
 
 
 @dataclass(frozen=True)
