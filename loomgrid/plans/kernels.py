@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import elementwise, joins, reductions, stats, tiling
+from ..operators import elementwise, joins, reductions, stats
 from ..operators.elementwise import drop_zeros
 from ..tensor import VAL, Tensor
+from . import blocks
 
 
 def product(a: Tensor, b: Tensor) -> Tensor:
@@ -50,51 +51,111 @@ def mat_vecmul(b: Tensor, c: Tensor) -> Tensor:
     return drop_zeros(contract(b, c, b.modes[:1]))
 
 
-def hot_coordinates(b: Tensor, c: Tensor, share: float = 0.01) -> DataFrame:
-    """Contracted coordinates with more than ``share`` of all partial products: at most 1 / share rows."""
-    cost = stats.matmul_cost(b, c)
-    total = cost.agg(F.sum("products").alias("t"))
+#: Loop orders by the flow that has their outermost data: columns of B times rows of C, rows of C per entry of B, columns of B per entry of C.
+FLOWS = {"kij": "outer", "kji": "outer", "ikj": "rows", "ijk": "rows", "jki": "columns", "jik": "columns"}
+#: Heavy coordinates have more than this share of a task's part of the products; a row of C is packed in segments of this many columns.
+HEAVY, SEGMENT = 0.25, 1 << 12
+
+
+def heavy_coordinates(b: Tensor, c: Tensor, tasks: int, share: float = HEAVY) -> DataFrame:
+    """Contracted coordinates with more products than ``share`` of an even task's, and the grid they are cut to: k, rows, columns.
+
+    There are ``tasks / share`` such coordinates at most. Parts of a grid have about as many products
+    as the threshold; its sides are in proportion to the entries that B and C have there, so that as few as possible are repeated.
+    """
     (k,) = [m for m in b.modes if m in c.modes]
-    return cost.join(F.broadcast(total)).filter(F.col("products") > share * F.col("t")).select(k)
+    cost = stats.matmul_cost(b, c)
+    limit = cost.agg((F.sum("products") * share / tasks).alias("_limit"))
+    parts = F.col("products") / F.col("_limit")
+    rows = F.least(F.greatest(F.round(F.sqrt(parts * F.col("b_count") / F.col("c_count"))), F.lit(1)), F.col("b_count"))
+    heavy = cost.join(F.broadcast(limit)).filter(F.col("products") > F.col("_limit")).withColumn("_rows", rows.cast("int"))
+    columns = F.least(F.ceil(parts / F.col("_rows")), F.col("c_count"))
+    return heavy.select(k, "_rows", columns.cast("int").alias("_columns"))
 
 
-def matmul(b: Tensor, c: Tensor, salts: int = 1, hot: DataFrame | None = None) -> Tensor:
-    """X(i, j) = sum over k of B(i, k) C(k, j), whatever the loop order.
+def spread(b: Tensor, c: Tensor, share: float = HEAVY) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both factors with a cell (_r, _c) of their coordinate's grid, and the keys to join on.
 
-    With ``salts`` > 1 the rows of hot k are split by i into that many parts, and C's rows of
-    those k are repeated for each; cold k stay as they are.
+    Rows of B go to a grid row and are repeated along it, columns of C likewise; coordinates that aren't heavy are one cell.
+    """
+    (k,) = [m for m in b.modes if m in c.modes]
+    i, j = next(m for m in b.modes if m != k), next(m for m in c.modes if m != k)
+    tasks = int(b.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = F.broadcast(heavy_coordinates(b, c, tasks, share))  # tasks / share rows at most
+    one = lambda name: F.coalesce(F.col(name), F.lit(1))
+    # another seed than the shuffle's, so that a grid's cells don't share its choice of partitions
+    own = lambda mode, name: F.pmod(F.xxhash64(mode, F.lit(1)), one(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), one(name) - 1))
+    x = b.df.select(k, i, F.col(VAL).alias("_x")).join(heavy, k, "left").select(k, i, "_x", own(i, "_rows").alias("_r"), every("_columns").alias("_c"))
+    y = c.df.select(k, j, F.col(VAL).alias("_y")).join(heavy, k, "left").select(k, j, "_y", own(j, "_columns").alias("_c"), every("_rows").alias("_r"))
+    return x, y, [k, "_r", "_c"]
+
+
+def products(b: Tensor, c: Tensor, flow: str = "outer", share: float = HEAVY) -> DataFrame:
+    """Partial products (i, j, val), not yet summed, without a task that a popular k fills."""
+    (k,) = [m for m in b.modes if m in c.modes]
+    i, j = next(m for m in b.modes if m != k), next(m for m in c.modes if m != k)
+    if flow == "columns":
+        return products(Tensor(c.df, (j, k)), Tensor(b.df, (k, i)), "rows", share).select(i, j, VAL)
+    x, y, keys = spread(b, c, share)
+    if flow == "outer":
+        return x.join(y, keys).select(i, j, (F.col("_x") * F.col("_y")).alias(VAL))
+    # rows of C as arrays of bounded length: a row of the join for each entry of B and segment, not for each product
+    packed = y.groupBy(*keys, F.floor(F.col(j) / SEGMENT).alias("_seg")).agg(F.collect_list(F.struct(j, "_y")).alias("_row"))
+    met = x.join(packed, keys).select(i, "_x", F.explode("_row").alias("_e"))
+    return met.select(i, F.col("_e")[j].alias(j), (F.col("_x") * F.col("_e._y")).alias(VAL))
+
+
+def matmul(b: Tensor, c: Tensor, order: str = "kij", share: float = HEAVY) -> Tensor:
+    """X(i, j) = sum over k of B(i, k) C(k, j) in any of the six loop orders.
+
+    With k outermost, columns of B meet rows of C entry by entry; with i (j) outermost every entry of B (of C) meets whole rows of the other in
+    segments. In every order the products per k are counted first, and a heavy k is spread over a grid of
+    rows and columns, so that no task waits for it.
     """
     (k,) = [m for m in b.modes if m in c.modes]
     i, j = next(m for m in b.modes if m != k), next(m for m in c.modes if m != k)
-    if salts > 1:
-        hot = F.broadcast((hot if hot is not None else hot_coordinates(b, c)).withColumn("_hot", F.lit(True)))
-        x = b.df.join(hot, k, "left").select(k, i, F.col(VAL).alias("_x"), F.when(F.col("_hot"), F.pmod(F.xxhash64(i), F.lit(salts))).otherwise(F.lit(0)).cast("int").alias("_s"))
-        y = c.df.join(hot, k, "left").select(k, j, F.col(VAL).alias("_y"), F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("_s"))
-        both = x.join(y, [k, "_s"])
-    else:
-        both = b.df.select(k, i, F.col(VAL).alias("_x")).join(c.df.select(k, j, F.col(VAL).alias("_y")), k)
-    out = both.groupBy(i, j).agg(F.sum(F.col("_x") * F.col("_y")).alias(VAL))
+    out = products(b, c, FLOWS[order], share).groupBy(i, j).agg(F.sum(VAL).alias(VAL))
     shape = None if b.shape is None or c.shape is None else (b.dim(i), c.dim(j))
     return drop_zeros(Tensor(out, (i, j), shape))
 
 
-def mat_sddmm(b: Tensor, c: Tensor, d: Tensor) -> Tensor:
-    """X(i, j) = B(i, j) * sum over k of C(i, k) D(k, j), with C and D dense: rows and columns as arrays, one dot product per entry of B.
+#: Coordinates of a segment of a dense row; slots of an array that is summed as columns.
+WIDTH = 64
+
+
+def in_slots(t: Tensor, by: Sequence[str], mode: str, width: int = WIDTH) -> DataFrame:
+    """(by, _seg, _v): the values along ``mode`` in arrays of ``width`` slots, slot mode mod width of segment mode div width; 0 where nothing is stored.
+
+    No row is longer than ``width``, however long the fiber; only segments with entries exist.
+    """
+    zero = F.lit(0).cast(dict(t.df.dtypes)[VAL])
+    slot = F.pmod(F.col(mode), F.lit(width)).cast("int")
+    rows = t.df.groupBy(*by, F.floor(F.col(mode) / width).cast("long").alias("_seg")).agg(F.map_from_entries(F.collect_list(F.struct(slot, VAL))).alias("_m"))
+    return rows.select(*by, "_seg", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda s: F.coalesce(F.try_element_at("_m", s), zero)).alias("_v"))
+
+
+def sum_slots(df: DataFrame, by: Sequence[str], values: F.Column, width: int, mode: str) -> DataFrame:
+    """Sums of arrays slot by slot per (by, _seg), which combine before they shuffle; as rows (by, mode, val) without zeros."""
+    rows = df.select(*by, "_seg", values.alias("_v"))
+    sums = rows.groupBy(*by, "_seg").agg(*[F.sum(F.col("_v")[s]).alias(f"_{s}") for s in range(width)])
+    cells = sums.select(*by, "_seg", F.posexplode(F.array(*[f"_{s}" for s in range(width)])).alias("_s", VAL))
+    return cells.filter(F.col(VAL) != 0).select(*by, (F.col("_seg") * width + F.col("_s")).alias(mode), VAL)
+
 
-    Where a row and a column store different k, only those in common are multiplied.
+def mat_sddmm(b: Tensor, c: Tensor, d: Tensor, width: int = WIDTH) -> Tensor:
+    """X(i, j) = B(i, j) * sum over k of C(i, k) D(k, j), with C and D dense: a dot product per entry of B and segment of k, then their sum.
+
+    Rows of C and columns of D are arrays of ``width`` slots, so a long row is many rows; the slots line up by
+    coordinate, stored or not.
     """
     i, j = b.modes
     (k,) = [m for m in c.modes if m != i]
-    pack = lambda t, by: t.df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(k).alias("k"), F.col(VAL).alias("v")))).alias("_v"))
-    rows, cols = pack(c, i).withColumnRenamed("_v", "_c"), pack(d, j).withColumnRenamed("_v", "_d")
-    kind = dict(c.df.dtypes)[VAL]
-    total = lambda a: F.aggregate(a, F.lit(0).cast(kind), lambda s, x: s + x)
-    both = F.array_intersect("_c.k", "_d.k")
-    common = lambda a: F.filter(a, lambda x: F.array_contains(both, x["k"]))
-    times = lambda a, b: total(F.zip_with(a, b, lambda x, y: x["v"] * y["v"]))
-    dot = F.when(F.col("_c.k") == F.col("_d.k"), times(F.col("_c"), F.col("_d"))).otherwise(times(common("_c"), common("_d")))
-    out = b.df.join(rows, i).join(cols, j).select(i, j, (F.col(VAL) * dot).alias(VAL))
-    return drop_zeros(Tensor(out, (i, j), b.shape))
+    rows, cols = in_slots(c, [i], k, width).withColumnRenamed("_v", "_c"), in_slots(d, [j], k, width).withColumnRenamed("_v", "_d")
+    times = F.zip_with("_c", "_d", lambda x, y: x * y)
+    dot = F.aggregate(times, F.lit(0).cast(dict(c.df.dtypes)[VAL]), lambda s, x: s + x)
+    parts = b.df.join(rows, i).join(cols, [j, "_seg"]).select(i, j, (F.col(VAL) * dot).alias(VAL))
+    return drop_zeros(Tensor(parts.groupBy(i, j).agg(F.sum(VAL).alias(VAL)), (i, j), b.shape))
 
 
 def mat_sddmm_unfused(b: Tensor, c: Tensor, d: Tensor) -> Tensor:
@@ -122,41 +183,42 @@ def tensor3_ttv(b: Tensor, c: Tensor) -> Tensor:
     return drop_zeros(contract(b, c, b.modes[:2]))
 
 
-def tensor3_ttm(b: Tensor, c: Tensor) -> Tensor:
-    """X(i, j, k) = sum over l of B(i, j, l) C(k, l)."""
-    return drop_zeros(contract(b, c, (*b.modes[:2], c.modes[0])))
+def _slots(t: Tensor, mode: str, width: int) -> int:
+    """Slots that arrays along ``mode`` need: no more than it has coordinates, where that is known."""
+    return width if t.shape is None else min(width, max(t.dim(mode), 1))
+
+
+def tensor3_ttm(b: Tensor, c: Tensor, width: int = WIDTH) -> Tensor:
+    """X(i, j, k) = sum over l of B(i, j, l) C(k, l).
+
+    C's columns are arrays over k, so an entry of B is one row of the join and of the shuffle for each segment of k, not for each k.
+    """
+    (i, j, l), (k, _) = b.modes, c.modes  # noqa: E741
+    n = _slots(c, k, width)
+    both = b.df.join(in_slots(c, [l], k, n), l)
+    out = sum_slots(both, [i, j], F.transform("_v", lambda v: v * F.col(VAL)), n, k)
+    return Tensor(out, (i, j, k), None if b.shape is None or c.shape is None else (*b.shape[:2], c.dim(k)))
 
 
-def tensor3_mttkrp(b: Tensor, c: Tensor, d: Tensor) -> Tensor:
-    """X(i, j) = sum over k, l of B(i, k, l) C(j, k) D(j, l)."""
-    i, (j, _) = b.modes[0], c.modes
-    # k is summed as soon as it is bound, so that fewer rows meet D
-    first = reductions.reduce_modes(product(b, c), [c.modes[1]])
-    return drop_zeros(contract(first, d, (i, j)))
+def tensor3_mttkrp(b: Tensor, c: Tensor, d: Tensor, width: int = WIDTH) -> Tensor:
+    """X(i, j) = sum over k, l of B(i, k, l) C(j, k) D(j, l).
+
+    Both factors are arrays over j: an entry of B meets one array of each for every segment of j, and arrays are summed slot by slot, so the rows
+    that are shuffled don't grow with j inside a segment.
+    """
+    (i, k, l), (j, _) = b.modes, c.modes  # noqa: E741
+    n = _slots(c, j, width)
+    x, y = in_slots(c, [k], j, n).withColumnRenamed("_v", "_c"), in_slots(d, [l], j, n).withColumnRenamed("_v", "_d")
+    both = b.df.join(x, k).join(y, [l, "_seg"])
+    out = sum_slots(both, [i], F.zip_with("_c", "_d", lambda p, q: p * q * F.col(VAL)), n, j)
+    return Tensor(out, (i, j), None if b.shape is None or c.shape is None else (b.dim(i), c.dim(j)))
 
 
 def matmul_tile_partials(b: Tensor, c: Tensor, levels: Sequence[int] = (16, 128)) -> Tensor:
     """Products per pair of tiles, not yet summed over the contracted tiles."""
-    bt, ct = tiling.cotile_multilevel([b, c], levels)
-    (k,) = [m for m in b.modes if m in c.modes]
-    shared = [m for m in bt.modes if m in ct.modes]
-    x, y = bt.df.withColumnRenamed(VAL, "_x"), ct.df.withColumnRenamed(VAL, "_y")
-    modes = [m for m in (*bt.modes, *[n for n in ct.modes if n not in bt.modes]) if m != k]
-    out = x.join(y, shared).groupBy(*modes).agg(F.sum(F.col("_x") * F.col("_y")).alias(VAL))
-    return Tensor(out, tuple(modes))
+    return blocks.partials(b, c, levels)
 
 
 def matmul_tiled(b: Tensor, c: Tensor, levels: Sequence[int] = (16, 128)) -> Tensor:
-    """The product through tiles: partial products per pair, summed over the contracted tiles, with global coordinates."""
-    parts = matmul_tile_partials(b, c, levels)
-    (k,) = [m for m in b.modes if m in c.modes]
-    i, j = next(m for m in b.modes if m != k), next(m for m in c.modes if m != k)
-    glob = {m: F.col(m) for m in (i, j)}
-    for n in range(len(levels)):
-        factor = 1
-        for x in levels[n:]:
-            factor *= x
-        for m in glob:
-            glob[m] = glob[m] + F.col(m + "0" * (len(levels) - n)) * factor
-    out = parts.df.select(glob[i].alias(i), glob[j].alias(j), VAL).groupBy(i, j).agg(F.sum(VAL).alias(VAL))
-    return drop_zeros(Tensor(out, (i, j)))
+    """The product through tiles: packed tiles are paired and multiplied, then summed over the contracted tiles, with global coordinates."""
+    return drop_zeros(blocks.summed(b, c, levels))

@@ -289,8 +289,29 @@ def k07(spark, sf):
 
 @query("k07_matmul_salted", "b c", _MATMUL)
 def k07s(spark, sf):
-    b, c = _b(spark, sf), td.lines(spark, sf)
-    return kernels.matmul(b, c, salts=4, hot=kernels.hot_coordinates(b, c, 0.001)).rows
+    """Many coordinates count as heavy."""
+    return kernels.matmul(_b(spark, sf), td.lines(spark, sf), share=0.01).rows
+
+
+@query("k07_matmul_rows", "b c", _MATMUL)
+def k07r(spark, sf):
+    return kernels.matmul(_b(spark, sf), td.lines(spark, sf), "ikj").rows
+
+
+@query("k07_matmul_columns", "b c", _MATMUL)
+def k07c(spark, sf):
+    return kernels.matmul(_b(spark, sf), td.lines(spark, sf), "jki").rows
+
+
+def _one_hot(t):
+    """A quarter of the contracted coordinates become one."""
+    modes = [F.when(F.col("k") % 4 == 0, 0).otherwise(F.col("k")).alias("k") if m == "k" else F.col(m) for m in t.modes]
+    return Tensor(t.df.select(*modes, VAL).groupBy(*t.modes).agg(F.sum(VAL).alias(VAL)), t.modes, t.shape)
+
+
+@query("k07_matmul_hot", "b c", "SELECT x.i, y.j, CAST(sum(x.val * y.val) AS BIGINT) AS val FROM (SELECT i, CASE WHEN k % 4 = 0 THEN 0 ELSE k END AS k, sum(val) AS val FROM b GROUP BY ALL) x JOIN (SELECT j, CASE WHEN k % 4 = 0 THEN 0 ELSE k END AS k, sum(val) AS val FROM c GROUP BY ALL) y ON x.k = y.k GROUP BY ALL HAVING sum(x.val * y.val) <> 0")
+def k07h(spark, sf):
+    return kernels.matmul(_one_hot(_b(spark, sf)), _one_hot(td.lines(spark, sf))).rows
 
 
 _SDDMM = "SELECT i, j, CAST(m.val * sum(x.val * y.val) AS BIGINT) AS val FROM m JOIN e x USING (i) JOIN e y ON y.i = m.j AND y.k = x.k GROUP BY i, j, m.val HAVING m.val * sum(x.val * y.val) <> 0"
@@ -374,7 +395,7 @@ def k18m(spark, sf):
 
 @query("k19_matmul_tiled", "b c", _MATMUL)
 def k19(spark, sf):
-    return kernels.matmul_tiled(_b(spark, sf), td.lines(spark, sf), (8, 16)).rows
+    return kernels.matmul_tiled(_b(spark, sf), td.lines(spark, sf)).rows
 
 
 @query("k20_matmul_tile_partials", "b c", f"SELECT x.i00, x.k00, x.i0, x.k0, x.i, y.j00, y.j0, y.j, CAST(sum(x.val * y.val) AS BIGINT) AS val FROM ({_TILES}) x JOIN ({_CTILES}) y ON x.k00 = y.k00 AND x.k0 = y.k0 AND x.k = y.k GROUP BY ALL")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgrid.operators import check, formats, generate, tiling
 from loomgrid.plans import kernels
@@ -48,7 +49,9 @@ def test_random_matrices(spark, seed):
     gold = dense(b) @ dense(c)
     whole = kernels.matmul(b, c)
     assert (dense(whole, (23, 29)) == gold).all()
-    assert (dense(kernels.matmul(b, c, salts=3), (23, 29)) == gold).all()
+    for order in kernels.FLOWS:
+        assert (dense(kernels.matmul(b, c, order), (23, 29)) == gold).all()
+        assert (dense(kernels.matmul(b, c, order, share=0.001), (23, 29)) == gold).all()
     assert (dense(kernels.matmul_tiled(b, c, (2, 4)), (23, 29)) == gold).all()
     assert (dense(evaluate("X(i,j) = B(i,k) * C(k,j)", {"B": b, "C": c}), (23, 29)) == gold).all()
     assert check.compare(whole, kernels.matmul_tiled(b, c, (2, 4))).first()["equal"]
@@ -153,3 +156,82 @@ def test_companions_of_every_job(spark):
     assert tiling.other_tensors("mat_sddmm", t) == tiling.other_tensors("mat_vecmul", t) == tiling.other_tensors("mat_residual", t) == {}
     (other,) = tiling.other_tensors("something_else", t).values()
     assert other.shape == (20, 30) and other.modes == ("i", "j")
+
+
+def test_hot_coordinate_is_spread(spark):
+    """Half of the products in one k: no task has more than three times the median."""
+    r = np.random.default_rng(5)
+    b = [(i, 0, 1) for i in range(300)] + [(int(i), int(k), 1) for i, k in {*zip(r.integers(0, 300, 3000), r.integers(1, 100, 3000))}]
+    c = [(0, j, 1) for j in range(300)] + [(int(k), int(j), 1) for k, j in {*zip(r.integers(1, 100, 3000), r.integers(0, 300, 3000))}]
+    b, c = from_rows(spark, b, ["i", "k"], (300, 100)), from_rows(spark, c, ["k", "j"], (100, 300))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for flow in ("outer", "rows", "columns"):
+            n = sorted(x["count"] for x in kernels.products(b, c, flow).groupBy(F.spark_partition_id()).count().collect())
+            assert len(n) == 8 and n[-1] <= 3 * n[4], (flow, n)
+        heavy = kernels.heavy_coordinates(b, c, 8).collect()
+        assert 1 <= len(heavy) <= 32 and max((h["_rows"] * h["_columns"], h["k"]) for h in heavy)[1] == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_tiles_as_rows(spark, kind):
+    """Full tiles go as dense blocks, others by matching entries; partials are those of every pair of tiles."""
+    r = np.random.default_rng(6)
+    x, y = r.integers(-3, 4, (40, 33)), r.integers(-3, 4, (33, 25))
+    x[:8, :8], y[:8, :8] = 2, 3
+    x[20:], y[:, 16:] = x[20:] * (r.random((20, 33)) < 0.1), y[:, 16:] * (r.random((33, 9)) < 0.1)
+    rows = lambda m: [(int(a), int(b), float(m[a, b]) if kind == "double" else int(m[a, b])) for a, b in zip(*np.nonzero(m))]
+    b, c = from_rows(spark, rows(x), ["i", "k"], x.shape, kind), from_rows(spark, rows(y), ["k", "j"], y.shape, kind)
+    whole = kernels.matmul_tiled(b, c, (2, 4))
+    assert (dense(whole, (40, 25)) == x @ y).all() and dict(whole.df.dtypes)["val"] == {"long": "bigint"}.get(kind, kind)
+    parts = kernels.matmul_tile_partials(b, c, (2, 4)).df.collect()
+    assert len({tuple(p)[:-1] for p in parts}) == len(parts)
+    gold = {}
+    for i, k in zip(*np.nonzero(x)):
+        for j in np.nonzero(y[k])[0]:
+            key = (i // 8, k // 8, j // 8, i % 8 // 4, k % 8 // 4, j % 8 // 4, i % 4, j % 4)
+            gold[key] = gold.get(key, 0) + x[i, k] * y[k, j]
+    assert {(p["i00"], p["k00"], p["j00"], p["i0"], p["k0"], p["j0"], p["i"], p["j"]): p["val"] for p in parts} == gold
+    big = from_rows(spark, [(0, k, 1 << 40) for k in range(4)] + [(1, k, 1) for k in range(4)], ["i", "k"])
+    one = from_rows(spark, [(k, j, (1 << 20) + 1) for k in range(4) for j in range(4)], ["k", "j"])
+    assert entries(kernels.matmul_tiled(big, one, (1, 4)))[0, 0] == 4 * (1 << 40) * ((1 << 20) + 1)
+    none = from_rows(spark, [], ["k", "j"])
+    assert kernels.matmul_tiled(big, none, (1, 4)).df.count() == 0
+
+
+def test_task_sums_go_on_when_full(spark, monkeypatch):
+    from loomgrid.plans import blocks
+
+    b = generate.random_tensor(spark, ("i", "k"), (40, 30), 0.5, 1)
+    c = generate.random_tensor(spark, ("k", "j"), (30, 50), 0.5, 2)
+    gold = dense(b) @ dense(c)
+    monkeypatch.setattr(blocks, "PRODUCTS", 16)
+    for held in (8, 600, 5000):
+        monkeypatch.setattr(blocks, "HELD", held)
+        assert (dense(kernels.matmul_tiled(b, c, (2, 8)), (40, 50)) == gold).all()
+
+
+def test_long_rows_in_segments(spark):
+    """Rows of a dense factor are cut in slots; a gap in one factor stays a gap."""
+    b = from_rows(spark, [(0, 0, 2), (1, 1, 1), (0, 1, 5)], ["i", "j"], (2, 2))
+    c = from_rows(spark, [(0, k, k + 1) for k in range(200)] + [(1, 7, 3), (1, 150, 4)], ["i", "k"], (2, 200))
+    d = from_rows(spark, [(k, 0, 1) for k in range(200)] + [(150, 1, 10)], ["k", "j"], (200, 2))
+    assert {tuple(r) for r in kernels.mat_sddmm(b, c, d).rows.collect()} == {(0, 0, 2 * 20100), (1, 1, 40), (0, 1, 5 * 1510)}
+    widest = kernels.in_slots(c, ["i"], "k").select(F.max(F.size("_v"))).first()[0]
+    assert widest == kernels.WIDTH
+
+
+@pytest.mark.parametrize("width", [2, 64])
+def test_factors_as_arrays(spark, width):
+    t = generate.random_tensor(spark, ("i", "k", "l"), (5, 6, 7), 0.6, 3)
+    c = generate.random_tensor(spark, ("j", "k"), (5, 6), 0.4, 4)
+    d = generate.random_tensor(spark, ("j", "l"), (5, 7), 0.4, 5)
+    x, y, z = dense(t), dense(c), dense(d)
+    assert (dense(kernels.tensor3_mttkrp(t, c, d, width), (5, 5)) == np.einsum("ikl,jk,jl->ij", x, y, z)).all()
+    assert (dense(kernels.tensor3_ttm(t, d, width), (5, 6, 5)) == np.einsum("ikl,jl->ikj", x, z)).all()
