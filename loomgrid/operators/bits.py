@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from ..tensor import VAL, Tensor
-from . import elementwise
 from .formats import running_sum
 
 
@@ -21,12 +21,9 @@ def to_bitvector(t: Tensor, width: int = 63) -> DataFrame:
 
 
 def bit_refs(words: DataFrame, fiber: Sequence[str] = ()) -> DataFrame:
-    """Offset of each word's first bit in its fiber's values: set bits of the words before it."""
-    if not fiber:  # one vector is no one task: sums by blocks
-        out = running_sum(words.withColumn("_bits", F.bit_count("word")), "word_id", "_bits", "ref")
-        return out.select(*words.columns, F.col("ref").cast("long").alias("ref"))
-    w = Window.partitionBy(*fiber).orderBy("word_id").rowsBetween(Window.unboundedPreceding, -1)
-    return words.withColumn("ref", F.coalesce(F.sum(F.bit_count("word")).over(w), F.lit(0)).cast("long"))
+    """Offset of each word's first bit in its fiber's values: set bits of the words before it. A long fiber is summed by blocks in many tasks."""
+    out = running_sum(words, "word_id", F.bit_count("word"), "ref", fiber=fiber)
+    return out.select(*words.columns, F.col("ref").cast("long").alias("ref"))
 
 
 def from_bitvector(words: DataFrame, fiber: Sequence[str], mode: str, width: int = 63) -> DataFrame:
@@ -57,18 +54,42 @@ def intersect_bits(a: DataFrame, b: DataFrame, fiber: Sequence[str] = (), width:
 
 
 def with_refs(t: Tensor) -> DataFrame:
-    """Values with their position in each fiber, counted along the last mode."""
-    w = Window.partitionBy(*t.modes[:-1]).orderBy(t.modes[-1])
-    return t.df.select(*t.modes, VAL, (F.row_number().over(w) - 1).cast("long").alias("ref"))
-
-
-def elemmul_bittree(b: Tensor, c: Tensor, factor: int = 32) -> Tensor:
-    """Elementwise product of two vectors by bit trees: outer words, then inner words, are intersected."""
-    (mode,) = b.modes
-    x, y = (elementwise.split(t, mode, factor, original=False, outer="_o") for t in (b, c))
-    top = lambda t: to_bitvector(Tensor(t.df.select("_o", F.lit(1).alias(VAL)).distinct(), ("_o",)))
-    blocks = intersect_bits(top(x), top(y)).select((F.col("word_id") * 63 + F.col("bit")).alias("_o"))
-    inner = lambda t: to_bitvector(t, factor).join(blocks, "_o", "left_semi")
-    hit = intersect_bits(inner(x), inner(y), ("_o",), factor)
-    rows = hit.join(with_refs(x).select("_o", F.col("ref").alias("ref_a"), F.col(VAL).alias("p")), ["_o", "ref_a"]).join(with_refs(y).select("_o", F.col("ref").alias("ref_b"), F.col(VAL).alias("q")), ["_o", "ref_b"])
-    return Tensor(rows.select((F.col("_o") * factor + F.col("word_id") * factor + F.col("bit")).alias(mode), (F.col("p") * F.col("q")).alias(VAL)), b.modes, b.shape)
+    """Values with their position in each fiber, counted along the last mode, by blocks of it."""
+    out = running_sum(t.rows, t.modes[-1], F.lit(1), "ref", fiber=t.modes[:-1])
+    return out.select(*t.modes, VAL, F.col("ref").cast("long").alias("ref"))
+
+
+def elemmul_bittree(b: Tensor, c: Tensor, factor: int = 32, levels: int = 2) -> Tensor:
+    """Elementwise product by bit trees of ``levels`` levels along the last mode; other modes name the trees.
+
+    The words of a level are intersected where all levels above it have common bits; the values of the last
+    level's common bits are found by their references. Below the top a word has ``factor`` bits.
+    """
+    if levels < 2 or not 2 <= factor <= 63:
+        raise ValueError("a tree has at least two levels and words of 2 to 63 bits")
+    *outer, mode = b.modes
+    digits = [f"_d{k}" for k in range(levels)]
+
+    def split(t: Tensor) -> DataFrame:
+        columns = [F.floor(F.col(mode) / factor ** (levels - 1 - k)).cast("long") for k in range(levels)]
+        return t.df.select(*outer, *[(x if k == 0 else F.pmod(x, F.lit(factor))).alias(d) for k, (x, d) in enumerate(zip(columns, digits, strict=True))], VAL)
+
+    x, y = split(b), split(c.rename(*b.modes))
+    for level in range(levels - 1):
+        fiber, d = [*outer, *digits[:level]], digits[level]
+        width = factor if level else 63
+        words = lambda df: to_bitvector(Tensor(df.select(*fiber, d).distinct().withColumn(VAL, F.lit(1)), (*fiber, d)), width)  # noqa: B023, E731
+        common = words(x).withColumnRenamed("word", "_w").join(words(y), [*fiber, "word_id"]).withColumn("word", F.col("word").bitwiseAND(F.col("_w"))).filter("word <> 0")
+        alive = from_bitvector(common, fiber, d, width)
+        # written, as each level reads the entries that the one above it left several times
+        alive = staged(alive, "bits")
+        x, y = (staged(df.join(alive, [*fiber, d], "left_semi"), "bits") for df in (x, y))
+    fiber, d = [*outer, *digits[:-1]], digits[-1]
+    left, right = (Tensor(df, (*fiber, d)) for df in (x, y))
+    hit = intersect_bits(to_bitvector(left, factor), to_bitvector(right, factor), fiber, factor)
+    refs = lambda t, name, val: with_refs(t).select(*fiber, F.col("ref").alias(name), F.col(VAL).alias(val))
+    rows = hit.join(refs(left, "ref_a", "p"), [*fiber, "ref_a"]).join(refs(right, "ref_b", "q"), [*fiber, "ref_b"])
+    at = F.col("bit").cast("long")
+    for k, name in enumerate(digits[:-1]):
+        at = at + F.col(name) * factor ** (levels - 1 - k)
+    return Tensor(rows.select(*outer, at.alias(mode), (F.col("p") * F.col("q")).alias(VAL)), b.modes, b.shape)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..staging import staged
 from ..tensor import VAL, Tensor
@@ -33,13 +36,17 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "pos", partit
     return kept.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_k")).alias(name))
 
 
-def running_sum(df: DataFrame, key: str, value: str, name: str = "before", block: int = BLOCK) -> DataFrame:
-    """The sum of ``value`` over smaller keys, for long keys from 0 without repeats: sums per block, then within."""
-    rows = df.withColumn("_block", F.floor(F.col(key) / block))
-    sums = rows.groupBy("_block").agg(F.sum(value).alias("s"))
-    before = sums.select("_block", F.coalesce(F.sum("s").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_in", inside).join(before, "_block").select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))
+def running_sum(df: DataFrame, key: str, value: str | Column, name: str = "before", block: int = BLOCK, fiber: Sequence[str] = ()) -> DataFrame:
+    """The sum of ``value`` over smaller keys (of the same fiber), for keys from 0 without repeats: sums per block, then within.
+
+    No task holds more than a block of a fiber; one row per block is summed along each fiber.
+    """
+    rows = df.withColumns({"_block": F.floor(F.col(key) / block), "_value": F.col(value) if isinstance(value, str) else value})
+    sums = rows.groupBy(*fiber, "_block").agg(F.sum("_value").alias("s"))
+    along = Window.partitionBy(*fiber).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*fiber, "_block", F.coalesce(F.sum("s").over(along), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_value").over(Window.partitionBy(*fiber, "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_in", inside).join(before, [*fiber, "_block"]).select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))
 
 
 def to_coo(t: Tensor, transposed: bool = False) -> DataFrame:
@@ -63,27 +70,73 @@ def to_csc(t: Tensor) -> tuple[DataFrame, DataFrame]:
     return to_csr(Tensor(t.df.select(j, i, VAL), (j, i), None if t.shape is None else t.shape[::-1]))
 
 
+def _level_numbers(n_modes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Along the sorted rows of a partition: which levels a row begins a node of, and the number of its node there, counted in the partition."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, seen = None, np.full(n_modes - 1, -1, np.int64), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coords = [batch.column(l).to_numpy() for l in range(n_modes)]  # noqa: E741
+            differs, more = np.zeros(batch.num_rows, bool), []
+            for level in range(n_modes - 1):
+                x = coords[level]
+                differs = differs | np.r_[last is None or x[0] != last[level], x[1:] != x[:-1]]
+                numbers = count[level] + np.cumsum(differs)
+                more += [pa.array(differs), pa.array(numbers)]
+                count[level] = numbers[-1]
+            last = [x[-1] for x in coords]
+            row = pa.array(seen + np.arange(batch.num_rows))
+            seen += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, row, *more], [*batch.schema.names, "_k", *[f"{x}{l}" for l in range(n_modes - 1) for x in ("_new", "_n")]])  # noqa: E741
+
+    return number
+
+
+def numbered_levels(t: Tensor, modes: Sequence[str]) -> DataFrame:
+    """Entries in order with the position of their node at every level (_p0, _p1, ...) and whether they are its first entry (_f0, ...).
+
+    All levels come from one sort by range: nodes are numbered along each partition, and a table with a row per
+    partition says how many stand before it and whether its first nodes began in the partition before.
+    """
+    n = len(modes)
+    dealt = t.df.repartitionByRange(*modes).sortWithinPartitions(*modes).select(*modes, VAL, F.spark_partition_id().alias("_part"))
+    schema = T.StructType([*dealt.schema.fields, T.StructField("_k", T.LongType()), *[T.StructField(f"{x}{l}", k) for l in range(n - 1) for x, k in (("_new", T.BooleanType()), ("_n", T.LongType()))]])  # noqa: E741
+    kept = staged(dealt.mapInArrow(_level_numbers(n), schema), "levels")
+    ends = F.struct(*modes)
+    parts = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), F.min_by(ends, "_k").alias("_first"), F.max_by(ends, "_k").alias("_last"), *[(F.max(f"_n{l}") + 1).alias(f"_c{l}") for l in range(n - 1)])  # noqa: E741
+    order = Window.orderBy("_part")
+    parts = parts.withColumn("_prev", F.lag("_last").over(order))
+    columns, same = [], F.lit(True)
+    for level in range(n - 1):
+        same = same & F.coalesce(F.col(f"_first.{modes[level]}") == F.col(f"_prev.{modes[level]}"), F.lit(False))
+        columns.append(same.alias(f"_s{level}"))
+    parts = parts.select("_part", "_rows", *[f"_c{l}" for l in range(n - 1)], *columns)  # noqa: E741
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = lambda l: F.col(f"_c{l}") - F.col(f"_s{l}").cast("long")  # noqa: E731, E741
+    offsets = parts.select("_part", before(F.col("_rows")).alias("_before"), *[f"_s{l}" for l in range(n - 1)], *[(before(own(l)) - F.col(f"_s{l}").cast("long")).alias(f"_o{l}") for l in range(n - 1)])  # noqa: E741
+    both = kept.join(F.broadcast(offsets), "_part")  # a row per partition
+    level = lambda l: [(F.col(f"_o{l}") + F.col(f"_n{l}")).alias(f"_p{l}"), (F.col(f"_new{l}") & ~(F.col(f"_s{l}") & (F.col(f"_n{l}") == 0))).alias(f"_f{l}")]  # noqa: E731, E741
+    leaf = [(F.col("_before") + F.col("_k")).alias(f"_p{n - 1}"), F.lit(True).alias(f"_f{n - 1}")]
+    return both.select(*modes, VAL, *[c for l in range(n - 1) for c in level(l)], *leaf)  # noqa: E741
+
+
 def to_csf(t: Tensor, order: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Compressed fibers: crd(level, pos, fiber, crd), seg(level, fiber, start, end), vals(pos, val).
 
-    Level by level: the distinct prefixes in order are the positions; a fiber is its parent's
-    position; its segment runs from its first to its last child.
+    The distinct prefixes in order are the positions of a level; a fiber is its parent's
+    position; its segment runs from its first to its last child. All levels share one sort by range.
     """
     modes = [t.modes[k] for k in (order or range(t.order))]
+    rows = numbered_levels(t, modes)
     crds, segs = [], []
-    parent: DataFrame | None = None
-    leaf = with_position(t.rows, modes)
     for level, mode in enumerate(modes):
-        here = leaf if level == len(modes) - 1 else with_position(t.df.select(*modes[: level + 1]).distinct(), modes[: level + 1])
-        if parent is None:
-            nodes = here.withColumn("fiber", F.lit(0).cast("long"))
-        else:
-            nodes = here.join(parent.select(*modes[:level], F.col("pos").alias("fiber")), modes[:level])
-        nodes = nodes.select(*modes[: level + 1], "pos", "fiber")
-        crds.append(nodes.select(F.lit(level).alias("level"), "pos", "fiber", F.col(mode).alias("crd")))
+        fiber = F.col(f"_p{level - 1}") if level else F.lit(0).cast("long")
+        nodes = rows.filter(f"_f{level}").select(F.col(f"_p{level}").alias("pos"), fiber.alias("fiber"), F.col(mode).alias("crd"))
+        crds.append(nodes.select(F.lit(level).alias("level"), "pos", "fiber", "crd"))
         segs.append(nodes.groupBy("fiber").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).select(F.lit(level).alias("level"), "fiber", "start", "end"))
-        parent = nodes
-    return reduce(DataFrame.union, crds), reduce(DataFrame.union, segs), leaf.select("pos", VAL)
+    return reduce(DataFrame.union, crds), reduce(DataFrame.union, segs), rows.select(F.col(f"_p{len(modes) - 1}").alias("pos"), VAL)
 
 
 def to_dcsr(t: Tensor) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -169,10 +222,15 @@ def from_dense(df: DataFrame, modes: Sequence[str], shape: Sequence[int] | None
     return Tensor(df.filter(F.col(VAL) != 0).select(*modes, VAL), tuple(modes), None if shape is None else tuple(shape))
 
 
-def to_fibers(t: Tensor, outer: Sequence[str]) -> DataFrame:
-    """Nested fibers: per outer coordinate an array of (crd, val) in order. For fibers that fit in memory."""
+def to_fibers(t: Tensor, outer: Sequence[str], width: int = BLOCK) -> DataFrame:
+    """Nested fibers in segments: per outer coordinate and ``segment`` (coordinate div width) an array of (crd, val) in order.
+
+    A segment has ``width`` entries at most, so a fiber of any length is rows of bounded size; its
+    segments in order are the whole fiber.
+    """
     (inner,) = [m for m in t.modes if m not in outer]
-    return t.df.groupBy(*outer).agg(F.sort_array(F.collect_list(F.struct(F.col(inner).alias("crd"), F.col(VAL)))).alias("fiber"))
+    segment = F.floor(F.col(inner) / width).cast("long").alias("segment")
+    return t.df.groupBy(*outer, segment).agg(F.sort_array(F.collect_list(F.struct(F.col(inner).alias("crd"), F.col(VAL)))).alias("fiber"))
 
 
 def format_sizes(t: Tensor) -> DataFrame:

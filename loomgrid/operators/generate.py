@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tensor import VAL, Tensor
-from .formats import with_position
+from .formats import DENSE_CELLS, with_position
 
-#: Cells up to which every cell is drawn; beyond, cells are sampled by number.
-DRAW_CELLS = 1 << 28
+#: Entries that a range of cells has on average, and gaps that are drawn at once.
+GAPS = 4096
 
 
 def _uniform(cell: Column, seed: int, salt: int = 0) -> Column:
@@ -36,12 +38,30 @@ def _size(shape: Sequence[int]) -> int:
 def random_tensor(spark: SparkSession, modes: Sequence[str], shape: Sequence[int], sparsity: float, seed: int = 0, cap: int = 255) -> Tensor:
     """Each cell is stored with probability 1 - sparsity, with a whole value in [1, cap): a stored entry isn't 0.
 
-    Beyond DRAW_CELLS cells, drawing each would take longer than making the entries: as many as are expected are made.
+    Cells are drawn by the gaps between stored ones, which are geometric: a range of cells that has about GAPS entries is drawn from a
+    generator of its own (seed, number of the range) until a gap leaves it. So the work is by entries, not by cells, at every size.
     """
-    if _size(shape) > DRAW_CELLS:
-        return fixed_nnz(spark, modes, shape, round(_size(shape) * (1 - sparsity)), seed, cap)
-    ids = spark.range(_size(shape)).filter(_uniform(F.col("id"), seed) >= sparsity)
-    ids = ids.withColumn(VAL, (1 + F.floor(_uniform(F.col("id"), seed, 1) * (cap - 1))).cast("long"))
+    size, share = _size(shape), 1 - sparsity
+    if size >= 1 << 62:
+        raise ValueError("cells are numbered by longs")
+    span = min(size, max(1, round(GAPS / share))) if share > 0 else 1
+    ranges = -(-size // span) if share > 0 else 0
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                random, cells, at = np.random.Generator(np.random.Philox(key=[seed % 2**63, k])), [], -1
+                end = min(span, size - k * span)
+                while at < end:
+                    # gaps beyond the range all leave it, whatever their length
+                    steps = at + np.cumsum(np.minimum(random.geometric(share, GAPS), end + 1))
+                    cells.append(steps[steps < end])
+                    at = int(steps[-1])
+                got = np.concatenate(cells)
+                values = random.integers(1, max(cap, 2), len(got))
+                yield pa.RecordBatch.from_arrays([pa.array(k * span + got), pa.array(values)], ["id", VAL])
+
+    ids = spark.range(ranges).mapInArrow(draw, f"id long, {VAL} long")
     return Tensor(_cells(spark, ids, modes, shape), tuple(modes), tuple(shape))
 
 
@@ -89,17 +109,22 @@ def block_vectors(spark: SparkSession, nnz: int, length: int, size: int = 2000,
     return make(start), make(start + F.col("_mov"))
 
 
-def dense_ramp(spark: SparkSession, modes: Sequence[str], shape: Sequence[int], order: str = "row") -> Tensor:
-    """A dense matrix of rising values: cell (a, b) holds a * columns + b, or by columns b * rows + a."""
+def _every_cell(spark: SparkSession, modes: Sequence[str], shape: Sequence[int], cells: int) -> DataFrame:
+    if _size(shape) > cells:
+        raise ValueError(f"{_size(shape)} cells; raise the limit to make them")
+    return _cells(spark, spark.range(_size(shape)), modes, shape)
+
+
+def dense_ramp(spark: SparkSession, modes: Sequence[str], shape: Sequence[int], order: str = "row", cells: int = DENSE_CELLS) -> Tensor:
+    """A dense matrix of rising values: cell (a, b) holds a * columns + b, or by columns b * rows + a. More than ``cells`` are refused."""
     a, b = modes
     value = F.col(a) * shape[1] + F.col(b) if order == "row" else F.col(b) * shape[0] + F.col(a)
-    cells = _cells(spark, spark.range(_size(shape)), modes, shape)
-    return Tensor(cells.select(a, b, value.alias(VAL)), tuple(modes), tuple(shape))
+    return Tensor(_every_cell(spark, modes, shape, cells).select(a, b, value.alias(VAL)), tuple(modes), tuple(shape))
 
 
-def dense_ones(spark: SparkSession, modes: Sequence[str], shape: Sequence[int]) -> Tensor:
-    cells = _cells(spark, spark.range(_size(shape)), modes, shape)
-    return Tensor(cells.withColumn(VAL, F.lit(1).cast("long")), tuple(modes), tuple(shape))
+def dense_ones(spark: SparkSession, modes: Sequence[str], shape: Sequence[int], cells: int = DENSE_CELLS) -> Tensor:
+    """A dense tensor of ones; more than ``cells`` cells are refused."""
+    return Tensor(_every_cell(spark, modes, shape, cells).withColumn(VAL, F.lit(1).cast("long")), tuple(modes), tuple(shape))
 
 
 def other_vector(spark: SparkSession, mode: str, dim: int, density: float = 0.25, seed: int = 0) -> Tensor:

@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 from ..tensor import VAL, Tensor
 
 
+#: Pairs of rows without a common variable that are made without being asked twice.
+PAIRS = 50_000_000
+
+
+def guard_pairs(a: DataFrame, b: DataFrame, most: int | None = None) -> None:
+    """Refuses to pair all rows of both where that makes more than ``most`` rows (PAIRS, unless given)."""
+    n, m = a.count(), b.count()
+    if n * m > (PAIRS if most is None else most):
+        raise ValueError(f"{n} x {m} pairs; raise the limit to make them")
+
+
 def _as(t: Tensor, val: str) -> DataFrame:
     return t.df.select(*t.modes, F.col(VAL).alias(val))
 
@@ -40,9 +51,11 @@ def locate(a: Tensor, dense: Tensor, on: Sequence[str] | None = None, keep_missi
     return _as(a, "val_a").join(_as(dense, "val_b"), on, "left" if keep_missing else "inner")
 
 
-def repeat(a: Tensor, over: DataFrame) -> Tensor:
-    """Every entry for each coordinate of other index variables (``over``: distinct coordinates, shared ones join)."""
+def repeat(a: Tensor, over: DataFrame, most: int | None = None) -> Tensor:
+    """Every entry for each coordinate of other index variables (``over``: distinct coordinates, shared ones join; without one, up to ``most`` rows are made)."""
     shared = [m for m in a.modes if m in over.columns]
+    if not shared:
+        guard_pairs(a.df, over, most)
     new = tuple(c for c in over.columns if c not in a.modes)
     df = a.rows.join(over, shared) if shared else a.rows.join(over, F.lit(True))
     return Tensor(df.select(*a.modes, *new, VAL), (*a.modes, *new))

@@ -8,14 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tensor import Tensor
+from ..tensor import VAL, Tensor
 from .formats import running_sum, with_position
 
 
-#: Runs that are deleted at once.
-MOST_RUNS = 10_000
-
-
 def corpus_stats(entries: DataFrame, shapes: DataFrame) -> DataFrame:
     """Per matrix of a collection: name, nnz, dim1, dim2, density, seg_size, crd_size, in one pass.
 
@@ -100,12 +96,19 @@ def run_lengths(runs_: DataFrame) -> DataFrame:
 
 
 def delete_run(v: Tensor, run: DataFrame) -> Tensor:
-    """The vector without the entries of the given runs (start, end), of which there are MOST_RUNS at most, as they are sent to all tasks."""
+    """The vector without the entries of the given runs (start, end), however many, long or overlapping.
+
+    A sweep: each run opens at its start and closes behind its end, and an entry stays where no run is open. Entries and ends are sorted by range
+    together and the open runs are a running sum by blocks, so no entry is compared with a run.
+    """
     (m,) = v.modes
-    if len(run.take(MOST_RUNS + 1)) > MOST_RUNS:
-        raise ValueError(f"more than {MOST_RUNS} runs at once")
-    hit = F.col(m).between(F.col("start"), F.col("end"))
-    return Tensor(v.rows.join(F.broadcast(run.select("start", "end")), hit, "left_anti"), v.modes, v.shape)
+    held = run.filter(F.col("start") <= F.col("end"))
+    ends = held.select(F.col("start").alias(m), F.lit(1).cast("long").alias("_open")).union(held.select(F.col("end") + 1, F.lit(-1).cast("long")))
+    kind = dict(v.df.dtypes)[VAL]
+    marks = ends.groupBy(m).agg(F.sum("_open").alias("_open")).select(m, F.lit(None).cast(kind).alias(VAL), "_open", F.lit(0).alias("_entry"))
+    rows = marks.union(v.rows.select(m, VAL, F.lit(0).cast("long"), F.lit(1)))
+    swept = running_sum(with_position(rows, [m, "_entry"], "_pos"), "_pos", "_open", "_in")
+    return Tensor(swept.filter((F.col("_entry") == 1) & (F.col("_in") == 0)).select(m, VAL), v.modes, v.shape)
 
 
 def size_classes(corpus: DataFrame, n: int = 50) -> DataFrame:
@@ -148,3 +151,17 @@ def matmul_cost(b: Tensor, c: Tensor) -> DataFrame:
     x = b.df.groupBy(k).agg(F.count(F.lit(1)).alias("b_count"))
     y = c.df.groupBy(k).agg(F.count(F.lit(1)).alias("c_count"))
     return x.join(y, k).withColumn("products", F.col("b_count") * F.col("c_count"))
+
+
+def product_rows(b: Tensor, c: Tensor, lg: int = 12) -> DataFrame:
+    """Entries of every row of the product B C before it is made: i, entries.
+
+    Each row of C becomes a sketch of its columns (the 2**lg smallest digests at most); sketches of the rows that a row of B names are
+    merged, first within tasks, and estimate how many columns their union has. Up to 2**lg columns the number is exact, beyond it the
+    standard error is about 2**(-lg / 2).
+    """
+    (k,) = [m for m in b.modes if m in c.modes]
+    i, j = next(m for m in b.modes if m != k), next(m for m in c.modes if m != k)
+    rows = c.df.groupBy(k).agg(F.theta_sketch_agg(j, F.lit(lg)).alias("_s"))
+    merged = b.df.select(i, k).join(rows, k).groupBy(i).agg(F.theta_union_agg("_s", F.lit(lg)).alias("_s"))
+    return merged.select(i, F.theta_sketch_estimate("_s").alias("entries"))

@@ -76,6 +76,8 @@ def tile_stats(t: Tensor, width: int, height: int, full_grid: bool = True) -> Da
     cut = tile(t, {i: width, j: height})
     got = cut.df.groupBy(f"{i}0", f"{j}0").agg(F.count(F.lit(1)).alias("nnz"), F.count_distinct(i).alias("rows"))
     if full_grid:
+        if -(-di // width) * -(-dj // height) > formats.DENSE_CELLS:
+            raise ValueError("the grid has too many tiles; leave the empty ones out")
         grid = t.df.sparkSession.range(-(-di // width)).withColumnRenamed("id", f"{i}0").crossJoin(t.df.sparkSession.range(-(-dj // height)).withColumnRenamed("id", f"{j}0"))
         got = grid.join(got, [f"{i}0", f"{j}0"], "left").fillna(0, ["nnz", "rows"])
     rows = F.least(F.lit(width), F.lit(di) - F.col(f"{i}0") * width).cast("long")

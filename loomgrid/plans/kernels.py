@@ -19,11 +19,16 @@ from . import blocks
 
 
 def product(a: Tensor, b: Tensor) -> Tensor:
-    """Values multiplied where the shared variables agree; all variables stay."""
+    """Values multiplied where the shared variables agree; all variables stay.
+
+    Without a shared variable every pair of entries is a result; more than ``joins.PAIRS`` are refused.
+    """
     shared = [m for m in a.modes if m in b.modes]
     modes = (*a.modes, *[m for m in b.modes if m not in a.modes])
+    if not shared and a.modes and b.modes:
+        joins.guard_pairs(a.df, b.df)
     x, y = a.df.select(*a.modes, F.col(VAL).alias("_x")), b.df.select(*b.modes, F.col(VAL).alias("_y"))
-    both = x.join(y, shared) if shared else x.join(F.broadcast(y) if not b.modes else y, F.lit(True))
+    both = x.join(y, shared) if shared else x.join(y, F.lit(True))
     sizes = dict(zip(a.modes, a.shape or [None] * a.order, strict=True)) | dict(zip(b.modes, b.shape or [None] * b.order, strict=True))
     shape = tuple(sizes[m] for m in modes)
     return Tensor(both.select(*modes, (F.col("_x") * F.col("_y")).alias(VAL)), modes, None if None in shape else shape)
@@ -120,6 +125,14 @@ def matmul(b: Tensor, c: Tensor, order: str = "kij", share: float = HEAVY) -> Te
     return drop_zeros(Tensor(out, (i, j), shape))
 
 
+def output_cost(b: Tensor, c: Tensor) -> DataFrame:
+    """Partial products of every entry of the product: i, j, products."""
+    (k,) = [m for m in b.modes if m in c.modes]
+    ones = [t.map(F.lit(1).cast("long")) for t in (b, c)]
+    keys = [m for t in (b, c) for m in t.modes if m != k]
+    return products(*ones).groupBy(*keys).agg(F.count(F.lit(1)).alias("products"))
+
+
 #: Coordinates of a segment of a dense row; slots of an array that is summed as columns.
 WIDTH = 64
 

@@ -371,7 +371,7 @@ def k16(spark, sf):
 def _nations(spark, sf):
     """C(x, l): a supplier's nation, with the value 1 + l mod 5."""
     df = td.table(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("x"), F.col("s_suppkey").alias("l"), (1 + F.col("s_suppkey") % 5).alias(VAL))
-    return Tensor(df, ("x", "l"))
+    return Tensor(df, ("x", "l"), (td.table(spark, sf, "nation").count(), td.table(spark, sf, "supplier").count()))
 
 
 @query("k17_tensor3_mttkrp", "t", "SELECT i, r AS j, CAST(sum(val * (1 + k % 3) * (1 + l % 4)) AS BIGINT) AS val FROM t, range(6) x(r) WHERE k % 6 = r AND l % 2 = r % 2 GROUP BY ALL")
@@ -379,7 +379,8 @@ def k17(spark, sf):
     c = td.table(spark, sf, "part").select((F.col("p_partkey") % 6).alias("j"), F.col("p_partkey").alias("k"), (1 + F.col("p_partkey") % 3).alias(VAL))
     j = td.table(spark, sf, "part").select((F.col("p_partkey") % 6).alias("j")).distinct()
     d = td.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l")).join(F.broadcast(j), F.col("l") % 2 == F.col("j") % 2).select("j", "l", (1 + F.col("l") % 4).alias(VAL))
-    return kernels.tensor3_mttkrp(td.orders3(spark, sf), Tensor(c, ("j", "k")), Tensor(d, ("j", "l"))).rows
+    t = td.orders3(spark, sf)
+    return kernels.tensor3_mttkrp(t, Tensor(c, ("j", "k"), (6, t.dim("k"))), Tensor(d, ("j", "l"), (6, t.dim("l")))).rows
 
 
 @query("k18_evaluate", "b d s a", "SELECT i, CAST(sum(val) AS BIGINT) AS val FROM (SELECT i, 3 * b.val * d.val AS val FROM b JOIN d USING (k) UNION ALL SELECT i, -val FROM s UNION ALL SELECT i, a.val * d.val * d.val FROM a JOIN d USING (k)) GROUP BY i HAVING sum(val) <> 0")
@@ -393,6 +394,19 @@ def k18m(spark, sf):
     return evaluate("X(i,j) = B(i,k) * C(k,j)", {"B": _b(spark, sf), "C": td.lines(spark, sf)}).rows
 
 
+@query("k18_evaluate_planned", "b c d s", "SELECT x.i, y.j AS m, CAST(sum(x.val * d.val * y.val * s.val) AS BIGINT) AS val FROM b x JOIN d USING (k) JOIN c y ON y.k = x.k JOIN s ON s.i = y.j GROUP BY ALL HAVING sum(x.val * d.val * y.val * s.val) <> 0")
+def k18p(spark, sf):
+    """Written with two factors first that share no variable."""
+    tensors = {"B": _b(spark, sf), "s": td.balances(spark, sf), "C": td.lines(spark, sf), "d": td.sizes(spark, sf)}
+    return evaluate("X(i,m) = B(i,k) * s(m) * C(k,m) * d(k)", tensors, fmt="ss10").rows
+
+
+@query("k18_evaluate_dense", "m", "SELECT i, j, coalesce(val, 0) AS val FROM (SELECT DISTINCT i FROM m) CROSS JOIN (SELECT unnest(range(13)) AS j) LEFT JOIN m USING (i, j)")
+def k18d(spark, sf):
+    """The inner level is dense."""
+    return evaluate("X(i,j) = M(i,j)", {"M": td.months(spark, sf)}, fmt="sd01").rows
+
+
 @query("k19_matmul_tiled", "b c", _MATMUL)
 def k19(spark, sf):
     return kernels.matmul_tiled(_b(spark, sf), td.lines(spark, sf)).rows
@@ -505,10 +519,10 @@ def f10(spark, sf):
     return formats.from_csr(*[staged(x, "csr") for x in formats.to_csr(_b(spark, sf))], ("i", "k")).rows
 
 
-@query("f11_to_fibers", "b", "SELECT i, list(struct_pack(crd := k, val := val) ORDER BY k)[1].crd AS first_crd, count(*) AS n, max(k) AS last_crd FROM b GROUP BY i")
+@query("f11_to_fibers", "b", "SELECT i, k // 64 AS segment, string_agg(k || ':' || val, ' ' ORDER BY k) AS fiber FROM b GROUP BY ALL")
 def f11(spark, sf):
-    f = formats.to_fibers(_b(spark, sf), ["i"])
-    return f.select("i", F.col("fiber")[0]["crd"].alias("first_crd"), F.size("fiber").cast("long").alias("n"), F.element_at("fiber", -1)["crd"].alias("last_crd"))
+    text = F.transform("fiber", lambda e: F.concat(e["crd"].cast("string"), F.lit(":"), e["val"].cast("string")))
+    return formats.to_fibers(_b(spark, sf), ["i"], 64).select("i", "segment", F.array_join(text, " ").alias("fiber"))
 
 
 @query("f12_format_sizes", "b", "SELECT 'ss01' AS format, CAST(0 AS BIGINT) AS level, count(DISTINCT i) AS crd_size, CAST(2 AS BIGINT) AS seg_size FROM b UNION ALL SELECT 'ss01', 1, count(*), count(DISTINCT i) + 1 FROM b UNION ALL SELECT 'ss10', 0, count(DISTINCT k), 2 FROM b UNION ALL SELECT 'ss10', 1, count(*), count(DISTINCT k) + 1 FROM b")
@@ -540,6 +554,16 @@ def v04(spark, sf):
     return bits.bv_drop(bits.to_bitvector(_u(spark, sf)), inner, "i")
 
 
+@query("v02_bit_refs_fibers", "b", "SELECT i, word_id, word, CAST(coalesce(sum(bit_count(word)) OVER (PARTITION BY i ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ref FROM (SELECT i, k // 32 AS word_id, CAST(bit_or(CAST(1 AS BIGINT) << (k % 32)::INTEGER) AS BIGINT) AS word FROM b GROUP BY ALL)")
+def v02f(spark, sf):
+    return bits.bit_refs(bits.to_bitvector(_b(spark, sf), 32), ["i"])
+
+
+@query("v05_elemmul_bittree_levels", "b a", "SELECT i, k, b.val * a.val AS val FROM b JOIN a USING (i, k)")
+def v05l(spark, sf):
+    return bits.elemmul_bittree(_b(spark, sf), td.returned(spark, sf), 8, 3).rows
+
+
 @query("v05_elemmul_bittree", "u v", "SELECT i, u.val * v.val AS val FROM u JOIN v USING (i)")
 def v05(spark, sf):
     return bits.elemmul_bittree(_u(spark, sf), _v(spark, sf), 32).rows
@@ -678,6 +702,12 @@ def c09(spark, sf):
     return stats.delete_run(_u(spark, sf), first).rows
 
 
+@query("c09_delete_runs", sql=_run_sql(", r AS (" + _RUNS.format(end="e") + "), f AS (SELECT start, e FROM r WHERE side = 1 AND run % 3 <> 0) SELECT i, val FROM u WHERE NOT EXISTS (SELECT 1 FROM f WHERE i BETWEEN start AND e)"))
+def c09s(spark, sf):
+    """Many runs at once."""
+    return stats.delete_run(_u(spark, sf), _runs(spark, sf).filter("side = 1 AND run % 3 <> 0")).rows
+
+
 def _corpus(spark, sf):
     """A corpus of matrices, one per supplier: parts by line number."""
     li = td.table(spark, sf, "lineitem")
@@ -714,6 +744,17 @@ def c14(spark, sf):
     return stats.matmul_cost(_b(spark, sf), td.lines(spark, sf))
 
 
+@query("c14_output_cost", "b c", "SELECT i, j, count(*) AS products FROM b JOIN c USING (k) GROUP BY ALL")
+def c14o(spark, sf):
+    return kernels.output_cost(_b(spark, sf), td.lines(spark, sf))
+
+
+@query("c14_product_rows", "b c", "SELECT i, count(DISTINCT j) AS entries FROM b JOIN c USING (k) GROUP BY i")
+def c14r(spark, sf):
+    """Exact here, as rows have fewer entries than a sketch."""
+    return stats.product_rows(_b(spark, sf), td.lines(spark, sf))
+
+
 # ---------------------------------------------------------------- checks and files
 
 

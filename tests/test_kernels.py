@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgrid.operators import check, formats, generate, tiling
+from loomgrid.operators import check, formats, generate, stats, tiling
 from loomgrid.plans import kernels
 from loomgrid.plans.expression import evaluate
 from loomgrid.tensor import Tensor, from_rows
@@ -235,3 +235,167 @@ def test_factors_as_arrays(spark, width):
     x, y, z = dense(t), dense(c), dense(d)
     assert (dense(kernels.tensor3_mttkrp(t, c, d, width), (5, 5)) == np.einsum("ikl,jk,jl->ij", x, y, z)).all()
     assert (dense(kernels.tensor3_ttm(t, d, width), (5, 6, 5)) == np.einsum("ikl,jl->ikj", x, z)).all()
+
+
+def shares(tree, variables):
+    """Whether every join of a plan has a shared variable."""
+    from loomgrid.plans.expression import leaves
+
+    if not isinstance(tree, tuple):
+        return True
+    a, b = ({v for k in leaves(x) for v in variables[k]} for x in tree)
+    return bool(a & b) and all(shares(x, variables) for x in tree)
+
+
+def test_order_of_contraction(spark):
+    from loomgrid.plans.expression import Part, contraction_order, leaves
+
+    even = lambda **v: Part({k: float(n) for k, n in v.items()}, float(max(v.values()) * 10))
+    parts = [even(i=100, k=100), even(l=100, m=100), even(k=100, l=100)]
+    tree = contraction_order(parts, {"i", "m"})
+    assert shares(tree, [p.counts for p in parts]) and sorted(leaves(tree)) == [0, 1, 2]
+    # a chain starts at its small end
+    chain = [Part({"i": 10.0, "k": 10.0}, 20.0), Part({"k": 1e4, "l": 1e4}, 1e6), Part({"l": 1e4, "m": 1e4}, 1e6)]
+    assert contraction_order(chain, {"i", "m"}) == ((0, 1), 2)
+    assert contraction_order(chain, {"i", "m"}, {(0, 1): 1e12}) == (0, (1, 2))
+    long_chain = [even(**{f"v{k}": 50, f"v{k + 1}": 50}) for k in range(12)]
+    tree = contraction_order(long_chain, {"v0", "v12"})
+    assert shares(tree, [p.counts for p in long_chain]) and sorted(leaves(tree)) == [*range(12)]
+    apart = [even(i=5), even(j=5), even(i=5, k=5)]
+    assert contraction_order(apart, {"i", "j"}) in (((0, 2), 1), (1, (0, 2)))
+
+
+def test_planned_products_and_formats(spark):
+    t = {n: generate.random_tensor(spark, modes, (6, 6), 0.5, k) for k, (n, modes) in enumerate({"A": ("i", "k"), "B": ("l", "m"), "C": ("k", "l")}.items())}
+    x = {n: dense(v) for n, v in t.items()}
+    got = evaluate("X(i,m) = A(i,k) * B(l,m) * C(k,l)", t, fmt="ss10")
+    assert (dense(got, (6, 6)) == np.einsum("ik,lm,kl->im", *x.values())).all()
+    rows = [(r["m"], r["i"]) for r in got.rows.collect()]
+    assert rows == sorted(rows)
+    outer = evaluate("X(i,m) = A(i,k) * B(l,m)", t)
+    assert (dense(outer, (6, 6)) == np.einsum("ik,lm->im", x["A"], x["B"])).all()
+    m = from_rows(spark, [(0, 1, 5), (3, 0, 6)], ["i", "j"], (4, 3))
+    same = lambda fmt: [tuple(r) for r in evaluate("X(i,j) = M(i,j)", {"M": m}, fmt).rows.collect()]
+    assert same("sd") == [(0, 0, 0), (0, 1, 5), (0, 2, 0), (3, 0, 6), (3, 1, 0), (3, 2, 0)]
+    assert same("ds01") == [(0, 1, 5), (3, 0, 6)] and len(same("dd10")) == 12 and same("dd10")[1] == (1, 0, 0)
+    for bad in ("s", "sx01", "ss00"):
+        with pytest.raises(ValueError):
+            same(bad)
+
+
+def test_pairs_have_a_guard(spark, monkeypatch):
+    from loomgrid.operators import joins
+
+    monkeypatch.setattr(joins, "PAIRS", 10)
+    a, b = from_rows(spark, [(k, 1) for k in range(5)], ["i"], (5,)), from_rows(spark, [(k, 1) for k in range(3)], ["j"], (3,))
+    with pytest.raises(ValueError):
+        kernels.product(a, b)
+    with pytest.raises(ValueError):
+        joins.repeat(a, b.df.select("j"))
+    with pytest.raises(ValueError):
+        generate.dense_ones(spark, ("i", "j"), (4, 4), cells=15)
+
+
+def test_cost_of_outputs(spark):
+    b = generate.random_tensor(spark, ("i", "k"), (20, 30), 0.8, 1)
+    c = generate.random_tensor(spark, ("k", "j"), (30, 5000), 0.8, 2)
+    x, y = (dense(b) != 0).astype(int), (dense(c) != 0).astype(int)
+    counts = {(r["i"], r["j"]): r["products"] for r in kernels.output_cost(b, c).collect()}
+    p = x @ y
+    assert counts == {(int(i), int(j)): int(p[i, j]) for i, j in zip(*np.nonzero(p))}
+    gold = (p > 0).sum(axis=1)
+    exact = {r["i"]: r["entries"] for r in stats.product_rows(b, c, 14).collect()}
+    rough = {r["i"]: r["entries"] for r in stats.product_rows(b, c, 10).collect()}
+    assert exact == {int(i): int(n) for i, n in enumerate(gold) if n}
+    assert all(abs(rough[i] - gold[i]) <= 0.15 * gold[i] for i in rough) and rough.keys() == exact.keys()
+
+
+@pytest.mark.parametrize("order", [None, (2, 0, 1)])
+def test_levels_share_one_sort(spark, order):
+    """Nodes that go on across partitions are one node; more partitions than nodes leave some empty."""
+    r = np.random.default_rng(7)
+    rows = [(0, 0, int(k), 1) for k in range(300)] + [(int(a), int(b), int(c), 1) for a, b, c in {*zip(r.integers(0, 4, 300), r.integers(0, 5, 300), r.integers(300, 320, 300))}]
+    t = from_rows(spark, rows, ["i", "j", "k"], (4, 5, 320))
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        crd, seg, vals = formats.to_csf(t, order)
+        modes = [t.modes[k] for k in order or (0, 1, 2)]
+        got = {(x["level"], x["pos"]): (x["fiber"], x["crd"]) for x in crd.collect()}
+        gold, parent = {}, {(): 0}
+        for level in range(3):
+            prefixes = sorted({tuple(x[t.modes.index(m)] for m in modes[: level + 1]) for x in rows})
+            gold |= {(level, p): (parent[x[:-1]], x[-1]) for p, x in enumerate(prefixes)}
+            parent = {x: p for p, x in enumerate(prefixes)}
+        assert got == gold and vals.count() == len(rows)
+        assert all(c["bad_start"] + c["not_monotone"] + c["bad_end"] + c["unsorted"] == 0 for c in check.check_csf(crd, seg).collect())
+        back = formats.from_csf(crd, seg, vals, modes)
+        assert {tuple(x[m] for m in t.modes) for x in back.rows.collect()} == {x[:3] for x in rows}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+
+
+def test_deleted_runs(spark):
+    r = np.random.default_rng(8)
+    at = sorted({int(x) for x in r.integers(0, 5000, 2000)})
+    v = from_rows(spark, [(x, x + 1) for x in at], ["i"], (5000,))
+    runs = [(int(a), int(a + n)) for a, n in zip(r.integers(0, 5000, 300), r.integers(0, 12, 300))] + [(4000, 4400), (4100, 4200), (10, 9), (at[0], at[0])]
+    df = spark.createDataFrame(runs, "start long, end long")
+    gold = {(x,): x + 1 for x in at if not any(a <= x <= b for a, b in runs)}
+    got = stats.delete_run(v, df)
+    assert entries(got) == gold and "NestedLoop" not in got.df._jdf.queryExecution().toString()
+    assert entries(stats.delete_run(v, df.limit(0))) == {(x,): x + 1 for x in at}
+    many = spark.range(200_000).selectExpr("id * 7 AS start", "id * 7 + 2 AS end")
+    wide = Tensor(spark.range(0, 1_400_000, 5).selectExpr("id AS i", "1L AS val"), ("i",), (1_400_000,))
+    assert stats.delete_run(wide, many).df.count() == sum(1 for x in range(0, 1_400_000, 5) if x % 7 > 2)
+
+
+def test_long_fibers_of_words(spark):
+    """References by blocks, with fibers longer than one."""
+    from loomgrid.operators import bits
+
+    t = generate.random_tensor(spark, ("i", "j"), (3, 400), 0.5, 4)
+    words = bits.to_bitvector(t, 5)
+    small = formats.running_sum(words, "word_id", F.bit_count("word"), "ref", block=7, fiber=["i"])
+    assert {tuple(r) for r in small.select("i", "word_id", "ref").collect()} == {tuple(r) for r in bits.bit_refs(words, ["i"]).select("i", "word_id", "ref").collect()}
+    gold, seen = {}, {}
+    for i, j in sorted(entries(t)):
+        gold.setdefault((i, j // 5), seen.get(i, 0))
+        seen[i] = seen.get(i, 0) + 1
+    assert {(r["i"], r["word_id"]): r["ref"] for r in small.collect()} == gold
+    assert {(r["i"], r["j"]): r["ref"] for r in bits.with_refs(t).collect()} == {k: n for i in range(3) for n, k in enumerate(sorted(x for x in entries(t) if x[0] == i))}
+
+
+@pytest.mark.parametrize("levels", [2, 3, 4])
+def test_bit_trees_of_many_levels(spark, levels):
+    from loomgrid.operators import bits
+
+    a, b = (generate.random_tensor(spark, ("i", "j"), (3, 700), 0.6, k) for k in (5, 6))
+    gold = {k: v * entries(b)[k] for k, v in entries(a).items() if k in entries(b)}
+    assert entries(bits.elemmul_bittree(a, b, 4, levels)) == gold
+
+
+def test_drawn_cells_follow_one_law(spark):
+    """Entries are binomial at every size, gaps geometric, and the cost is by entries."""
+    t = generate.random_tensor(spark, ("i", "j"), (300, 400), 0.9, 3)
+    got = entries(t)
+    assert abs(len(got) - 12_000) < 6 * (120_000 * 0.09) ** 0.5 and got == entries(generate.random_tensor(spark, ("i", "j"), (300, 400), 0.9, 3))
+    assert all(0 <= i < 300 and 0 <= j < 400 and 1 <= v < 255 for (i, j), v in got.items())
+    cells = np.array(sorted(i * 400 + j for i, j in got))
+    gaps = np.diff(cells)
+    assert abs((gaps == 1).mean() - 0.1) < 0.02 and abs(gaps.mean() - 10) < 0.5
+    huge = generate.random_tensor(spark, ("i", "j"), (1 << 30, 1 << 20), 1 - 2.0**-36, 3)
+    assert abs(huge.df.count() - (1 << 14)) < 6 * 128 and huge.df.select("i", "j").distinct().count() == huge.df.count()
+    assert generate.random_tensor(spark, ("i",), (50,), 0.0, 1).df.count() == 50 and generate.random_tensor(spark, ("i",), (50,), 1.0, 1).df.count() == 0
+
+
+def test_fibers_in_segments(spark):
+    t = generate.random_tensor(spark, ("i", "j"), (4, 500), 0.5, 2)
+    f = formats.to_fibers(t, ["i"], 50).collect()
+    assert max(len(r["fiber"]) for r in f) <= 50
+    whole = {}
+    for r in sorted(f, key=lambda r: r["segment"]):
+        whole.setdefault(r["i"], []).extend((e["crd"], e["val"]) for e in r["fiber"])
+    assert whole == {i: sorted((j, v) for (k, j), v in entries(t).items() if k == i) for i in range(4)}
