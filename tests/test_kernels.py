@@ -365,7 +365,8 @@ def test_long_fibers_of_words(spark):
         gold.setdefault((i, j // 5), seen.get(i, 0))
         seen[i] = seen.get(i, 0) + 1
     assert {(r["i"], r["word_id"]): r["ref"] for r in small.collect()} == gold
-    assert {(r["i"], r["j"]): r["ref"] for r in bits.with_refs(t).collect()} == {k: n for i in range(3) for n, k in enumerate(sorted(x for x in entries(t) if x[0] == i))}
+    stored = sorted(entries(t))
+    assert {(r["i"], r["j"]): r["ref"] for r in bits.with_refs(t).collect()} == {k: n for i in range(3) for n, k in enumerate(x for x in stored if x[0] == i)}
 
 
 @pytest.mark.parametrize("levels", [2, 3, 4])
@@ -373,7 +374,8 @@ def test_bit_trees_of_many_levels(spark, levels):
     from loomgrid.operators import bits
 
     a, b = (generate.random_tensor(spark, ("i", "j"), (3, 700), 0.6, k) for k in (5, 6))
-    gold = {k: v * entries(b)[k] for k, v in entries(a).items() if k in entries(b)}
+    x, y = entries(a), entries(b)
+    gold = {k: v * y[k] for k, v in x.items() if k in y}
     assert entries(bits.elemmul_bittree(a, b, 4, levels)) == gold
 
 
@@ -398,4 +400,5 @@ def test_fibers_in_segments(spark):
     whole = {}
     for r in sorted(f, key=lambda r: r["segment"]):
         whole.setdefault(r["i"], []).extend((e["crd"], e["val"]) for e in r["fiber"])
-    assert whole == {i: sorted((j, v) for (k, j), v in entries(t).items() if k == i) for i in range(4)}
+    stored = entries(t)
+    assert whole == {i: sorted((j, v) for (k, j), v in stored.items() if k == i) for i in range(4)}
