@@ -3,8 +3,9 @@
 A node that has to give k leaves is split along its widest metadata dimension at the weighted
 quantile floor(k / 2) / k, until each node gives one leaf. Dimensions are text length (log),
 source and language (digests of the names), each scaled to [0, 1); a key holds the scaled value in its upper
-bits, a digest of the text below, and one of the row last. So equal texts of a source and language stand together and
-are cut only where a cut can't pass them by, and then anywhere, even among equal rows. All nodes of a level are
+bits and a digest of the text below. Equal texts are one group with one key: they take the least source and
+language value of the group, so they share a shard whatever their sources. Only a group that has more bytes than a leaf is
+split, by digests of its rows. All nodes of a level are
 split together: their quantiles are found by a few passes of histograms over a slim staged
 table, each of which narrows the range 8192 times. The driver sees at most one row per node.
 
@@ -23,7 +24,7 @@ from .common import columns_of, fresh, staged
 
 #: Bytes that a row takes beside its text.
 OVERHEAD = 16
-#: Bits of a key's value, of the text's digest that breaks ties, and of the row's digest that breaks those.
+#: Bits of a key's value, and of the digests below it: the text's, or in a group that is split fewer of them and the row's.
 VALUE_BITS, TEXT_BITS, ROW_BITS = 16, 20, 16
 TIE_BITS = TEXT_BITS + ROW_BITS
 #: Bits by which one pass of histograms narrows a cut, and rows of a leaf's share that a cut may miss.
@@ -44,21 +45,54 @@ def _name_value(name: Column) -> Column:
     return F.when(name.isNull(), F.lit(0.999)).otherwise(F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("double") / F.lit(float(16**7)) * 0.998)
 
 
-def key_columns(row: Column) -> dict[str, Column]:
-    """One long key per dimension: the scaled value above, digests of the text and of the row (its id and number) below."""
-    values = {
-        "key_length": F.log2(size_bytes(F.col("text")).cast("double")) / 24.0,
-        "key_source": _name_value(F.col("source").cast("string")),
-        "key_lang": _name_value(F.col("lang").cast("string")),
-    }
-    low = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit(1 << TEXT_BITS)), ROW_BITS) + F.pmod(F.xxhash64(F.col("doc_id").cast("string"), row), F.lit(1 << ROW_BITS))
-    return {k: F.shiftleft(F.least(F.floor(v * (1 << VALUE_BITS)), F.lit((1 << VALUE_BITS) - 1)).cast("long"), TIE_BITS) + low for k, v in values.items()}
+#: What names a text: its digest, checksum (-1: null) and size.
+TEXT = ("_hash", "_sum", "_size")
 
 
-def keyed(docs: DataFrame, row: Column) -> DataFrame:
-    """The slim table that the tree is built on: id, size, checksum, keys and a block number that spreads rows evenly."""
+def _parts(row: Column) -> list[Column]:
+    """The text's name, the row's own values per dimension, and its digest, made of ``doc_id``, ``text``, ``source`` and ``lang``."""
+    size = size_bytes(F.col("text"))
+    values = {"key_length": F.log2(size.cast("double")) / 24.0, "key_source": _name_value(F.col("source").cast("string")), "key_lang": _name_value(F.col("lang").cast("string"))}
+    scaled = [F.least(F.floor(v * (1 << VALUE_BITS)), F.lit((1 << VALUE_BITS) - 1)).cast("long").alias(f"_{k}") for k, v in values.items()]
+    digest = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), row), F.lit(1 << ROW_BITS)).alias("_row_digest")
+    return [F.xxhash64("text").alias("_hash"), F.coalesce(F.crc32("text"), F.lit(-1).cast("long")).alias("_sum"), size.alias("_size"), *scaled, digest]
+
+
+def groups_of(slim: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Of the texts that stand more than once: those of several sources or languages with the least value of each, and those with more bytes than a leaf.
+
+    The second table has ``shards`` rows at most.
+    """
+    source, lang = F.col("_key_source"), F.col("_key_lang")
+    texts = staged(
+        slim.groupBy(*TEXT).agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_n"), F.min(source).alias("_least_source"), F.min(lang).alias("_least_lang"), ((F.min(source) < F.max(source)) | (F.min(lang) < F.max(lang))).alias("_several")),
+        "texts",
+    )
+    total = texts.agg(F.sum("_bytes")).first()[0] or 0
+    several = texts.filter("_n > 1 AND _several").select(*TEXT, "_least_source", "_least_lang")
+    return several, texts.filter((F.col("_n") > 1) & (F.col("_bytes") > total / shards)).select(*TEXT, F.lit(True).alias("_split"))
+
+
+def with_keys(df: DataFrame, groups: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Rows with ``_parts`` get a long key per dimension: the scaled value above, digests below."""
+    several, large = groups
+    both = df.join(F.broadcast(large), list(TEXT), "left").join(several, list(TEXT), "left")
+    whole = F.pmod("_hash", F.lit(1 << TIE_BITS))
+    apart = F.shiftleft(F.pmod("_hash", F.lit(1 << TEXT_BITS)), ROW_BITS) + F.col("_row_digest")
+    low = F.when(F.col("_split"), apart).otherwise(whole)
+    values = {"key_length": F.col("_key_length"), "key_source": F.coalesce("_least_source", "_key_source"), "key_lang": F.coalesce("_least_lang", "_key_lang")}
+    return both.withColumns({k: F.shiftleft(v, TIE_BITS) + low for k, v in values.items()})
+
+
+def slim_rows(docs: DataFrame, row: Column) -> DataFrame:
+    """What the groups and the tree are built on, staged: id, size, checksum, the parts of the keys and a block number that spreads rows evenly."""
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), row, F.lit(1)), F.lit(BLOCKS))
-    return docs.select("doc_id", size_bytes(F.col("text")).alias("size"), F.crc32("text").alias("text_crc32"), block.alias("block"), *[v.alias(k) for k, v in key_columns(row).items()])
+    return staged(docs.select("doc_id", F.crc32("text").alias("text_crc32"), block.alias("block"), *_parts(row)), "kd")
+
+
+def keyed(slim: DataFrame, groups: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The table that the tree is built on: id, size, checksum, keys and block."""
+    return staged(with_keys(slim, groups).select("doc_id", F.col("_size").alias("size"), "text_crc32", "block", *DIMENSIONS), "kd-keys")
 
 
 class Node:
@@ -135,7 +169,8 @@ def build_tree(rows: DataFrame, shards: int, slack: float = SLACK) -> Node:
 
 def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (0, 1, ... without gaps in each shard) of every row."""
-    rows = staged(keyed(docs, F.monotonically_increasing_id()), "kd")
+    slim = slim_rows(docs, F.monotonically_increasing_id())
+    rows = keyed(slim, groups_of(slim, shards))
     placed = rows.withColumn("shard", build_tree(rows, shards).expression())
     # slots: a shard's rows fall into blocks by digest; offsets are the counts of the blocks before
     placed = placed.select("doc_id", "size", "text_crc32", "shard", "block")
@@ -157,8 +192,10 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """
     row = fresh(docs, "_row")
     numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    tree = build_tree(staged(keyed(numbered, F.col(f"`{row}`")), "kd"), shards)
-    # keys are made beside the row, so that no name can clash
-    made = numbered.select(F.struct(*columns_of(docs)).alias("row"), *[v.alias(k) for k, v in key_columns(F.col(f"`{row}`")).items()])
+    slim = slim_rows(numbered, F.col(f"`{row}`"))
+    groups = groups_of(slim, shards)
+    tree = build_tree(keyed(slim, groups), shards)
+    # keys are made beside the row, so that no name can clash; texts of several sources join by Spark's own size check
+    made = with_keys(numbered.select(F.struct(*columns_of(docs)).alias("row"), *_parts(F.col(f"`{row}`"))), groups)
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "shard"]
     return made.select(*kept, tree.expression().cast("int").alias("shard"))

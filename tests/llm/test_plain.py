@@ -55,9 +55,10 @@ def check_cuts(node, rows):
 
 def test_tree_against_plain_medians(spark):
     docs = docs_of(spark)
-    keyed = shard.keyed(docs, F.monotonically_increasing_id())
-    rows = keyed.collect()
+    slim = shard.slim_rows(docs, F.monotonically_increasing_id())
     for shards in (1, 7, 40):
+        keyed = shard.keyed(slim, shard.groups_of(slim, shards))
+        rows = keyed.collect()
         tree = shard.build_tree(keyed, shards)
         assert check_cuts(tree, rows) == shards
         got = {r["doc_id"]: r["shard"] for r in shard.assign_shards(docs, shards).collect()}
@@ -95,3 +96,20 @@ def test_network_against_plain_loops(spark):
         p = plain_probabilities(text, net)
         assert abs(r["score"] - max(p)) < 1e-4
         assert p[net.languages.index(r["lang_pred"])] > max(p) - 1e-4
+
+
+def test_equal_texts_share_a_shard(spark):
+    """Whatever their sources and languages, unless a group is larger than a leaf; bytes stay even."""
+    rows = [(k, f"text {k} " + "word " * (k % 50), f"s{k % 5}", ["en", "fr", None][k % 3]) for k in range(2000)]
+    rows += [(3000 + k, f"copy {k % 100} " + "of a text " * 5, f"s{k % 7}", ["en", "de", None, "fr"][k % 4]) for k in range(400)]
+    rows += [(4000 + k, None, f"s{k % 3}", "en") for k in range(20)] + [(5000 + k, "hot " * 30, f"s{k % 5}", "en") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    size = lambda t: 16 + len(t or "")
+    total = sum(size(r[1]) for r in rows)
+    for got in ({r["doc_id"]: r["shard"] for r in df.select("doc_id", "shard").collect()} for df in (shard.assign_shards(docs, 10), shard.shard_documents(docs, 10))):
+        of, held = {}, [0] * 10
+        for i, text, _, _ in rows:
+            of.setdefault(text, set()).add(got[i])
+            held[got[i]] += size(text)
+        assert all(len(s) == 1 for t, s in of.items() if not (t or "").startswith("hot ")) and len(of["hot " * 30]) > 1
+        assert max(held) - min(held) < 0.05 * total / 10
