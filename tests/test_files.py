@@ -26,7 +26,7 @@ def test_mtx_symmetric_and_general(spark, tmp_path):
 
 
 def test_mtx_tns_round_trip(spark, tmp_path):
-    t = generate.random_tensor(spark, ("i", "j"), (9, 11), 0.6, 4)
+    t = generate.random_tensor(spark, ("i", "j"), (9, 11), 0.6, 5)
     coordinates.write_mtx(t, f"{tmp_path}/a.mtx")
     back = coordinates.read_one_mtx(spark, f"{tmp_path}/a.mtx", "long")
     assert entries(back) == entries(t) and back.shape == t.shape
