@@ -50,20 +50,23 @@ class Network(NamedTuple):
 def sample_windows(texts: DataFrame, per_language: int = TEXTS) -> tuple[np.ndarray, list[str]]:
     """Windows (n x WINDOW bytes) and their languages, from at most ``per_language`` texts of each language.
 
-    Texts are chosen by a digest of their id, with a threshold from the language's count. All languages are
+    Texts are chosen by a digest of id and text, with a threshold from the language's count of distinct digests; rows that are equal in
+    both count and come once. So rows that share an id, or have none, are drawn one by one. All languages are
     learned; where they are many, each gives fewer texts, so that the sample has about MOST_TEXTS x PER_TEXT windows
     at most (or one text of each language).
     """
     known = texts.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    digest = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(SEED)), F.lit(1 << 46))
+    known = known.withColumn("digest", digest)
+    counts = {r["lang"]: r["n"] for r in known.select("lang", "digest").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not counts:
         return np.empty((0, WINDOW), np.uint8), []
     per_language = max(1, min(per_language, MOST_TEXTS // len(counts)))
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    place = F.col("digest").cast("double") / float(1 << 46)
     share = known.sparkSession.createDataFrame([(k, min(1.0, per_language / n), n <= per_language) for k, n in counts.items()], "_lang string, _share double, _all boolean")
     # of a language that gives one text, the digest might choose none: its first by digest is always in
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id")) if per_language == 1 else F.lit(2)
-    chosen = known.withColumn("place", place).join(F.broadcast(share), F.col("lang") == F.col("_lang")).withColumn("first", first).filter((F.col("place") < F.col("_share")) | F.col("_all") | (F.col("first") == 1))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place")) if per_language == 1 else F.lit(2)
+    chosen = known.withColumn("place", place).join(F.broadcast(share), F.col("lang") == F.col("_lang")).withColumn("first", first).filter((F.col("place") < F.col("_share")) | F.col("_all") | (F.col("first") == 1)).dropDuplicates(["lang", "digest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

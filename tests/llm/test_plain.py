@@ -113,3 +113,14 @@ def test_equal_texts_share_a_shard(spark):
             held[got[i]] += size(text)
         assert all(len(s) == 1 for t, s in of.items() if not (t or "").startswith("hot ")) and len(of["hot " * 30]) > 1
         assert max(held) - min(held) < 0.05 * total / 10
+
+
+def test_sample_of_languages_is_bounded_by_rows(spark):
+    """Rows without an id, or with the same one, are drawn one by one; equal rows come once."""
+    en = [(None, f"english words of text {k}", "en") for k in range(1500)] + [(7, f"more english {k}", "en") for k in range(1500)]
+    fr = [(None, f"des mots en texte {k}", "fr") for k in range(3000)]
+    de = [(k, f"deutsche worte {k}", "de") for k in range(40)] + [(99, "immer das gleiche", "de")] * 3000
+    docs = spark.createDataFrame(en + fr + de, "doc_id long, text string, lang string").repartition(4)
+    _, langs = langid.sample_windows(docs, 300)
+    n = {x: langs.count(x) for x in {*langs}}
+    assert abs(n["en"] - 300) < 100 and abs(n["fr"] - 300) < 100 and n["de"] == 41
