@@ -31,8 +31,10 @@ _CTE = {
     "d": "SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS val FROM part",
     "m": "SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(month(o_orderdate) AS BIGINT) AS j, count(*) AS val FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
     "e": "SELECT vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS k, CAST(floor(CAST(unnest(embedding) AS DOUBLE) * 1000) AS BIGINT) AS val FROM embeddings",
-    "u": "SELECT l_partkey AS i, count(*) AS val FROM lineitem WHERE l_linenumber = 7 AND l_returnflag = 'R' GROUP BY ALL",
-    "v": "SELECT l_partkey AS i, count(*) AS val FROM lineitem WHERE l_linenumber = 6 AND l_returnflag = 'A' GROUP BY ALL",
+    "u": "SELECT l_orderkey AS i, count(*) AS val FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL",
+    "v": "SELECT l_orderkey AS i, count(*) AS val FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL",
+    "g": "SELECT CAST(l_suppkey % n AS BIGINT) AS i, CAST(l_partkey % n AS BIGINT) AS j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val FROM lineitem, (SELECT count(*) AS n FROM embeddings) GROUP BY ALL",
+    "no": "SELECT count(*) AS n FROM orders",
     "ni": "SELECT count(*) AS n FROM supplier",
     "nk": "SELECT count(*) AS n FROM part",
 }
@@ -60,11 +62,11 @@ def _b(spark: SparkSession, sf: str) -> Tensor:
 
 
 def _u(spark: SparkSession, sf: str) -> Tensor:
-    return td.parts_with(spark, sf, 7, "R")
+    return td.orders_with(spark, sf, "R")
 
 
 def _v(spark: SparkSession, sf: str) -> Tensor:
-    return td.parts_with(spark, sf, 6, "A")
+    return td.orders_with(spark, sf, "A")
 
 
 def _by_part(t: Tensor) -> Tensor:
@@ -172,9 +174,9 @@ def j05(spark, sf):
     return joins.repeat(td.balances(spark, sf), over).rows
 
 
-@query("j06_drop_empty_outer", "u", "SELECT p_partkey AS i FROM part WHERE p_partkey IN (SELECT i FROM u)")
+@query("j06_drop_empty_outer", "u", "SELECT o_orderkey AS i FROM orders WHERE o_orderkey IN (SELECT i FROM u)")
 def j06(spark, sf):
-    return joins.drop_empty_outer(td.table(spark, sf, "part").select(F.col("p_partkey").alias("i")), _u(spark, sf).df, ["i"])
+    return joins.drop_empty_outer(td.table(spark, sf, "orders").select(F.col("o_orderkey").alias("i")), _u(spark, sf).df, ["i"])
 
 
 @query("j07_anti_coords", "b a", "SELECT i, k FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.i = b.i AND a.k = b.k)")
@@ -314,21 +316,21 @@ def k07h(spark, sf):
     return kernels.matmul(_one_hot(_b(spark, sf)), _one_hot(td.lines(spark, sf))).rows
 
 
-_SDDMM = "SELECT i, j, CAST(m.val * sum(x.val * y.val) AS BIGINT) AS val FROM m JOIN e x USING (i) JOIN e y ON y.i = m.j AND y.k = x.k GROUP BY i, j, m.val HAVING m.val * sum(x.val * y.val) <> 0"
+_SDDMM = "SELECT i, j, CAST(m.val * sum(x.val * y.val) AS BIGINT) AS val FROM g m JOIN e x USING (i) JOIN e y ON y.i = m.j AND y.k = x.k GROUP BY i, j, m.val HAVING m.val * sum(x.val * y.val) <> 0"
 
 
 def _sddmm(spark, sf, how):
     e = td.embedding(spark, sf)
     d = Tensor(e.df.select("k", F.col("i").alias("j"), VAL), ("k", "j"))
-    return how(td.months(spark, sf), e, d).rows
+    return how(td.pairs(spark, sf), e, d).rows
 
 
-@query("k08_mat_sddmm", "m e", _SDDMM)
+@query("k08_mat_sddmm", "g e", _SDDMM)
 def k08(spark, sf):
     return _sddmm(spark, sf, kernels.mat_sddmm)
 
 
-@query("k09_mat_sddmm_unfused", "m e", _SDDMM)
+@query("k09_mat_sddmm_unfused", "g e", _SDDMM)
 def k09(spark, sf):
     return _sddmm(spark, sf, kernels.mat_sddmm_unfused)
 
@@ -519,6 +521,11 @@ def f10(spark, sf):
     return formats.from_csr(*[staged(x, "csr") for x in formats.to_csr(_b(spark, sf))], ("i", "k")).rows
 
 
+@query("f10_from_dcsr", "b", "SELECT i, k, val FROM b")
+def f10dr(spark, sf):
+    return formats.from_dcsr(*[staged(x, "dcsr") for x in formats.to_dcsr(_b(spark, sf))], ("i", "k")).rows
+
+
 @query("f11_to_fibers", "b", "SELECT i, k // 64 AS segment, string_agg(k || ':' || val, ' ' ORDER BY k) AS fiber FROM b GROUP BY ALL")
 def f11(spark, sf):
     text = F.transform("fiber", lambda e: F.concat(e["crd"].cast("string"), F.lit(":"), e["val"].cast("string")))
@@ -674,12 +681,12 @@ def c06(spark, sf):
     return stats.stream_breakdown(td.orders3(spark, sf))
 
 
-_RUNS = "SELECT run, CAST(side AS BIGINT) AS side, min(i) AS start, CASE WHEN run = (SELECT max(run) FROM q) THEN (SELECT n - 1 FROM nk) ELSE max(i) END AS {end}, count(*) AS n FROM q WHERE side <> 0 GROUP BY run, side"
+_RUNS = "SELECT run, CAST(side AS BIGINT) AS side, min(i) AS start, CASE WHEN run = (SELECT max(run) FROM q) THEN (SELECT n - 1 FROM no) ELSE max(i) END AS {end}, count(*) AS n FROM q WHERE side <> 0 GROUP BY run, side"
 _RUN_ROWS = ", p AS (SELECT i, CASE WHEN u.i IS NULL THEN 2 WHEN v.i IS NULL THEN 1 ELSE 0 END AS side FROM u FULL JOIN v USING (i)), q AS (SELECT i, side, CAST(sum(new) OVER (ORDER BY i) AS BIGINT) AS run FROM (SELECT i, side, CASE WHEN side = lag(side) OVER (ORDER BY i) THEN 0 ELSE 1 END AS new FROM p))"
 
 
 def _run_sql(body: str) -> str:
-    return _sql("u v nk", "").rstrip() + _RUN_ROWS + body
+    return _sql("u v no", "").rstrip() + _RUN_ROWS + body
 
 
 def _runs(spark, sf):

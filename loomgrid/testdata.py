@@ -64,7 +64,15 @@ def embedding(spark: SparkSession, sf_dir: str) -> Tensor:
     return tensor(df, ["i", "k"], F.floor(F.col("x").cast("double") * 1000).cast("long"))
 
 
-def parts_with(spark: SparkSession, sf_dir: str, line: int, flag: str) -> Tensor:
-    """u(i): parts with lines of a number and a return flag; the value is the number of such lines."""
-    df = table(spark, sf_dir, "lineitem").filter((F.col("l_linenumber") == line) & (F.col("l_returnflag") == flag)).groupBy(F.col("l_partkey").cast("long").alias("i")).agg(F.count(F.lit(1)).alias(VAL))
-    return Tensor(df, ("i",), (_rows(spark, sf_dir, "part"),))
+def orders_with(spark: SparkSession, sf_dir: str, flag: str) -> Tensor:
+    """u(i): orders that have lines of a return flag; the value is the number of such lines. All lines are read."""
+    lines_of = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("i")).agg(F.count_if(F.col("l_returnflag") == flag).alias(VAL))
+    return Tensor(lines_of.filter(F.col(VAL) > 0), ("i",), (_rows(spark, sf_dir, "orders"),))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> Tensor:
+    """G(i, j): quantity by supplier and part, both modulo the number of embeddings, as a mask over pairs of these."""
+    n = _rows(spark, sf_dir, "embeddings")
+    at = lambda c: F.pmod(F.col(c).cast("long"), F.lit(n))
+    df = table(spark, sf_dir, "lineitem").groupBy(at("l_suppkey").alias("i"), at("l_partkey").alias("j")).agg(F.sum(F.col("l_quantity").cast("long")).alias(VAL))
+    return Tensor(df, ("i", "j"), (n, n))
