@@ -2,21 +2,20 @@
 
 1. Voters: words and word beginnings (4 to 8 bytes), once or several times, that the labelled sample
    ties to toxic texts make a lexicon; each entry votes if a text has it so often. Pattern voters look at how many entries, how
-   dense and how varied, and at marks (shouting, exclamations). The label itself is one more,
-   fallible, voter where it may be used.
+   dense and how varied, and at marks (shouting, exclamations).
 2. A generative label model estimates, by expectation maximisation, each voter's rate of voting in
    toxic and in other texts (its accuracy) and the voters' correlations within the classes (a
-   pooled covariance), and gives each sampled text a posterior.
-   The label starts the estimate and weighs by its own estimated accuracy, so where labels are clean the posteriors follow them.
+   pooled covariance), and gives each sampled text a posterior. It sees votes only: it starts from the
+   odds of each text's strongest voter, and patterns that just restate one lexicon entry have no vote.
 3. A linear (logistic) classifier is trained on the posteriors over lexicon and pattern features,
-   and scores every whole text.
+   and scores every whole text. A text counts by how far its label and posterior agree.
 
-The sample is bounded (``SAMPLE_ROWS``, by a digest of the id); the lexicon's counts are summed in
+The sample is bounded (``SAMPLE_ROWS`` ids by their digest, one text an id); the lexicon's counts are summed in
 Spark. Labels of held-out rows, and lang, source and doc_id, are never used for a score.
 
 Cases: a null or empty text is scored from no features, with a low score; where nothing is labelled
 toxic every score is 0; null labels are skipped; several labels of a document count as toxic if any
-does; repeated rows score alike; entries that tie for the lexicon's last place go by their hash; a very long text is scored whole, in its own
+does; of texts that share an id one is learned (the least digest); repeated rows score alike; entries that tie for the lexicon's last place go by their hash; a very long text is scored whole, in its own
 chunk; an empty table gives an empty result; other columns play no part, whatever their names.
 """
 
@@ -36,12 +35,16 @@ SAMPLE_ROWS, VOTERS, LEAST_TEXTS, THRESHOLD = 20_000, 160, 3, 0.3
 #: An entry's share of the toxic texts must be so many times its share of the others; nats beyond chance.
 LEAST_LIFT, CHANCE = 20, 3.0
 PREFIXES = (4, 5, 6, 7, 8)
+#: Weight of a text whose label and posterior disagree wholly.
+LEAST_WEIGHT = 0.02
 #: An entry asks for so many occurrences at least.
 TIMES = (1, 2, 4)
 #: Bytes of words here: letters, digits, all beyond ASCII.
 WORD_BYTES = lut((48, 57), (65, 90), (97, 122), (0x80, 0xFF))
 _UPPER, _BANG = lut((65, 90)), lut((33, 33))
 PATTERNS = 8
+#: The first patterns are thresholds of the strongest entry and of two entries: features of the classifier, no voters.
+RESTATED = 4
 
 
 def features_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,10 +142,15 @@ class LabelModel(NamedTuple):
     prior: float
 
 
-def fit_label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12) -> tuple[LabelModel, np.ndarray]:
-    """Expectation maximisation from the votes and the fallible label (0, 1); returns the posteriors, too."""
-    start = np.clip(0.5 * gold + 0.5 * (votes.mean(axis=1) > 0), 0.02, 0.98)
-    post = np.clip(0.9 * gold + 0.1 * start, 0.02, 0.98)
+def first_guess(hit: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Odds of each text's strongest voter, as probabilities; low ones where no entry votes."""
+    best = np.where(hit > 0, strength, -9.0).max(axis=1, initial=-9.0)
+    return np.clip(1 / (1 + np.exp(-best)), 0.02, 0.98)
+
+
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 50) -> tuple[LabelModel, np.ndarray]:
+    """Expectation maximisation from the votes alone, from the given probabilities; returns the posteriors, too."""
+    post = start
     for _ in range(rounds):
         w1, w0 = post.sum(), (1 - post).sum()
         means = np.stack([((1 - post)[:, None] * votes).sum(axis=0) / w0, (post[:, None] * votes).sum(axis=0) / w1])
@@ -152,9 +160,6 @@ def fit_label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12) -> tu
         weights = np.linalg.solve(cov, means[1] - means[0])
         prior = float(np.clip(post.mean(), 1e-3, 1 - 1e-3))
         logit = (votes - means.mean(axis=0)) @ weights + np.log(prior / (1 - prior))
-        # the label's own accuracy, as it agrees with the posteriors
-        right = float(np.clip((post * gold + (1 - post) * (1 - gold)).mean(), 0.6, 0.97))
-        logit += np.where(gold > 0.5, 1, -1) * np.log(right / (1 - right))
         new = np.clip(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 1e-4, 1 - 1e-4)
         done, post = np.abs(new - post).max() < 1e-4, new
         if done:
@@ -162,15 +167,15 @@ def fit_label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12) -> tu
     return LabelModel(means, cov, prior), post
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, rounds: int = 60, ridge: float = 0.3) -> np.ndarray:
-    """Logistic regression on soft targets by Newton steps; the last weight is the bias."""
+def fit_linear(x: np.ndarray, target: np.ndarray, count: np.ndarray, rounds: int = 60, ridge: float = 0.3) -> np.ndarray:
+    """Logistic regression on soft targets, each row counting so much, by Newton steps; the last weight is the bias."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x.shape[1])
     penal = np.full(x.shape[1], ridge)
     penal[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penal), x.T @ (p - target) + penal * w)
+        step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + np.diag(penal), x.T @ (count * (p - target)) + penal * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -188,7 +193,9 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
     out = is_held_out() if held_out is None else held_out
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~out).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), "doc_id").limit(sample_rows)
-    sample = staged(docs.select("doc_id", "text").join(chosen, "doc_id").filter("text IS NOT NULL"), "labelled")
+    # one text an id, so that the sample is bounded where ids repeat
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    sample = staged(texts, "labelled")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1):
         return None
@@ -206,8 +213,10 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
     got.sort(key=lambda r: r["doc_id"])
     x = np.stack([np.frombuffer(bytes(r["votes"]), np.float32) for r in got]).astype(float)
     gold = np.array([r["toxic"] for r in got], dtype=float)
-    _, posterior = fit_label_model(x, gold)
-    return Model(lexicon, strength, fit_linear(x, posterior))
+    hit, patterns = x[:, : len(lexicon)], x[:, len(lexicon) :]
+    _, posterior = fit_label_model(np.concatenate([hit, patterns[:, RESTATED:]], axis=1), first_guess(hit, strength))
+    agreed = np.clip(posterior * gold + (1 - posterior) * (1 - gold), LEAST_WEIGHT, 1)
+    return Model(lexicon, strength, fit_linear(x, posterior, agreed))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

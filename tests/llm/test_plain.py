@@ -1,11 +1,12 @@
-"""The K-d tree and the byte network against plain Python, row by row."""
+"""The K-d tree, the byte network and the label model against plain Python, row by row."""
 
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from loomgrid.llm import langid, shard
+from loomgrid.llm import langid, shard, toxicity
 
 DOC = "doc_id long, text string, lang string, source string"
 EDGES = [None, "", " \n\t", "7", "a", "Aé", "日本語", "x" * 3000, "Ab " * 64, "Ab " * 65, "ß" * 100]
@@ -124,3 +125,67 @@ def test_sample_of_languages_is_bounded_by_rows(spark):
     _, langs = langid.sample_windows(docs, 300)
     n = {x: langs.count(x) for x in {*langs}}
     assert abs(n["en"] - 300) < 100 and abs(n["fr"] - 300) < 100 and n["de"] == 41
+
+
+def plain_em(votes, start, rounds):
+    """Expectation maximisation with loops: rates by class, one shrunk covariance, posteriors."""
+    n, m, post = len(votes), len(votes[0]), list(start)
+    for _ in range(rounds):
+        share = [sum(1 - p for p in post), sum(post)]
+        rate = [[sum((p if c else 1 - p) * v[j] for p, v in zip(post, votes, strict=True)) / share[c] for j in range(m)] for c in (0, 1)]
+        left = [[v[j] - (1 - p) * rate[0][j] - p * rate[1][j] for j in range(m)] for p, v in zip(post, votes, strict=True)]
+        cov = np.array([[sum(r[a] * r[b] for r in left) / n * (1.0 if a == b else 0.8) + (1e-3 if a == b else 0.0) for b in range(m)] for a in range(m)])
+        weights = np.linalg.solve(cov, np.array(rate[1]) - np.array(rate[0]))
+        prior = min(max(sum(post) / n, 1e-3), 1 - 1e-3)
+        logit = [sum(weights[j] * (v[j] - (rate[0][j] + rate[1][j]) / 2) for j in range(m)) + math.log(prior / (1 - prior)) for v in votes]
+        post = [min(max(1 / (1 + math.exp(-min(max(x, -30), 30))), 1e-4), 1 - 1e-4) for x in logit]
+    return post
+
+
+def votes_of(n=300):
+    """Six voters, the last two of them correlated, of different accuracy; the truth."""
+    r, votes, truth = random.Random(5), [], []
+    for _ in range(n):
+        y = r.random() < 0.3
+        one = [float(r.random() < (hit if y else miss)) for hit, miss in ((0.8, 0.05), (0.7, 0.1), (0.6, 0.05), (0.5, 0.2), (0.6, 0.1))]
+        votes.append([*one, one[-1] if r.random() < 0.9 else 1 - one[-1]])
+        truth.append(int(y))
+    return votes, truth
+
+
+def test_label_model_against_plain_expectation_maximisation():
+    votes, truth = votes_of()
+    start = [0.9 if sum(v) > 2 else 0.1 for v in votes]
+    for rounds in (1, 3, 8):
+        _, got = toxicity.fit_label_model(np.array(votes), np.array(start), rounds)
+        # the operator stops where nothing changes any more
+        assert max(abs(a - b) for a, b in zip(got, plain_em(votes, start, rounds), strict=True)) < 2e-3
+    _, got = toxicity.fit_label_model(np.array(votes), np.array(start))
+    assert sum((p > 0.5) == y for p, y in zip(got, truth, strict=True)) > 0.9 * len(truth)
+
+
+def test_votes_and_not_labels_make_the_posterior(spark, monkeypatch):
+    """Texts full of lexicon words with a wrong label are toxic to the label model, and count little in training."""
+    docs, labels = [], []
+    for k in range(400):
+        toxic = k % 4 == 0
+        docs.append((k, f"wretched vermin go away number{k} you filth" if toxic else f"a quiet afternoon number{k} by the river"))
+        labels.append((k, int(toxic and k % 40 != 0)))  # every tenth toxic text is labelled 0
+    seen = {}
+    fit = toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda x, target, count: seen.update(target=target, count=count) or fit(x, target, count))
+    model = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(False))
+    wrong = [k for k in range(400) if k % 40 == 0]
+    assert model is not None and all(seen["target"][k] > 0.5 and seen["count"][k] < 0.5 for k in wrong)
+    assert all(seen["count"][k] > 0.5 for k in range(400) if k not in wrong)
+
+
+def test_toxicity_learns_one_text_of_an_id(spark, monkeypatch):
+    """A labelled id on thousands of rows, and null ids, don't enlarge what reaches the driver."""
+    docs = [(k, f"{'nasty insult' if k % 2 else 'kind words'} {k}") for k in range(40)] + [(7, f"another text {k}") for k in range(3000)] + [(None, "nasty insult")] * 50
+    seen = []
+    fit = toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda x, target, count: seen.append(len(x)) or fit(x, target, count))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(None, 1)], "doc_id long, toxic int")
+    assert toxicity.classify(df, labels, F.lit(False)).count() == len(docs) and seen == [40]
