@@ -13,7 +13,7 @@ from .functions.scalars import cast_trunc, round_sparse
 from .operators import bits, check, elementwise, formats, generate, joins, reductions, stats, tiling
 from .plans import kernels
 from .plans.expression import evaluate
-from .sources import compressed, coordinates, results
+from .sources import compressed, coordinates, memory, results
 from .staging import new_path, staged
 from .tensor import VAL, Tensor
 
@@ -599,6 +599,30 @@ def t03(spark, sf):
     return tiling.cotile_multilevel([_b(spark, sf)], (8, 16))[0].rows
 
 
+def _memory_file(spark: SparkSession, text: str) -> str:
+    at = _folder(spark)
+    spark.createDataFrame([(x,) for x in text.splitlines()], "line string").coalesce(1).write.text(at)
+    return at
+
+
+@query("t03_cotile_config", "b", _TILES)
+def t03c(spark, sf):
+    """Sizes from a memory configuration in a file."""
+    at = _memory_file(spark, 'n_levels: 3\nlevel_names: ["Main", "Glb", "Mem"]\nMain_tile_size: None\nGlb_tile_size: 8 # a side has so many tiles of Mem\nMem_tile_size: 16 # coordinates of a side')
+    return tiling.cotile_config([_b(spark, sf)], memory.read_memory_config(spark, at))[0].rows
+
+
+#: Sizes of the largest tiles of B for every pair of powers of two.
+_PYRAMID = "mi AS (SELECT min(m) AS mi FROM ni, range(0, 40) r(m) WHERE (CAST(1 AS BIGINT) << m) >= n), mk AS (SELECT min(m) AS mk FROM nk, range(0, 40) r(m) WHERE (CAST(1 AS BIGINT) << m) >= n), cand AS (SELECT x.r AS ei, y.r AS ek FROM range((SELECT mi + 1 FROM mi)) x(r), range((SELECT mk + 1 FROM mk)) y(r)), sz AS (SELECT ei, ek, count(*) AS tiles, max(s) AS largest FROM (SELECT ei, ek, i >> ei AS x, k >> ek AS y, 2 * count(*) + 2 * count(DISTINCT i) + 3 AS s FROM b, cand WHERE {only} GROUP BY ALL) GROUP BY ALL)"
+
+
+@query("t03_cotile_fitted", "b ni nk", ", ".join(("", _PYRAMID.format(only="true"), "fit AS (SELECT * FROM sz WHERE largest * 2 <= 40000)", "base AS (SELECT ei AS bi, ek AS bk FROM fit, mi, mk WHERE ei = ek OR (ei = mi AND ek > mi) OR (ek = mk AND ei > mk) ORDER BY ei + ek DESC LIMIT 1)", "best AS (SELECT CAST(1 AS BIGINT) << ei AS fi, CAST(1 AS BIGINT) << ek AS fk FROM fit, base WHERE (ei = bi AND ek >= bk) OR (ek = bk AND ei >= bi) ORDER BY ei + ek DESC, ei DESC LIMIT 1)")) + " SELECT i // fi AS i0, k // fk AS k0, i % fi AS i, k % fk AS k, val FROM b, best")
+def t03f(spark, sf):
+    """The largest tiles that a memory of 40,000 bytes holds."""
+    at = _memory_file(spark, 'level_names: ["Main", "Mem"]\nMem_memory: 40000 # bytes\nBytes_per_element: 2')
+    return tiling.cotile_fitted([_b(spark, sf)], memory.read_memory_config(spark, at))[0][0].rows
+
+
 @query("t04_tile_sizes", "b", "SELECT i // 32 AS i0, k // 256 AS k0, 2 * count(*) + 2 * count(DISTINCT i) + 3 AS size FROM b GROUP BY ALL")
 def t04(spark, sf):
     return tiling.tile_sizes(tiling.tile(_b(spark, sf), {"i": 32, "k": 256}), ["i0", "k0"], "i")
@@ -640,6 +664,14 @@ def t09(spark, sf):
     return tiling.tile_fit(tiling.tile_sizes(tiling.tile(_b(spark, sf), {"i": 32, "k": 256}), ["i0", "k0"], "i"), 4000)
 
 
+@query("t09_tile_pyramid", "b ni nk", ", " + _PYRAMID.format(only="ei = ek OR (ei = (SELECT mi FROM mi) AND ek > ei) OR (ek = (SELECT mk FROM mk) AND ei > ek)") + " SELECT CAST(greatest(ei, ek) AS INTEGER) AS candidate, tiles, largest FROM sz")
+def t09p(spark, sf):
+    """Tiles, and the size of the largest, for equal powers of two up to the whole matrix."""
+    b = _b(spark, sf)
+    most = {m: (b.dim(m) - 1).bit_length() for m in b.modes}
+    return tiling.tile_pyramid(b, [{m: min(e, most[m]) for m in b.modes} for e in range(max(most.values()) + 1)])
+
+
 # ---------------------------------------------------------------- statistics
 
 
