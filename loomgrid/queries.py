@@ -926,6 +926,13 @@ def s09(spark, sf):
     return compressed.read_csf(spark, at, "C", ("k", "j"), (1, 0), value="long").rows
 
 
+@query("s09_tensor_inputs", "t ni", "SELECT DISTINCT i, k, CASE WHEN l % 2 = 0 THEN (l + 1) % ni.n ELSE l END AS l, CAST(2 AS BIGINT) AS val FROM t, ni")
+def s09t(spark, sf):
+    """The shifted tensor of a third-order input set whose outer level is dense."""
+    at = compressed.write_tensor_inputs(td.orders3(spark, sf), _folder(spark), ("dss012",))[1]
+    return compressed.read_levels(spark, at, "C", ("i", "k", "l"), "dss012", value="long").rows
+
+
 @query("s01_mtx_parts", "b ni nk", "SELECT i, k AS j, val, ni.n AS dim1, nk.n AS dim2 FROM b, ni, nk")
 def s01p(spark, sf):
     """A matrix in several parts, of which only the first has a header."""
@@ -957,7 +964,18 @@ def s07c(spark, sf):
 
 @query("s08_read_dump", "m", "SELECT CAST(level AS INTEGER) AS level, kind, pos, CAST(value AS VARCHAR) AS value FROM (SELECT 0 AS level, 'seg' AS kind, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS value UNION ALL SELECT 0, 'seg', 1, count(DISTINCT i) FROM m UNION ALL SELECT 0, 'crd', row_number() OVER (ORDER BY i) - 1, i FROM (SELECT DISTINCT i FROM m) UNION ALL SELECT 1, 'seg', 0, 0 UNION ALL SELECT 1, 'seg', row_number() OVER (ORDER BY i), CAST(sum(n) OVER (ORDER BY i) AS BIGINT) FROM (SELECT i, count(*) AS n FROM m GROUP BY i) UNION ALL SELECT 1, 'crd', row_number() OVER (ORDER BY i, j) - 1, j FROM m UNION ALL SELECT 2, 'vals', row_number() OVER (ORDER BY i, j) - 1, val FROM m)")
 def s08(spark, sf):
-    at, m = _folder(spark), td.months(spark, sf)
+    return compressed.read_dump(spark, _dump(spark, td.months(spark, sf)), "ss")[1]
+
+
+@query("s08_dump_fibers", "m", "SELECT i, j, val FROM m")
+def s08f(spark, sf):
+    dims, *fibers = compressed.dump_fibers(spark, _dump(spark, td.months(spark, sf)), "ss", "long")
+    return formats.from_csf(*[staged(x, "dump") for x in fibers], ("i", "j"), dims).rows
+
+
+def _dump(spark: SparkSession, m: Tensor) -> str:
+    """The folder of a printed tensor."""
+    at = _folder(spark)
     crd, seg, vals = (staged(x, "dump") for x in formats.to_csf(m))
     array = lambda df, order, column: df.agg(F.concat(F.lit("  ["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(column).cast("string").alias("v")))), lambda x: x["v"]), ", "), F.lit("]")).alias("line"))
     text = lambda x: spark.createDataFrame([(x,)], "line string")
@@ -968,7 +986,7 @@ def s08(spark, sf):
     parts.append(array(vals, "pos", VAL))
     lines = reduce(DataFrame.union, [p.select(F.lit(k).alias("k"), "line") for k, p in enumerate(parts)])
     lines.repartition(1).sortWithinPartitions("k").select("line").write.text(at)  # a dump has one line per array
-    return compressed.read_dump(spark, at, "ss")[1]
+    return at
 
 
 @query("s10_aggregate_csv", sql="SELECT CAST(s_suppkey AS VARCHAR) AS name, CAST(s_nationkey AS VARCHAR) AS time, true AS has_file FROM supplier")

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from loomgrid.operators import generate, stats
+from loomgrid.operators import formats, generate, stats
 from loomgrid.sources import compressed, coordinates, results
 from loomgrid.tensor import from_rows
 
@@ -105,3 +105,60 @@ def test_coordinates_in_one_file(spark, tmp_path, fmt):
     compressed.write_combined(t, f"{tmp_path}/f", fmt)
     back = compressed.read_coo(spark, f"{tmp_path}/f", ("i", "j"), fmt == "cooT", "long")
     assert entries(back) == entries(t) and back.shape == (4, 3)
+
+
+@pytest.mark.parametrize("fmt", ["dsd012", "sdd120", "sds201", "ds10"])
+def test_dense_and_compressed_levels(spark, tmp_path, fmt):
+    """Arrays against plain loops over every position, and back."""
+    n = len(fmt) // 2
+    dims, modes, order = (4, 3, 5)[:n], ("i", "j", "k")[:n], [int(x) for x in fmt[n:]]
+    rows = [r[:n] + r[3:] for r in [(0, 0, 1, 5), (0, 2, 0, 6), (0, 2, 4, 7), (3, 1, 1, 8)]]
+    rows = list({r[:n]: r for r in rows}.values())
+    t = from_rows(spark, rows, modes, dims)
+    (at,) = compressed.write_tensor_inputs(t, f"{tmp_path}/x", (fmt,), shifted=False)
+    read = lambda what: [int(r[0]) for r in coordinates.lines_in_order(spark, f"{at}/tensor_B_mode_{what}").orderBy("pos").select("value").collect()]
+    nodes = [()]
+    for kind, mode in zip(fmt, order, strict=False):
+        held = {tuple(r[m] for m in order[: len(nodes[0]) + 1]) for r in rows} if nodes else set()
+        children = [[(*p, c) for c in range(dims[mode]) if kind == "d" or (*p, c) in held] for p in nodes]
+        if kind == "s":
+            ends = [0]
+            for c in children:
+                ends.append(ends[-1] + len(c))
+            assert read(f"{mode}_seg") == ends and read(f"{mode}_crd") == [x[-1] for c in children for x in c]
+        nodes = [x for c in children for x in c]
+    stored = {tuple(r[m] for m in order): r[-1] for r in rows}
+    assert read("vals") == [stored.get(x, 0) for x in nodes]
+    got = entries(compressed.read_levels(spark, at, "B", modes, fmt, value="long"))
+    assert {k: v for k, v in got.items() if v} == entries(t)
+
+
+def test_too_many_dense_positions(spark, tmp_path):
+    t = from_rows(spark, [(0, 0, 1)], ["i", "j"], (10**6, 10**6))
+    with pytest.raises(ValueError, match="positions"):
+        compressed.write_csf(t, f"{tmp_path}/x", "B", "dd01")
+
+
+def test_shifted_input_set_of_third_order(spark, tmp_path):
+    t = from_rows(spark, [(0, 1, 4, 9), (2, 0, 0, 3)], ["i", "j", "k"], (4, 3, 5))
+    first, second = compressed.write_tensor_inputs(t, f"{tmp_path}/x")
+    assert entries(compressed.read_csf(spark, first, "B", ("i", "j", "k"), value="long")) == entries(t)
+    assert set(entries(compressed.read_csf(spark, second, "C", ("i", "j", "k"), value="long"))) == {(0, 1, 0), (2, 0, 1)}
+
+
+def test_numbers_of_base_16(spark, tmp_path):
+    for name, lines in {"mode_0_seg": "0x0 2", "mode_0_crd": "0x0 1F", "mode_1_seg": "0 1 0x2", "mode_1_crd": "0xa 0", "mode_vals": "5 6", "mode_shape": "20 0x10"}.items():
+        (tmp_path / f"tensor_B_{name}").write_text("\n".join(lines.split()))
+    got = compressed.read_csf(spark, str(tmp_path), "B", ("i", "j"), base=16, value="long")
+    assert entries(got) == {(0, 10): 5, (31, 0): 6} and got.shape == (32, 16)
+    assert entries(compressed.read_levels(spark, str(tmp_path), "B", ("i", "j"), "ss01", 16, "long")) == entries(got)
+
+
+def test_dump_as_compressed_fibers(spark, tmp_path):
+    p = tmp_path / "d.txt"
+    p.write_text("B (3x3) ({s,s}):\nlevel 0:\n  [0, 2]\n  [0, 2]\nlevel 1:\n  [0, 2, 3]\n  [0, 2, 1]\n[5, 6, 7]\n")
+    dims, crd, seg, vals = compressed.dump_fibers(spark, str(p), "ss", "long")
+    assert dims == [3, 3] and sorted(map(tuple, crd.collect())) == [(0, 0, 0, 0), (0, 1, 0, 2), (1, 0, 0, 0), (1, 1, 0, 2), (1, 2, 1, 1)]
+    assert entries(formats.from_csf(crd, seg, vals, ("i", "j"))) == {(0, 0): 5, (0, 2): 6, (2, 1): 7}
+    with pytest.raises(ValueError, match="dense"):
+        compressed.dump_fibers(spark, str(p), "ds")
