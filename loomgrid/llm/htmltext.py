@@ -1,12 +1,17 @@
 """Main text of web pages, with removal of site templates.
 
-Every element subtree outside the running text of an article gets a hash of its tags
-and text, furniture (menus, footers, forms) included; Spark counts each hash's pages per host, and subtrees on
+Every element subtree outside the running text of an article gets two hashes: of its tags and text (furniture that
+stands as it is on many pages), and, outside of articles and main parts, of its shape: tags, classes and ids without digits, and the
+distinct shapes inside (a site's menu, advert slot or footer, whatever it says on this page). Spark counts each hash's pages per host, and subtrees on
 ``LEAST_PAGES`` pages of a host are deleted, however many pages the host has. Pages of a host with the
-same body count once, and html, body, what holds an article or main, and what holds most of a
-page's text are never templates, so copies of an article don't empty each other. What is left of the article (else the main part, else the body)
-is cut into blocks. Furniture that doesn't recur (an advert of one page, a menu of a host with few pages) can't be
-counted: it goes by its tag or class, unless ``markup`` is off: then counts alone decide, and no element is preferred.
+same body count once, and html, body, what holds an article or main, and what holds most of the text of a
+page without either are never templates, so copies of an article don't empty each other; on a page without article and main a
+shape counts only if most of it is links and nothing in it is running text.
+
+On hosts with ``LEAST_PAGES`` bodies these counts choose the text: what they leave is cut into blocks, in an article or not.
+Below the counts lies a net of tag and class rules for what recurs too rarely to be counted (a notice of one page, a form inside an
+article). Hosts with fewer bodies can't be counted at all: there the rules and the article (else the main part, else the body) decide. With ``markup``
+off there are neither rules nor a preferred element anywhere: counts alone decide.
 
 Cases: a null, empty or text-free page gives an empty text; broken or cut-off markup is read as
 browsers do (open elements end with their parent, a cut tag is dropped); a null URL shares one
@@ -30,8 +35,8 @@ from .common import list_column, staged
 
 #: A subtree is a template if it is on so many pages of its host.
 LEAST_PAGES = 5
-#: Pages with templates up to which their lists are sent to all tasks (else joined by page); parts of a subtree's pages.
-MOST_SENT, SALTS = 100_000, 64
+#: Parts of a subtree's pages; the hash that stands for the host itself: among a page's templates if the host has enough bodies to be counted.
+SALTS, HOST = 64, 0
 
 # HTML's void, raw-text and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +51,9 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 #: Elements of running text, whose repetition is no sign of a template inside an article.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption article main body html".split())
 
+#: Elements whose text is running text, and those whose text is unless most of it is links.
+RUNNING, LISTED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split()), frozenset("li td th dt dd".split())
+
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|"
     r"cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
@@ -53,6 +61,7 @@ MARKED = re.compile(
     re.I,
 )
 _TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
+_DIGITS = re.compile(r"\d+")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I | re.S)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
@@ -63,14 +72,17 @@ def host() -> Column:
 
 
 class _Open:
-    """An open element: its tag, whether its text is dropped, its pieces so far, their text's length, and whether it holds an article or main."""
+    """An open element: its tag and name (with classes and ids), whether its text is dropped, its pieces so far, the lengths of its text, of all text inside
+    and of links, the shapes inside, and whether it holds running text, an article or main."""
 
-    __slots__ = ("tag", "drop", "prose", "article", "main", "pieces", "first", "mark", "size", "holds")
+    __slots__ = ("tag", "name", "drop", "prose", "article", "main", "pieces", "first", "mark", "at", "size", "chars", "links", "shapes", "runs", "holds")
 
-    def __init__(self, tag: str, drop: bool, prose: bool, article: bool, main: bool, first: int, mark: int = 0) -> None:
-        self.tag, self.drop, self.prose, self.article, self.main, self.first, self.mark = tag, drop, prose, article, main, first, mark
+    def __init__(self, tag: str, name: str, drop: bool, prose: bool, article: bool, main: bool, first: int, mark: int = 0, at: int = 0) -> None:
+        self.tag, self.name, self.drop, self.prose, self.article, self.main, self.first, self.mark, self.at = tag, name, drop, prose, article, main, first, mark, at
         self.pieces: list[str] = []
-        self.size, self.holds = 0, False
+        self.shapes: dict[str, None] = {}
+        self.size = self.chars = self.links = 0
+        self.runs = self.holds = False
 
 
 def _decoded(raw: str) -> str:
@@ -80,31 +92,30 @@ def _decoded(raw: str) -> str:
     return " ".join(raw.split())
 
 
-def read_page(page: str, only_trees: bool = False, only_blocks: bool = False, markup: bool = True) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int, int]], int]:
-    """Blocks (text, in an article, in the main part) in page order, subtrees (hash, first block, block after the last), and the body's hash.
+def read_page(page: str, only_trees: bool = False, only_blocks: bool = False, markup: bool = True) -> tuple[list[tuple[str, bool, bool, bool]], list[tuple[int, int, int]], int]:
+    """Blocks (text, in an article, in the main part, dropped by the rules) in page order, subtrees (hash, first block, block after the last), and the body's hash.
 
     Hashes are of the text as it stands, so that counting needn't decode it.
     """
-    blocks: list[tuple[str, bool, bool]] = []
-    trees: list[tuple[int, int, int, int]] = []
-    stack = [_Open("", False, True, False, False, 0)]
+    blocks: list[tuple[str, bool, bool, bool]] = []
+    trees: list[tuple[int, int, int, int, bool]] = []
+    shapes: list[tuple[int, int, int, int, bool]] = []
+    stack = [_Open("", "", False, True, False, False, 0)]
     text: list[str] = []
 
     def flush() -> None:
         if text:
             top = stack[-1]
-            if top.drop:  # text before a dropped inline element stays
-                if not only_blocks and (raw := "".join(text[top.mark :]).strip()):
-                    top.pieces.append(raw)
-                del text[top.mark :]
-            else:
-                raw = "".join(text)
-                if not only_trees and (s := _decoded(raw)):
-                    blocks.append((s, top.article, top.main))
-                if not only_blocks and (raw := raw.strip()):
-                    top.pieces.append(raw)
-                    top.size += len(raw)
-                text.clear()
+            # text before a dropped inline element stays
+            raw = "".join(text[top.mark :] if top.drop else text)
+            if not only_trees and (s := _decoded(raw)):
+                blocks.append((s, top.article, top.main, top.drop))
+            if not only_blocks and (raw := raw.strip()):
+                top.pieces.append(raw)
+                top.size += 0 if top.drop else len(raw)
+                top.chars += len(raw)
+                top.runs |= top.tag in RUNNING or (top.tag in LISTED and 2 * top.links < len(raw))
+            del text[top.mark if top.drop else 0 :]
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -112,7 +123,12 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False, ma
                 flush()
             top = stack.pop()
             up = stack[-1]
+            if top.tag == "a":
+                top.links = sum(map(len, text[top.at :])) + top.chars
             up.size += top.size
+            up.chars += top.chars
+            up.links += top.links
+            up.runs |= top.runs
             up.holds |= not top.drop and (top.holds or top.tag in ("article", "main"))
             if top.pieces:
                 inner = f"<{top.tag}>{''.join(top.pieces)}</>"
@@ -120,7 +136,12 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False, ma
                 if up.drop or not top.drop:  # a body is told by what isn't furniture
                     up.pieces.append(f"{h:x};")
                 if top.drop or not top.holds and top.tag in BLOCK and top.tag not in ("html", "body") and not (top.prose and (top.article or top.main)):
-                    trees.append((h, top.first, len(blocks), top.size))
+                    trees.append((h, top.first, len(blocks), top.size, top.article or top.main))
+                if not (top.article or top.main or top.holds) and top.tag not in ("html", "body"):
+                    shape = f"{top.name}({','.join(top.shapes)})"
+                    up.shapes[shape if len(shape) < 200 else f"{xxhash.xxh64_intdigest(shape):x}"] = None
+                    if top.drop or top.tag in BLOCK:
+                        shapes.append((xxhash.xxh64_intdigest("shape " + shape) >> 1, top.first, len(blocks), top.chars, not top.runs and 2 * top.links >= top.chars))
 
     at, n = 0, len(page)
     while at < n:
@@ -163,38 +184,54 @@ def read_page(page: str, only_trees: bool = False, only_blocks: bool = False, ma
                     break
                 if t in BLOCK and not (tag == "tr" and t in ("td", "th")):
                     break
-        drop, up = stack[-1].drop or markup and tag in FURNITURE, stack[-1]
-        if markup and not drop and m[3] and tag not in ("html", "body"):
+        up = stack[-1]
+        drop, outside, names = up.drop or (markup and tag in FURNITURE), not only_blocks and not (up.article or up.main), []
+        if m[3] and (outside or (markup and not drop)) and tag not in ("html", "body"):
             for name, a, b, c in _ATTR.findall(m[3]):
-                value = a or b or c
-                name = name.lower()
-                drop = drop or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and bool(MARKED.search(value)))
+                value, name = a or b or c, name.lower()
+                if name in ("class", "id"):
+                    names += _DIGITS.sub("", value).split()
+                if markup:
+                    drop = drop or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and bool(MARKED.search(value)))
         mark = up.mark if up.drop else len(text) if drop else 0
-        stack.append(_Open(tag, drop, tag in PROSE, up.article or tag == "article", up.main or tag == "main", len(blocks), mark))
+        stack.append(_Open(tag, ".".join([tag, *sorted(set(names))]), drop, tag in PROSE, up.article or tag == "article", up.main or tag == "main", len(blocks), mark, len(text)))
     flush()
     close(1)
     root = stack[0]
-    return blocks, [t[:3] for t in trees if 2 * t[3] <= root.size], xxhash.xxh64_intdigest("".join(root.pieces)) >> 1
-
-
-def main_text(page: str | None, templates: frozenset[int] = frozenset(), markup: bool = True) -> str:
-    """The page's main text without the given subtrees."""
+    if root.holds:  # the article or main part is known: no other part has to be spared
+        found = [t[:3] for t in trees if not t[4] or 2 * t[3] <= root.size] + [t[:3] for t in shapes]
+    else:
+        total: dict[int, int] = {}
+        for t in shapes:
+            total[t[0]] = total.get(t[0], 0) + t[3]
+        found = [t[:3] for t in trees if 2 * t[3] <= root.size] + [t[:3] for t in shapes if t[4] and 2 * total[t[0]] <= root.chars]
+    return blocks, found, xxhash.xxh64_intdigest("".join(root.pieces)) >> 1
+
+
+def choose(page: str | None, templates: frozenset[int] = frozenset(), markup: bool = True) -> list[tuple[str, str]]:
+    """The page's blocks in order, each with what decides on it: ``count`` (in one of the given subtrees), ``rule`` (by tag, class, or outside of the preferred element), or ``keep``."""
     blocks, trees, _ = read_page(page or "", only_blocks=not templates, markup=markup)
     gone = bytearray(len(blocks) + 1)
     for h, a, b in trees:
         if h in templates:
             gone[a:b] = b"\1" * (b - a)
-    part = 0 if not markup else 1 if any(b[1] for b in blocks) else 2 if any(b[2] for b in blocks) else 0
-    return "\n".join(b[0] for k, b in enumerate(blocks) if not gone[k] and (not part or b[part]))
+    left = [b for b in blocks if not b[3]]
+    part = 0 if not markup or HOST in templates else 1 if any(b[1] for b in left) else 2 if any(b[2] for b in left) else 0
+    return [(b[0], "count" if gone[k] else "rule" if b[3] or (part and not b[part]) else "keep") for k, b in enumerate(blocks)]
+
+
+def main_text(page: str | None, templates: frozenset[int] = frozenset(), markup: bool = True) -> str:
+    """The page's main text without the given subtrees."""
+    return "\n".join(text for text, why in choose(page, templates, markup) if why == "keep")
 
 
 def _subtrees(markup: bool):
-    """(host, page, body, hashes): the distinct subtrees of each page, and the hash of its body."""
+    """(host, page, body, hashes): the distinct subtrees of each page and ``HOST``, and the hash of its body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             read = [read_page(page.as_py() or "", only_trees=True, markup=markup) for page in batch.column("html")]
-            found = [np.unique(np.array([t[0] for t in trees], dtype=np.int64)) for _, trees, _ in read]
+            found = [np.unique(np.array([HOST, *(t[0] for t in trees)], dtype=np.int64)) for _, trees, _ in read]
             offs = np.cumsum([0, *map(len, found)])
             hashes = list_column(np.concatenate([np.empty(0, np.int64), *found]), offs, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array([r[2] for r in read], pa.int64()), hashes], names=["host", "page", "body", "hashes"])
@@ -203,9 +240,9 @@ def _subtrees(markup: bool):
 
 
 def page_templates(pages: DataFrame, least: int = LEAST_PAGES, markup: bool = True) -> DataFrame:
-    """(host, page, templates): hashes of the templates on each page that has some; ``page`` is the hash of its text."""
+    """(host, page, templates): hashes of the templates, and ``HOST``, on each page of a host with ``least`` bodies; ``page`` is the hash of its text."""
     keys = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), "html")
-    read = staged(keys.mapInArrow(_subtrees(markup), "host string, page long, body long, hashes array<long>").filter(F.size("hashes") > 0), "subtrees")
+    read = staged(keys.mapInArrow(_subtrees(markup), "host string, page long, body long, hashes array<long>"), "subtrees")
     # copies of a body are one page
     rows = read.select("host", "body", F.explode("hashes").alias("hash")).distinct().withColumn("salt", F.pmod("body", F.lit(SALTS)))
     rows = staged(rows, "subtrees")
@@ -229,7 +266,7 @@ def extract_text(pages: DataFrame, least: int = LEAST_PAGES, markup: bool = True
     """page_id, url, text, n_chars of every page."""
     templates = staged(page_templates(pages, least, markup).withColumnsRenamed({"host": "_host", "page": "_page", "templates": "_templates"}), "templates")
     base = pages.select("page_id", "url", "html", host().alias("_host"), F.xxhash64("html").alias("_page"))
-    few = templates.count() <= MOST_SENT
-    joined = base.join(F.broadcast(templates) if few else templates, ["_host", "_page"], "left").select("page_id", "url", "html", "_templates")
+    # by the table's bytes Spark sends it to all tasks or joins by page
+    joined = base.join(templates, ["_host", "_page"], "left").select("page_id", "url", "html", "_templates")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select("page_id", "url").schema)
     return joined.mapInArrow(_extract(markup), f"{fields}, text string, n_chars long")
