@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame operations only.
 
 Candidates are long strings with digits, and values that are assigned to a name of a credential,
-in the same word or in the words before it; a word can hold any number of them.
+in the same word or in the words before it; a word can hold any number of them (a name inside a value names nothing more).
 Each has features of its length, characters, transitions between character classes, entropy, how
 much of it the corpus's common short words cover, path-like marks, and the words beside it. The
 forest (Spark ML, in the JVM) is trained on labelled findings: those given, and planted ones. A planted
@@ -32,9 +32,9 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "key")
 _NAME = "(?i)(?:" + "|".join(NAMES) + r")s?[\"']?"
 NAMED = _NAME + "$"
-ASSIGNED = _NAME + "[:=]+[\"']?((?:(?!&[A-Za-z0-9_-]{1,64}=)[^\x20\x09-\x0D\"',;]){8,})"
-#: A name with a mark of assignment, also with white space before the mark; and the value at the begin of a word.
-NAMES_ONE, VALUE = _NAME + r"[\x20\x09-\x0D]*[:=]", "^[:=]*[\"']?([^\x20\x09-\x0D\"',;]{8,})"
+ASSIGNED = _NAME + "[:=]++[\"']?+((?:(?!&[A-Za-z0-9_-]{1,64}=)[^\x20\x09-\x0D\"',;]){8,})"
+#: A name with a mark of assignment, also with white space before the mark; and the value at the begin of a word. Marks and a quote before a value are never part of it.
+NAMES_ONE, VALUE = _NAME + r"[\x20\x09-\x0D]*[:=]", "^[:=]*+[\"']?+([^\x20\x09-\x0D\"',;]{8,})"
 #: Characters of the word on each side of a candidate, and of the words beside it, that features look at.
 NEAR = 200
 #: Words of the dictionary, their letters; planted and other rows of training; the forest; a secret's least score.
@@ -56,8 +56,9 @@ def findings(docs: DataFrame) -> DataFrame:
     near = lambda i, k: F.coalesce(F.try_element_at("w", F.when(i + k >= 1, (i + k).cast("int")).otherwise(F.size("w") + 1)), F.lit(""))
     follows = lambda word, b1, b2: b1.rlike(_NAME + "[:=]+$") | (b1.rlike(NAMED) & word.rlike("^[:=]")) | (b1.rlike("^[:=]+$") & b2.rlike(NAMED))
     at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: near(i, 0).rlike(TOKEN) | near(i, 0).rlike(ASSIGNED) | (near(i, 0).rlike(VALUE) & follows(near(i, 0), near(i, -1), near(i, -2))))
-    i = F.col("i")
-    rows = words.withColumn("i", F.explode(at)).select("doc_id", i.cast("long").alias("ordinal"), near(i, 0).alias("word"), near(i, -1).alias("b1"), near(i, -2).alias("b2"), near(i, 1).alias("after"))
+    # the few words around each place leave the array before its places become rows, so no row carries the array
+    around = F.transform(at, lambda i: F.struct(i.cast("long").alias("ordinal"), near(i, 0).alias("word"), near(i, -1).alias("b1"), near(i, -2).alias("b2"), near(i, 1).alias("after")))
+    rows = words.select("doc_id", F.inline(around))
     first = F.when(follows(F.col("word"), F.col("b1"), F.col("b2")), F.array(F.regexp_extract("word", VALUE, 1))).otherwise(F.array().cast("array<string>"))
     assigned = F.array_distinct(F.filter(F.concat(first, F.regexp_extract_all("word", F.lit(ASSIGNED), 1)), lambda v: v != ""))
     rows = rows.select("*", assigned.alias("set"), F.array_distinct(F.regexp_extract_all("word", F.lit(TOKEN), 0)).alias("tokens"))
