@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 from loomgrid.llm import quality
@@ -142,3 +143,28 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert len(docs) > 60 and Counter((x["doc_id"], x["text"]) for x in got) == +gold
     assert all(0 <= x["shard"] < 40 for x in got)
     assert set(got[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "shard"}
+
+
+def test_pipeline_on_a_long_text_repeated_rows_and_clashing_names(spark, tmp_path):
+    r = random.Random(4)
+    common = ["the", "of", "and", "to", "in", "word", "house", "tree", "going", "around"]
+    text = lambda n, rare: " ".join(r.choice(common) if r.random() < 0.4 else f"en{r.randrange(rare)}x" for _ in range(n))
+    items = [(0, text(20, 150))]
+    texts = [text(r.randint(60, 150), 150) for _ in range(60)] + [text(700_000, 90_000)]
+    assert len(texts[-1]) > 4_000_000
+    names = ["id", "n", "_key", "rep", "band", "component", "kept", "size", "node", "shard", "words", "key", "hash", "_host"]
+    rows = [(k, t, "en", "abc"[k % 3], len(t), *[str(k)] * len(names)) for k, t in enumerate(texts)]
+    rows += rows[:20] * 3
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    there = {p.name for p in shared.iterdir()} if shared.exists() else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = Counter(p.name.rsplit("-", 1)[0] for p in shared.iterdir() if p.name not in there)
+    # of the first four stages only the last one's documents are left
+    assert left["mixing"] == 1 and not {"quality-rules", "near-dedup", "decontamination", "sketch", "sets", "links"} & set(left)
+    copies = plain_mix([{"doc_id": k, "text": t, "source": "abc"[k % 3]} for k, t in enumerate(texts)])
+    got = out.select("doc_id", "text", "n_chars", "shard", *[n for n in names if n != "shard"]).collect()
+    assert Counter(x["doc_id"] for x in got) == +copies and copies[len(texts) - 1] > 0
+    assert all(x["text"] == texts[x["doc_id"]] and all(x[n] == str(x["doc_id"]) for n in names if n != "shard") and 0 <= x["shard"] < 40 for x in got)
