@@ -12,10 +12,10 @@ smallest id (never all pairs); what is confirmed on the full sets is joined into
 buckets of any band that still touch several components, the members outside the bucket's largest
 component are held against one member of that (once; more turns found next to nothing). What is left then, the pairs of
 different components in a bucket, goes through a filter by size and sketch bits (four of each
-coordinate) in the join itself and is confirmed, so that no link is lost to the stars. A bucket of which
-that would compare more than ``POPULAR`` pairs is cut into ``FINE`` times as many buckets by further coordinates.
-At similarity 0.8 a pair shares no bucket with probability 3e-6, and fails the bit filter with 3e-6; a pair
-all of whose buckets are popular is missed by one of them with 0.003, and shares eleven on average.
+coordinate) in the join itself and is confirmed, so that no link is lost to the stars. The pairs of a bucket are
+dealt over a grid of cells of about ``POPULAR`` pairs, each pair in one cell, so that a large bucket is many tasks'
+work; how many cells there are changes no result. At similarity 0.8 a pair shares no bucket with probability 3e-6,
+and fails the bit filter with 3e-6, whatever the size of the buckets.
 
 Cases: null or empty text, or none with a word: an empty set, linked with nothing, kept; fewer
 words than the shingle: the whole sequence is the one shingle; ids may be of any type that sorts; rows of an id are one document
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ WORDS, PERCENT = 5, 80
 T, R, BANDS = 1024, 6, 42
 #: The most coordinates in which one bit, or any of four bits, of two similar texts differ.
 FAR_BITS, FAR_COORDINATES, PLANES = 146, 250, 4
-#: Comparisons in a bucket beyond which it is cut: into so many finer ones, by so many coordinates each.
-POPULAR, FINE, FINE_R = 1_000_000, 8, 3
+#: Comparisons in a cell of a bucket's grid, about; a bucket of fewer is one cell.
+POPULAR = 1 << 24
 #: Bands whose stars are joined first; turns in which what is left is held against the largest component of its bucket.
 FIRST_BANDS, ROUNDS = 6, 1
 #: Hashes that are taken at once.
@@ -96,7 +97,7 @@ def sketch(elements: np.ndarray, offs: np.ndarray, t: int = T) -> np.ndarray:
     return out
 
 
-SKETCH = "n_shingles long, set_a long, set_b long, bands array<long>, fine array<long>, bits array<long>"
+SKETCH = "n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 
 
 def _named(coordinates: np.ndarray, r: int) -> np.ndarray:
@@ -119,11 +120,11 @@ def _sketches(n: int):
                 np.cumsum(mix(v ^ np.uint64(0xA5A5A5A5)), out=total[1, 1:])
                 key = mix(total[:, vofs[1:]] - total[:, vofs[:-1]] + size.astype(np.uint64))
                 s = sketch(v, vofs)
-                bands, fine = _named(s[:, : BANDS * R], R), _named(s[:, BANDS * R : BANDS * R + FINE * FINE_R], FINE_R)
+                bands = _named(s[:, : BANDS * R], R)
                 m = mix(s + np.uint64(77))
                 bits = np.concatenate([np.packbits((m >> np.uint64(k) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for k in range(PLANES)], axis=1)
-                lists = [list_column(x.ravel(), np.arange(b - a + 1) * x.shape[1], pa.int64()) for x in (bands, fine, bits)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(size), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), *lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "fine", "bits"])
+                lists = [list_column(x.ravel(), np.arange(b - a + 1) * x.shape[1], pa.int64()) for x in (bands, bits)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(size), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), *lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"])
 
     return run
 
@@ -138,14 +139,14 @@ def _full_sets(n: int):
     return run
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """May two texts be similar: by their sizes, by one sketch bit of each coordinate, and by all of them."""
+def _alike(a: str, b: str, percent: int, *besides: Column) -> Column:
+    """May two texts be similar: by their sizes, by one sketch bit of each coordinate, and by all of them; what else a pair needs is asked before the last, which costs most."""
     n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
     words = T // 64
     xor = lambda k: F.col(f"{a}_bits")[k].bitwiseXOR(F.col(f"{b}_bits")[k])
     differ = reduce(lambda x, y: x + y, [F.bit_count(xor(k)) for k in range(words)])
     all_planes = F.aggregate(F.sequence(F.lit(0), F.lit(words - 1)), F.lit(0), lambda n, k: n + F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), [xor(k + words * p) for p in range(PLANES)])))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= FAR_BITS) & (all_planes <= FAR_COORDINATES)
+    return reduce(lambda x, y: x & y, [F.least(n, m) * 100 >= F.greatest(n, m) * percent, differ <= FAR_BITS, *besides, all_planes <= FAR_COORDINATES])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,7 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     of_class = staged(slim.join(classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
     # one row for each class: the first of the representative's rows
     reps = some.join(classes, ["set_a", "set_b"], "left").filter("rep IS NULL OR rep = doc_id")
-    held = reps.select("doc_id", "n_shingles", "bands", "fine", "bits")
+    held = reps.select("doc_id", "n_shingles", "bands", "bits")
     bucket = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("no", "band"))
     # one plan for every size: the buckets of several members are few, but grow with the input
     ends = staged(bucket.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("high"), "ends")
@@ -221,18 +222,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             break
         joined = components(joined.select(F.col("id").alias("x"), F.col("component").alias("y")).filter("x <> y").union(more))
     last = _mixed(open_.select("band", "id"), joined, ROUNDS)
-    # a bucket's largest component meets only what is outside of it
-    work = last.groupBy("band").agg(F.count_if(F.col("component") != F.col("hub")).alias("out"), F.count(F.lit(1)).alias("n"))
-    popular = work.filter(F.col("out") * F.col("n") > POPULAR).select("band", F.lit(True).alias("popular"))
-    marked = staged(last.join(popular, "band", "left"), "marked")
-    cut = marked.filter("popular").groupBy("id").agg(F.collect_set("band").alias("cut"))
-    rows = marked.join(facts.withColumnRenamed("doc_id", "id"), "id").join(cut, "id", "left")
-    rows = rows.withColumn("key", F.explode(F.when(F.col("popular"), F.transform("fine", lambda f: F.xxhash64("band", f))).otherwise(F.array("band"))))
-    half = lambda k, rows: rows.select("key", "popular", F.col("id").alias(k), F.col("component").alias(f"{k}_c"), F.col("n_shingles").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"), F.col("bands").alias(f"{k}_bands"), F.coalesce("cut", F.array().cast("array<long>")).alias(f"{k}_cut"))
-    # a pair that shares several buckets is compared in the first of them that isn't cut
-    shared = F.filter(F.zip_with("x_bands", "y_bands", lambda p, q: F.when((p == q) & ~F.array_contains("x_cut", p), p)), lambda v: v.isNotNull())
-    once = F.col("popular").isNotNull() | (F.get(shared, F.lit(0)) == F.col("key"))
-    both = half("x", rows.filter("component <> hub")).join(half("y", rows).drop("popular"), "key").filter((F.col("x_c") != F.col("y_c")) & _alike("x", "y", percent) & once)
+    # a bucket's largest component meets only what is outside of it; each pair is in one cell of the bucket's grid, whose sides are dealt by id
+    apart = F.col("component") != F.col("hub")
+    blocks = lambda n: F.ceil(n / max(1, isqrt(POPULAR)))
+    grid = last.groupBy("band").agg(blocks(F.count_if(apart)).alias("high"), blocks(F.count(F.lit(1))).alias("wide"))
+    rows = last.join(grid, "band").join(facts.withColumnRenamed("doc_id", "id"), "id")
+    own = lambda n: F.pmod(F.xxhash64("id"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    half = lambda k, rows: rows.select("band", "i", "j", F.col("id").alias(k), F.col("component").alias(f"{k}_c"), (~apart).alias(f"{k}_hub"), F.col("n_shingles").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"), F.col("bands").alias(f"{k}_bands"))
+    left = half("x", rows.filter(apart).withColumn("i", own(F.col("high"))).withColumn("j", every(F.col("wide"))))
+    right = half("y", rows.withColumn("j", own(F.col("wide"))).withColumn("i", every(F.col("high"))))
+    # a pair that shares several buckets is compared in the first of them, and two components outside of the largest in one order
+    once = F.get(F.array_intersect("x_bands", "y_bands"), F.lit(0)) == F.col("band")
+    both = left.join(right, ["band", "i", "j"]).filter((F.col("y_hub") | (F.col("x_c") < F.col("y_c"))) & _alike("x", "y", percent, once))
     more = found(both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     if more.limit(1).count():
         joined = components(joined.select(F.col("id").alias("x"), F.col("component").alias("y")).filter("x <> y").union(more))

@@ -143,6 +143,21 @@ def test_popular_buckets_are_cut(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_components(texts, 2, 80)
 
 
+def test_pair_that_shares_only_large_buckets(spark, monkeypatch):
+    """Two texts are at 0.8 and share ten buckets, all by words that 300 others have too, which are at 0.77 and less; neither has a bucket's first or last id."""
+    from .test_corpus import docs_of
+
+    r = random.Random(685)
+    words = [f"w{r.randrange(10**6)}" for _ in range(81)]
+    pair, crowd = ([" ".join(words + [f"v{r.randrange(10**6)}" for _ in range(own)]) for _ in range(n)] for own, n in ((10, 2), (14, 300)))
+    texts = crowd[:150] + pair + crowd[150:]
+    gold = brute_components(texts, 2, 80)
+    assert gold[151][2] == 150 and sum(kept for *_, kept in gold) == 301
+    for popular in (1000, neardup.POPULAR):
+        monkeypatch.setattr(neardup, "POPULAR", popular)
+        assert sorted(map(tuple, neardup.near_duplicates(docs_of(spark, texts), 2, 80).collect())) == gold
+
+
 def test_templates_against_plain_counts(spark):
     pages = [(k, f"http://h{k % 2}/{k}", f"<body><nav>Menu {k % 2}</nav><div class=ad>ad {k % 9}</div><article><p>Story {k}</p></article><footer>Foot {k % 3}</footer></body>") for k in range(60)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
