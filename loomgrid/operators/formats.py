@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,6 +139,19 @@ def to_csf(t: Tensor, order: Sequence[int] | None = None) -> tuple[DataFrame, Da
     return reduce(DataFrame.union, crds), reduce(DataFrame.union, segs), rows.select(F.col(f"_p{len(modes) - 1}").alias("pos"), VAL)
 
 
+def full_csf(spark: SparkSession, shape: Sequence[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The compressed fibers that ``to_csf`` gives for a tensor of ones at every cell: narrow, as a position tells its coordinate and fiber."""
+    crds, segs, nodes = [], [], 1
+    for level, n in enumerate(shape):
+        name = F.lit(level).alias("level")
+        at = F.col("id")
+        segs.append(spark.range(nodes if n else 0).select(name, at.alias("fiber"), (at * n).alias("start"), (at * n + n).alias("end")))
+        nodes *= n
+        crds.append(spark.range(nodes).select(name, at.alias("pos"), F.expr(f"id div {max(n, 1)}").alias("fiber"), F.pmod("id", F.lit(max(n, 1)).cast("long")).alias("crd")))
+    vals = spark.range(nodes).select(F.col("id").alias("pos"), F.lit(1).cast("long").alias(VAL))
+    return reduce(DataFrame.union, crds), reduce(DataFrame.union, segs), vals
+
+
 def to_dcsr(t: Tensor) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Compressed fibers of a matrix by row: only rows that aren't empty."""
     return to_csf(t)

@@ -125,11 +125,10 @@ def tile_sizes(tiles: Tensor, ids: Sequence[str], row: str) -> DataFrame:
 
 
 def tile_coordinates(tiles: Tensor, ids: Sequence[str], keep_empty: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compressed fibers of the grid of tiles that exist, or of the whole grid."""
-    grid = tiles.df.select(*ids).distinct().withColumn(VAL, F.lit(1))
+    """Compressed fibers of the grid of tiles that exist, or of the whole grid, however large: its positions are counted, not sorted."""
     if keep_empty:
-        grid = generate.dense_ones(tiles.df.sparkSession, tuple(ids), [tiles.dim(i) for i in ids]).df
-    return formats.to_csf(Tensor(grid, tuple(ids)))
+        return formats.full_csf(tiles.df.sparkSession, [tiles.dim(i) for i in ids])
+    return formats.to_csf(Tensor(tiles.df.select(*ids).distinct().withColumn(VAL, F.lit(1)), tuple(ids)))
 
 
 def untile(tiles: Tensor, modes: Sequence[str], factors: Mapping[str, int], suffix: str = "0", shape: Sequence[int] | None = None) -> Tensor:

@@ -6,7 +6,7 @@ from itertools import product
 
 import pytest
 
-from loomgrid.operators import tiling
+from loomgrid.operators import formats, generate, tiling
 from loomgrid.sources import memory
 from loomgrid.tensor import from_rows
 
@@ -120,3 +120,14 @@ def test_fitted_tiles_of_two_levels(spark, tmp_path):
 def test_no_entries(spark):
     t = from_rows(spark, [], ["i", "k"], (8, 5))
     assert tiling.fit_factors([t], [10]) == [{"i": 8, "k": 8}]
+
+
+def test_whole_grid_of_any_size(spark):
+    """The fibers of a whole grid are those of a tensor of ones; a grid beyond any dense form isn't refused."""
+    ones = generate.dense_ones(spark, ("a", "b", "c"), (3, 4, 5))
+    for made, sorted_ in zip(formats.full_csf(spark, (3, 4, 5)), formats.to_csf(ones), strict=True):
+        assert dict(made.dtypes).keys() == dict(sorted_.dtypes).keys() and {tuple(r) for r in made.collect()} == {tuple(r) for r in sorted_.select(*made.columns).collect()}
+    t = from_rows(spark, [(0, 0, 1)], ["i", "k"], (80_000, 160_000))
+    crd = tiling.tile_coordinates(tiling.tile(t, {"i": 8, "k": 16}), ["i0", "k0"], keep_empty=True)[0]
+    last = crd.filter("level = 1 AND pos >= 99999998").orderBy("pos").collect()
+    assert [tuple(r) for r in last] == [(1, 99_999_998, 9_999, 9_998), (1, 99_999_999, 9_999, 9_999)]
