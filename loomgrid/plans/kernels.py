@@ -132,12 +132,12 @@ def summed(b: Tensor, c: Tensor, flow: str = "outer", share: float = HEAVY, entr
     (k,) = [m for m in b.modes if m in c.modes]
     i, j = next(m for m in b.modes if m != k), next(m for m in c.modes if m != k)
     by_entry = lambda x, y: products(x, y, "outer", share).groupBy(i, j).agg(F.sum(VAL).alias(VAL))
-    if any(dict(t.df.dtypes)[VAL] not in (*blocks.WHOLE, "float", "double") for t in (b, c)):
+    if any(dict(t.df.dtypes)[VAL] not in (*rowblocks.WHOLE, "float", "double") for t in (b, c)):
         got = by_entry(b, c).filter(F.col(VAL) != 0)
         return got.groupBy(i).agg(F.count(F.lit(1)).alias("entries")) if entries else got
     if flow == "columns" and not entries:
         return summed(Tensor(c.df.select(j, k, VAL), (j, k)), Tensor(b.df.select(k, i, VAL), (k, i)), "rows", share).select(i, j, VAL)
-    return rowblocks.summed(b, c, lambda x, y: grid(x, y, share), by_entry, flow == "outer", entries)
+    return rowblocks.summed(b, c, lambda x, y, n, kind: rowblocks.units(x, y, flow == "outer", grid(x, y, share), n, kind), by_entry, entries)
 
 
 def grid(b: Tensor, c: Tensor, share: float = HEAVY) -> DataFrame:
@@ -263,4 +263,7 @@ def matmul_tile_partials(b: Tensor, c: Tensor, levels: Sequence[int] = (16, 128)
 
 def matmul_tiled(b: Tensor, c: Tensor, levels: Sequence[int] = (16, 128)) -> Tensor:
     """The product through tiles: packed tiles are paired and multiplied, then summed over the contracted tiles, with global coordinates."""
-    return drop_zeros(blocks.summed(b, c, levels))
+    (k,) = [m for m in b.modes if m in c.modes]
+    i, j = next(m for m in b.modes if m != k), next(m for m in c.modes if m != k)
+    by_entry = lambda x, y: products(x, y).groupBy(i, j).agg(F.sum(VAL).alias(VAL))
+    return blocks.summed(b, c, levels, by_entry)

@@ -108,3 +108,18 @@ def test_product_rows_query_counts(spark, monkeypatch):
     monkeypatch.setattr(queries, "_b", lambda *_: b)
     monkeypatch.setattr(queries.td, "lines", lambda *_: c)
     assert [tuple(r) for r in queries.QUERIES["c14_product_rows"](spark, "").collect()] == [(0, 7500)]
+
+
+def test_strips_hold_many_tiles(spark, monkeypatch):
+    """Tiles with an entry each meet as one row per contracted tile, not as a row per pair; full strips are spread and lose no pair."""
+    from loomgrid.plans import blocks
+
+    b = from_rows(spark, [(i * 16, i % 16, i + 1) for i in range(200)], ["i", "k"], (3200, 16))
+    c = from_rows(spark, [(k % 16, k * 16, 1) for k in range(200)], ["k", "j"], (16, 3200))
+    gold = {(a * 16, d * 16): a + 1 for a in range(200) for d in range(200) if a % 16 == d % 16}
+    assert blocks.strip_pairs(b, c, 16)[0].count() == 1
+    for strip in (1 << 12, 30):
+        monkeypatch.setattr(blocks, "STRIP", strip)
+        assert _sums(kernels.matmul_tiled(b, c, (8, 16)).df) == gold
+        parts = kernels.matmul_tile_partials(b, c, (8, 16)).df.collect()
+        assert {((r["i00"] * 8 + r["i0"]) * 16 + r["i"], (r["j00"] * 8 + r["j0"]) * 16 + r["j"]): r["val"] for r in parts} == gold and len(parts) == len(gold)
