@@ -123,3 +123,28 @@ def test_strips_hold_many_tiles(spark, monkeypatch):
         assert _sums(kernels.matmul_tiled(b, c, (8, 16)).df) == gold
         parts = kernels.matmul_tile_partials(b, c, (8, 16)).df.collect()
         assert {((r["i00"] * 8 + r["i0"]) * 16 + r["i"], (r["j00"] * 8 + r["j0"]) * 16 + r["j"]): r["val"] for r in parts} == gold and len(parts) == len(gold)
+
+
+def test_expressions_sum_by_blocks(spark):
+    """Products of two matrices inside an expression, and alone, aren't shuffled by both coordinates."""
+    from loomgrid.plans.expression import evaluate
+
+    x, y, b, c = _matrices(spark)
+    s = from_rows(spark, [(j, j % 3 + 1) for j in range(60)], ["j"], (60,))
+    for text, gold in (("X(i,j) = B(i,k) * C(k,j)", x @ y), ("X(i,j) = 2 * B(i,k) * s(j) * C(k,j)", 2 * (x @ y) * (np.arange(60) % 3 + 1)), ("X(j,i) = C(k,j) * B(i,k)", x @ y)):
+        got = evaluate(text, {"B": b, "C": c, "s": s})
+        plan = got.df._jdf.queryExecution().executedPlan().toString()
+        assert "_block" in plan and not [line for line in plan.splitlines() if line.count("#") > 2 and "hashpartitioning(i#" in line and ", j#" in line.partition("hashpartitioning")[2]]
+        assert _sums(got.df) == _gold(gold)
+    assert _sums(evaluate("X(i,j) = B(i,k) * C(k,j) - B(i,k) * C(k,j)", {"B": b, "C": c}).df) == {}
+
+
+def test_few_coordinates_have_few_blocks(spark):
+    """Where all rows share the coordinates, a row of C goes to a block once, and blocks are few."""
+    from loomgrid.operators import generate
+    from loomgrid.plans import rowblocks as rb
+
+    b, c = generate.dense_ones(spark, ("i", "k"), (3000, 2)), generate.dense_ones(spark, ("k", "j"), (2, 1000))
+    assert rb._blocks_for(b, c, 6_000_000) == 1
+    grid = {r["k"] for r in kernels.grid(b, c, 0.25, 1).collect()}
+    assert grid == {0, 1}
