@@ -148,3 +148,19 @@ def test_few_coordinates_have_few_blocks(spark):
     assert rb._blocks_for(b, c, 6_000_000) == 1
     grid = {r["k"] for r in kernels.grid(b, c, 0.25, 1).collect()}
     assert grid == {0, 1}
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_mask_meets_sums_in_their_block(spark, monkeypatch, kind):
+    """The whole product is made, but only the mask's cells leave a block."""
+    x, y, b, c = _matrices(spark, kind)
+    r = np.random.default_rng(8)
+    m = r.integers(-2, 3, (50, 60)) * (r.random((50, 60)) < 0.2)
+    mask = from_rows(spark, [(int(i), int(j), float(m[i, j]) if kind == "double" else int(m[i, j])) for i, j in zip(*np.nonzero(m))], ["i", "j"], (50, 60), kind)
+    monkeypatch.setattr(rowblocks, "BLOCK", 64)
+    for wide in (1, 1 << 20):
+        monkeypatch.setattr(rowblocks, "WIDE", wide)
+        got = kernels.mat_sddmm_unfused(mask, b, c)
+        assert _sums(got.rows) == _gold(m * (x @ y))
+    plan = got.df._jdf.queryExecution().executedPlan().toString()
+    assert "_m" in plan and not [line for line in plan.splitlines() if "hashpartitioning(i#" in line and "j#" in line.partition("hashpartitioning")[2]]
